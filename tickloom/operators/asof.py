@@ -58,3 +58,12 @@ def bucket_lookup(
     right = ctx.select(*by, F.col(on).alias("_bucket"), *[F.col(c).alias(f"{c}{suffix}") for c in attrs])
     bucket = F.timestamp_seconds(F.floor(F.unix_seconds(on) / seconds) * seconds)
     return spine.withColumn("_bucket", bucket).join(right, [*by, "_bucket"], "left").drop("_bucket")
+
+
+def first_at_or_after(df: DataFrame, marks: DataFrame, on: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``name``: the earliest ``marks.on`` at or after ``df.on`` (a forward as-of on mirrored time)."""
+    keys = list(by)
+    mirror = F.timestamp_micros(-F.unix_micros(on))
+    left = df.withColumn("_m", mirror)
+    right = marks.select(*keys, mirror.alias("_m"), F.col(on).alias(name))
+    return asof(left, right, on="_m", by=keys).drop("_m", "_m_ctx")

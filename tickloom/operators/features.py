@@ -210,6 +210,11 @@ def absorption(df: DataFrame, bar_minutes: int = 15, window_minutes: int = 60, l
     return framed(df, build, back=span + n + 2, lane=lane)
 
 
+def cents(x: Column) -> Column:
+    """Two decimals, halves to even."""
+    return F.rint(x * 100.0) / 100.0
+
+
 def liquidity(df: DataFrame, pool: int = 50, density: int = 60, wick: int = 14, lane: Lane = BARS) -> DataFrame:
     """Repeated price levels, wick pressure, volume jumps and the distance to the nearest pool.
 
@@ -224,8 +229,8 @@ def liquidity(df: DataFrame, pool: int = 50, density: int = 60, wick: int = 14,
         upper, lower = F.col("high") - top, bottom - F.col("low")
         d = d.withColumns(
             {
-                "_h2": F.round("high", 2), "_l2": F.round("low", 2),
-                "_m2": F.round((F.col("high") + F.col("low")) / 2.0, 2), "_wick": upper - lower,
+                "_h2": cents(F.col("high")), "_l2": cents(F.col("low")),
+                "_m2": cents((F.col("high") + F.col("low")) / 2.0), "_wick": upper - lower,
                 "_hi3": roll_max("high", w, 3, 2, shift=1), "_lo3": roll_min("low", w, 3, 2, shift=1),
             }
         )

@@ -140,7 +140,7 @@ def drop_unfinished(bars: DataFrame, source: DataFrame, stamp: str = "bar_close"
 
 
 def candles_from_end(bars: DataFrame, n: int, keys: tuple[str, ...] = ("asset", "tf")) -> DataFrame:
-    """Every ``n`` rows form one candle, counted back from the end of each series."""
+    """Every ``n`` rows form one candle, counted back from the end; the incomplete oldest one is left out."""
     last = bars.groupBy(*keys).agg(F.max(IDX).alias("_last"))
     return (
         bars.join(last, list(keys))
@@ -154,7 +154,10 @@ def candles_from_end(bars: DataFrame, n: int, keys: tuple[str, ...] = ("asset",
             F.min("low").alias("low"),
             F.max_by("close", IDX).alias("close"),
             F.sum("volume").alias("volume"),
+            F.count(F.lit(1)).alias("_rows"),
         )
+        .filter(F.col("_rows") == n)
+        .drop("_rows")
     )
 
 

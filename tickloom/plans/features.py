@@ -161,7 +161,7 @@ def _mode(x, n, minp):
 
 
 @query("W11_liquidity_block", with_bars("1h") + f""",
-l0 AS (SELECT *, round(h, 2) AS h2, round(l, 2) AS l2, round((h + l) / 2, 2) AS m2,
+l0 AS (SELECT *, round_even(h * 100, 0) / 100 AS h2, round_even(l * 100, 0) / 100 AS l2, round_even((h + l) / 2 * 100, 0) / 100 AS m2,
   (h - greatest(o, c)) - (least(o, c) - l) AS wk, {q.roll('max', 'h', 3, 2, 1)} AS h3, {q.roll('min', 'l', 3, 2, 1)} AS l3,
   {q.roll('max', 'h', 50, 50, 1)} AS ph, {q.roll('min', 'l', 50, 50, 1)} AS pl FROM b_1h),
 l1 AS (SELECT *, coalesce({_mode('h2', 50, 2)}, 0) AS eh, coalesce({_mode('l2', 50, 2)}, 0) AS el, {_mode('m2', 60, 4)} AS lv

@@ -7,6 +7,8 @@ lineitem -> fills   (grouping at larger row counts)
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,24 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_totalprice").alias("size_usd"),
         ((F.col("o_orderkey") % 100) / 100.0).alias("conf"),
         ((F.col("o_custkey") % 40) / 10.0 - 1.0).alias("evr"),
+        (F.col("o_totalprice") / 1000.0).alias("entry_price"),
+        (F.col("o_totalprice") / 1000.0 + pnl / 10000.0).alias("exit_price"),
+        (F.col("o_totalprice") / 1000.0 - (F.col("o_custkey") % 7 + 1)).alias("stop_price"),
+        (F.col("o_orderkey") % 9 + 1).cast("double").alias("qty"),
+        ((F.col("o_custkey") % 50) / 50.0).alias("hazard_entry"),
+        F.when(F.col("o_orderkey") % 11 == 0, "moonshot").when(F.col("o_orderkey") % 11 == 1, "2R").alias("override"),
+        F.element_at(F.array(*[F.lit(s) for s in ("asia", "london", "ny", "overlap")]),
+                     (F.col("o_custkey") % 4 + 1).cast("int")).alias("session"),
+        F.when(F.col("o_orderkey") % 13 == 0, "stop_hit").otherwise("target").alias("reason"),
+        F.array_compact(
+            F.array(
+                F.when(F.col("o_orderkey") % 3 == 0, "ocean_trend_low"),
+                F.when(F.col("o_orderkey") % 4 == 0, "waves_zone_low"),
+                F.when(F.col("o_orderkey") % 5 == 0, "flow_stale"),
+            )
+        ).alias("gate_reasons"),
+        F.create_map(F.lit("ocean_12h"), F.col("o_orderkey") % 3 != 0, F.lit("flow_1h"), F.col("o_orderkey") % 5 != 0)
+        .alias("gates"),
     )
 
 
@@ -75,6 +95,47 @@ def fills(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SIGNAL_COLUMNS = {
+    "id": "k", "side": "CASE WHEN c % 2 = 0 THEN 'long' ELSE 'short' END",
+    "asset": "concat('C', CAST(c % 5 AS STRING))", "leg": "CASE WHEN k % 3 = 0 THEN 'runner' ELSE 'core' END",
+    "close": "px", "atr": "CASE WHEN k % 29 <> 0 THEN px * (k % 20 + 1) / 1000.0D END",
+    "p_trend_up": "CASE WHEN k % 31 <> 0 THEN (c % 100) / 100.0D END",
+    "p_trend_down": "CASE WHEN k % 31 <> 0 THEN (99 - c % 100) / 100.0D END",
+    "p_regime_trend": "(k % 10) / 10.0D", "p_regime_expansion": "(k % 7) / 10.0D",
+    "p_regime_collapse": "(c % 5) / 10.0D", "p_regime_range": "(c % 3) / 10.0D",
+    "toxicity_12h": "CASE WHEN k % 37 <> 0 THEN (k % 50) / 100.0D END",
+    "structural_bias_6h": "CASE k % 4 WHEN 0 THEN 'UP' WHEN 1 THEN 'down' WHEN 2 THEN 'NEUTRAL' END",
+    "zone_score_6h": "CASE WHEN k % 8 <> 0 THEN (k % 97) / 96.0D END",
+    "flow_ok_1h": "CASE WHEN k % 3 <> 0 THEN k % 2 END",
+    "displacement_body_pct_1h": "(c % 91) / 90.0D", "volume_z_1h": "(k % 41) / 10.0D - 1.0D",
+    "flow_age_bars_1h": "CASE WHEN k % 43 <> 0 THEN k % 9 END",
+    "p_flow_1h": "CASE WHEN k % 23 <> 0 THEN (c % 77) / 76.0D END",
+    "p_liq_flow": "(k % 83) / 82.0D", "p_bos_cont": "(k % 59) / 58.0D", "p_momo": "(c % 47) / 46.0D",
+    "prob_meta": "(k % 71) / 70.0D", "p_eop": "(k % 19) / 18.0D", "p_edp": "(c % 19) / 18.0D",
+    "session_bucket": "CASE (k + c) % 5 WHEN 0 THEN 'dead_zone' WHEN 1 THEN 'pre_expansion' WHEN 2 THEN 'expansion' WHEN 3 THEN 'overlap' END",
+    "session_weight": "CASE (k + c) % 5 WHEN 3 THEN 1.1D WHEN 2 THEN 1.0D WHEN 1 THEN 1.0D ELSE 0.2D END",
+    "session_quality_multiplier": "CASE (k + c) % 5 WHEN 0 THEN 0.75D WHEN 1 THEN 0.95D WHEN 2 THEN 1.05D WHEN 3 THEN 1.15D END",
+    "hazard_score": "(c % 61) / 60.0D", "evr": "(k % 17) / 4.0D - 1.0D", "median_r": "(k % 13) * 1.0D",
+    "confluence_score": "(k % 89) / 88.0D",
+    "q05": "-(k % 40) / 1000.0D", "q10": "-(k % 25) / 1000.0D", "absorption_score": "(k % 101) / 100.0D",
+    "ema_dist_z": "(c % 70) / 10.0D - 3.5D", "bars_in_trade": "k % 60",
+    "entry_price": "px * (1.0D + (c % 21 - 10) / 1000.0D)",
+    "stop_price": "px * (1.0D + (c % 21 - 10) / 1000.0D) * (1.0D + (CASE WHEN c % 2 = 0 THEN -1 ELSE 1 END) * (k % 15 + 1) / 500.0D)",
+    "equity": "10000.0D + (k % 1000) * 50.0D", "free_capital": "(10000.0D + (k % 1000) * 50.0D) * 0.4D",
+    "locked_profit": "(k % 50) * 100.0D", "drawdown": "(c % 23) / 200.0D", "legs": "k % 5",
+    "displacement": "c % 2", "fresh_retest": "CASE WHEN c % 3 > 0 THEN 1 ELSE 0 END", "bos_flag": "k % 2",
+    "flow_strength_1h": "(k % 11) / 10.0D - 0.2D", "qty": "CAST(k % 9 + 1 AS DOUBLE)",
+}
+
+
+def signals(spark: SparkSession, folder: str) -> DataFrame:
+    """One scored candidate per order: every screening input, with gaps, from the order's keys and price."""
+    o = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), (F.col("o_totalprice") / 1000.0).alias("px"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return o.select("ts", *[F.expr(e).alias(n) for n, e in SIGNAL_COLUMNS.items()])
+
+
 def epoch(c: str = "bar_close") -> Column:
     return F.unix_seconds(c)
 
@@ -120,6 +181,25 @@ LEDGER = """led AS (
          o_orderpriority AS tier, o_orderstatus AS regime,
          CASE WHEN o_orderkey % 10 < 7 THEN 'core' ELSE 'runner' END AS leg,
          o_totalprice - 250000.0 AS pnl, (o_totalprice - 250000.0) / 50000.0 AS r, o_totalprice AS size_usd,
-         (o_orderkey % 100) / 100.0 AS conf, (o_custkey % 40) / 10.0 - 1.0 AS evr
+         (o_orderkey % 100) / 100.0::DOUBLE AS conf, (o_custkey % 40) / 10.0::DOUBLE - 1.0 AS evr,
+         o_totalprice / 1000.0 AS entry_price, o_totalprice / 1000.0 + (o_totalprice - 250000.0) / 10000.0 AS exit_price,
+         o_totalprice / 1000.0 - (o_custkey % 7 + 1) AS stop_price, CAST(o_orderkey % 9 + 1 AS DOUBLE) AS qty,
+         (o_custkey % 50) / 50.0::DOUBLE AS hazard_entry,
+         CASE WHEN o_orderkey % 11 = 0 THEN 'moonshot' WHEN o_orderkey % 11 = 1 THEN '2R' END AS override,
+         ['asia', 'london', 'ny', 'overlap'][o_custkey % 4 + 1] AS session,
+         CASE WHEN o_orderkey % 13 = 0 THEN 'stop_hit' ELSE 'target' END AS reason,
+         list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'ocean_trend_low' END, CASE WHEN o_orderkey % 4 = 0 THEN 'waves_zone_low' END,
+           CASE WHEN o_orderkey % 5 = 0 THEN 'flow_stale' END], lambda x: x IS NOT NULL) AS gate_reasons,
+         o_orderkey % 3 <> 0 AS ok_ocean, o_orderkey % 5 <> 0 AS ok_flow
   FROM orders)"""
 WITH_LEDGER = "WITH " + LEDGER
+
+
+def _as_duck(expr: str) -> str:
+    out = re.sub(r"(\d+\.\d+)D", r"CAST(\1 AS DOUBLE)", expr)
+    return out.replace("AS STRING", "AS VARCHAR")
+
+
+SIGNALS = ("sig AS (SELECT ts, " + ", ".join(f"{_as_duck(e)} AS {n}" for n, e in SIGNAL_COLUMNS.items())
+           + " FROM (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice / 1000.0 AS px, o_orderdate AS ts FROM orders))")
+WITH_SIGNALS = "WITH " + SIGNALS

@@ -66,7 +66,7 @@ def close_only(spark, d):
 @query("A5_candles_from_end", with_bars("1h") + """,
 g AS (SELECT *, (max(i) OVER (PARTITION BY asset) - i) // 7 AS candle FROM b_1h)
 SELECT asset, candle, min(t) - 3600 AS t0, max(t) AS t1, arg_min(o, i) AS open, max(h) AS high, min(l) AS low,
-       arg_max(c, i) AS close, sum(v) AS volume FROM g GROUP BY asset, candle""")
+       arg_max(c, i) AS close, sum(v) AS volume FROM g GROUP BY asset, candle HAVING count(*) = 7""")
 def candles_from_end(spark, d):
     return R.candles_from_end(bars(spark, d, "1h"), 7).select(
         "asset", "candle", epoch("bar_open").alias("t0"), epoch("bar_close").alias("t1"),

@@ -41,14 +41,17 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
     return exact_quantiles(pairs, "x", qs, ("column",))
 
 
-def bucket_of(x: Column, edges: Column) -> Column:
-    """0-based bin of ``x`` between sorted edges; bins are open below and closed above, ties share a bin."""
-    inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
-    return F.when(x.isNotNull(), F.size(F.filter(inner, lambda e: e < x)))
+def bucket_of(x: Column, edges: Sequence[float]) -> Column:
+    """0-based bin of ``x`` between the edges; bins are open below and closed above, ties share a bin."""
+    inner = sorted(set(edges))[1:-1]
+    above = F.lit(0)
+    for e in inner:
+        above = above + (x > F.lit(e)).cast("int")
+    return F.when(x.isNotNull(), above)
 
 
 def quantile_buckets(df: DataFrame, value: str, n: int, name: str) -> DataFrame:
     """Add the 1-based quantile bin of ``value``; equal edges are merged, NULL stays NULL."""
-    edges = exact_quantiles(df, value, [i / n for i in range(n + 1)])
-    packed = edges.agg(F.array_sort(F.collect_set("value")).alias("e"))  # n + 1 numbers
-    return df.withColumn(name, bucket_of(F.col(value).cast("double"), packed.scalar()) + 1)
+    # n + 1 numbers come to the driver and become literals
+    edges = [r["value"] for r in exact_quantiles(df, value, [i / n for i in range(n + 1)]).collect()]
+    return df.withColumn(name, bucket_of(F.col(value).cast("double"), edges) + 1)

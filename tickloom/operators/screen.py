@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import clip, finite, first_number, flag, safe_div, sigmoid
 from tickloom.operators.quantile import column_quantiles
-from tickloom.operators.series import BARS, IDX, Lane, framed, index_rows
+from tickloom.operators.series import pin
 
 
 @dataclass(frozen=True)
@@ -222,48 +223,53 @@ def screen(df: DataFrame, p: Policy = POLICY) -> DataFrame:
 def spaced_signals(df: DataFrame, per_hour: int = 2, min_gap: int = 2) -> DataFrame:
     """Greedy limits per asset: at most ``per_hour`` accepted signals per clock hour, ``min_gap`` bars apart.
 
-    Whether a signal is accepted depends on the ones accepted before it, so the rule runs
-    in order.  Candidates at least ``min_gap`` bars after the previous candidate that also start a
-    new clock hour cannot be affected by earlier ones: they start a new *episode*, and each
-    (asset, episode) is its own small group.  Needs ``asset``, ``bar_index``, ``bar_close``, ``candidate``.
+    Whether a signal is accepted depends on those accepted before it, but across an hour
+    only through how many bars of the gap are still open: ``min_gap`` cases.  Every (asset,
+    hour) is worked out for all cases in parallel; then one small row per hour is
+    chained per asset to find the case that applies.
+    Needs ``asset``, ``bar_index``, ``bar_close`` and ``candidate``.
     """
-    import pandas as pd
+    cases = "asset string, hour timestamp, first_bar long, open_bars int, taken array<long>"
+
+    def play(pdf: pd.DataFrame) -> pd.DataFrame:
+        bars = sorted(pdf["bar_index"])
+        out = []
+        for still_open in range(min_gap if min_gap > 0 else 1):
+            ready, taken = bars[0] + still_open, []
+            for b in bars:
+                if b >= ready and len(taken) < per_hour:
+                    taken.append(int(b))
+                    ready = b + min_gap
+            out.append((pdf["asset"].iloc[0], pdf["hour"].iloc[0], int(bars[0]), still_open, taken))
+        return pd.DataFrame(out, columns=["asset", "hour", "first_bar", "open_bars", "taken"])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        ready, rows = None, []
+        for (hour, first), hours in pdf.groupby(["hour", "first_bar"], sort=True):
+            case = 0 if ready is None else int(max(0, ready - first))
+            last = hours.loc[hours["open_bars"] == case, "last_taken"].iloc[0]
+            ready = last + min_gap if last >= 0 else ready
+            rows.append((pdf["asset"].iloc[0], hour, case))
+        return pd.DataFrame(rows, columns=["asset", "hour", "open_bars"])
 
-    cand = index_rows(df.filter(F.col("candidate") == 1).select("asset", "bar_index", "bar_close"), ("asset",), ("bar_index",))
-    lane = Lane(keys=("asset",))
     hour = F.date_trunc("hour", "bar_close")
-
-    def starts(d: DataFrame, w) -> DataFrame:
-        free = (F.col("bar_index") - F.lag("bar_index").over(w) >= min_gap) & (hour > F.lag(hour).over(w))
-        return d.withColumn("_start", F.when(F.coalesce(free, F.lit(True)), F.col(IDX)))
-
-    from tickloom.operators.series import carry_last
-
-    epi = carry_last(framed(cand, starts, back=1, lane=lane), {"episode": F.col("_start")}, lane).drop("_start", IDX)
-
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_index")
-        taken, last, in_hour = [], None, {}
-        for i, h in zip(pdf["bar_index"], pdf["bar_close"].dt.floor("h")):
-            ok = (last is None or i - last >= min_gap) and in_hour.get(h, 0) < per_hour
-            if ok:
-                last, in_hour[h] = i, in_hour.get(h, 0) + 1
-            taken.append(int(ok))
-        return pdf.assign(accepted=taken)[["asset", "bar_index", "accepted"]]
-
-    picked = epi.groupBy("asset", "episode").applyInPandas(accept, "asset string, bar_index long, accepted int")
-    return df.join(picked, ["asset", "bar_index"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
+    cand = df.filter(F.col("candidate") == 1).select("asset", "bar_index", hour.alias("hour"))
+    played = pin(cand.groupBy("asset", "hour").applyInPandas(play, cases))
+    small = played.select("asset", "hour", "first_bar", "open_bars",
+                          F.coalesce(F.try_element_at("taken", F.lit(-1)), F.lit(-1)).alias("last_taken"))
+    applies = small.groupBy("asset").applyInPandas(chain, "asset string, hour timestamp, open_bars int")
+    taken = played.join(applies, ["asset", "hour", "open_bars"]).select(
+        "asset", F.explode("taken").alias("bar_index"), F.lit(1).alias("accepted"))
+    return df.join(taken, ["asset", "bar_index"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
 
 
 def top_per_hour(df: DataFrame, k: int, score: str, keys: Sequence[str] = ("asset",)) -> DataFrame:
-    """The ``k`` best rows per key and clock hour, without sorting whole groups in one task.
+    """The ``k`` best rows per key and clock hour.
 
-    Each group keeps a bounded list while it aggregates (partial lists are merged in the shuffle).
+    Ranked first inside 64 salted slices of a group, then among the slices' winners (at most
+    64 * k rows), so a busy hour is spread over many tasks.
     """
     hour = F.date_trunc("hour", "bar_close").alias("hour")
-    from pyspark.sql import Window
-
-    # first inside small salted slices, then among their winners
     salted = df.withColumns({"hour": hour, "_salt": F.pmod(F.xxhash64("id"), F.lit(64))})
     w1 = Window.partitionBy(*keys, "hour", "_salt").orderBy(F.desc(score), "id")
     first = salted.withColumn("_rank", F.row_number().over(w1)).filter(F.col("_rank") <= k)

@@ -1,3 +1,3 @@
 """Queries over the driver tables; importing this package fills the registry."""
 
-from tickloom.plans import features, labels, ledger, rollups, structure  # noqa: F401
+from tickloom.plans import features, labels, ledger, rollups, screen, structure  # noqa: F401

@@ -168,9 +168,9 @@ s2 AS (SELECT *, CASE WHEN p1 > 0 THEN p1 * winner_haircut ELSE p1 END AS p2 FRO
 st AS (SELECT *, CASE WHEN p2 < 0 THEN p2 * loss_multiplier ELSE p2 END + pnl_shift_usd AS adj_pnl FROM s2)"""
 
 
-@query("F21_stressed_pnl", "WITH " + _STRESSED + "\nSELECT scenario, trade_id, round(adj_pnl, 4) AS adj_pnl FROM st")
+@query("F21_stressed_pnl", "WITH " + _STRESSED + "\nSELECT scenario, trade_id, round(adj_pnl, 6) AS adj_pnl FROM st")
 def stressed(spark, d):
-    return L.stressed(ledger(spark, d)).select("scenario", "trade_id", F.round("adj_pnl", 4).alias("adj_pnl"))
+    return L.stressed(ledger(spark, d)).select("scenario", "trade_id", F.round("adj_pnl", 6).alias("adj_pnl"))
 
 
 @query("J10_scenario_totals", "WITH " + _STRESSED + """
@@ -181,7 +181,7 @@ def scenario_totals(spark, d):
         F.count_if(F.col("adj_pnl") > 0).alias("wins"))
 
 
-_EQ = 1e8
+_EQ = 5e8
 
 
 def _stress_sql(cols):
@@ -258,12 +258,12 @@ def grid(spark, d):
     return neat(L.stress_grid(ledger(spark, d), "conf", "hazard_entry"), 4)
 
 
-@query("A18_pivot_max", """WITH x AS (SELECT o_orderpriority AS target, o_orderstatus AS family, o_totalprice AS s FROM orders)
-SELECT target, max(s) FILTER (family = 'F') AS "F", max(s) FILTER (family = 'O') AS "O",
-  round(max(s) FILTER (family = 'F') - max(s) FILTER (family = 'O'), 2) AS delta FROM x GROUP BY 1""")
+@query("A18_pivot_max", """WITH x AS (SELECT o_orderpriority AS target, o_orderstatus AS family, o_totalprice / 0.997::DOUBLE AS s FROM orders)
+SELECT target, round(max(s) FILTER (family = 'F'), 4) AS "F", round(max(s) FILTER (family = 'O'), 4) AS "O",
+  round(max(s) FILTER (family = 'F') - max(s) FILTER (family = 'O'), 4) AS delta FROM x GROUP BY 1""")
 def pivot_max(spark, d):
     x = ledger(spark, d).groupBy(F.col("tier").alias("target")).pivot("regime", ["F", "O"]).agg(F.max("size_usd"))
-    return x.withColumn("delta", F.round(F.col("F") - F.col("O"), 2))
+    return neat(x.withColumn("delta", F.col("F") - F.col("O")), 4)
 
 
 @query("A19_reason_counts", WITH_LEDGER + "\nSELECT reason, count(*) AS trades FROM (SELECT unnest(gate_reasons) AS reason FROM led) GROUP BY 1")
@@ -296,19 +296,19 @@ def to_date(spark, d):
 
 
 @query("A37_weighted_entry", """SELECT l_orderkey AS order_id, round(sum(l_quantity), 2) AS qty,
-  round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS avg_entry FROM lineitem GROUP BY 1""")
+  round(sum(l_quantity * (l_extendedprice / 0.997::DOUBLE)) / sum(l_quantity), 4) AS avg_entry FROM lineitem GROUP BY 1""")
 def weighted_entry(spark, d):
-    return neat(L.weighted_entry(fills(spark, d), "order_id", "qty", "notional"), qty=2, avg_entry=4)
+    price = F.col("notional") / 0.997
+    return neat(L.weighted_entry(fills(spark, d).withColumn("price", price), "order_id"), qty=2, avg_entry=4)
 
 
 @query("W29_equity_curve", WITH_LEDGER + """,
-e AS (SELECT *, 20000.0 + sum(pnl) OVER (ORDER BY entry_ts, trade_id ROWS UNBOUNDED PRECEDING) AS eq FROM led)
+e AS (SELECT *, 1e9 + sum(pnl) OVER (ORDER BY entry_ts, trade_id ROWS UNBOUNDED PRECEDING) AS eq FROM led)
 SELECT trade_id, round(eq, 2) AS equity, round(eq - max(eq) OVER (ORDER BY entry_ts, trade_id ROWS UNBOUNDED PRECEDING), 2) AS drawdown,
-  round(pnl / greatest(eq - pnl, 1e-9), 3) AS ret_on_equity FROM e WHERE true""")
+  round(pnl / greatest(eq - pnl, 1e-9), 9) AS ret_on_equity FROM e""")
 def equity_curve(spark, d):
-    out = L.equity_curve(L.ordered(ledger(spark, d)))
-    # where equity is at its floor the return is pnl over 1e-9: compare it to three places
-    return neat(out.select("trade_id", "equity", "drawdown", "ret_on_equity"), equity=2, drawdown=2, ret_on_equity=3)
+    out = L.equity_curve(L.ordered(ledger(spark, d)), 1e9)
+    return neat(out.select("trade_id", "equity", "drawdown", "ret_on_equity"), equity=2, drawdown=2, ret_on_equity=9)
 
 
 @query("W30_longest_streaks", WITH_LEDGER + "".join(f""",

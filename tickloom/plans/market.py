@@ -42,7 +42,7 @@ def bars(spark: SparkSession, folder: str, tf: str) -> DataFrame:
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders")
-    pnl = F.col("o_totalprice") - 250000.0
+    pnl = (F.col("o_totalprice") - 250000.0) / 0.997
     return o.select(
         F.col("o_orderkey").alias("trade_id"),
         F.col("o_orderdate").cast("timestamp").alias("entry_ts"),
@@ -55,8 +55,8 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderstatus").alias("regime"),
         F.when(F.col("o_orderkey") % 10 < 7, "core").otherwise("runner").alias("leg"),
         pnl.alias("pnl"),
-        (pnl / 50000.0).alias("r"),
-        F.col("o_totalprice").alias("size_usd"),
+        (pnl / 47123.0).alias("r"),
+        (F.col("o_totalprice") / 0.997).alias("size_usd"),
         ((F.col("o_orderkey") % 100) / 100.0).alias("conf"),
         ((F.col("o_custkey") % 40) / 10.0 - 1.0).alias("evr"),
         (F.col("o_totalprice") / 1000.0).alias("entry_price"),
@@ -131,7 +131,7 @@ SIGNAL_COLUMNS = {
 def signals(spark: SparkSession, folder: str) -> DataFrame:
     """One scored candidate per order: every screening input, with gaps, from the order's keys and price."""
     o = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), (F.col("o_totalprice") / 1000.0).alias("px"),
+        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), (F.col("o_totalprice") / 997.0).alias("px"),
         F.col("o_orderdate").cast("timestamp").alias("ts"))
     return o.select("ts", *[F.expr(e).alias(n) for n, e in SIGNAL_COLUMNS.items()])
 
@@ -180,9 +180,9 @@ LEDGER = """led AS (
          CASE WHEN o_custkey % 2 = 0 THEN 'long' ELSE 'short' END AS side,
          o_orderpriority AS tier, o_orderstatus AS regime,
          CASE WHEN o_orderkey % 10 < 7 THEN 'core' ELSE 'runner' END AS leg,
-         o_totalprice - 250000.0 AS pnl, (o_totalprice - 250000.0) / 50000.0 AS r, o_totalprice AS size_usd,
+         (o_totalprice - 250000.0) / 0.997::DOUBLE AS pnl, (o_totalprice - 250000.0) / 0.997::DOUBLE / 47123.0 AS r, o_totalprice / 0.997::DOUBLE AS size_usd,
          (o_orderkey % 100) / 100.0::DOUBLE AS conf, (o_custkey % 40) / 10.0::DOUBLE - 1.0 AS evr,
-         o_totalprice / 1000.0 AS entry_price, o_totalprice / 1000.0 + (o_totalprice - 250000.0) / 10000.0 AS exit_price,
+         o_totalprice / 1000.0 AS entry_price, o_totalprice / 1000.0 + (o_totalprice - 250000.0) / 0.997::DOUBLE / 10000.0 AS exit_price,
          o_totalprice / 1000.0 - (o_custkey % 7 + 1) AS stop_price, CAST(o_orderkey % 9 + 1 AS DOUBLE) AS qty,
          (o_custkey % 50) / 50.0::DOUBLE AS hazard_entry,
          CASE WHEN o_orderkey % 11 = 0 THEN 'moonshot' WHEN o_orderkey % 11 = 1 THEN '2R' END AS override,
@@ -201,5 +201,5 @@ def _as_duck(expr: str) -> str:
 
 
 SIGNALS = ("sig AS (SELECT ts, " + ", ".join(f"{_as_duck(e)} AS {n}" for n, e in SIGNAL_COLUMNS.items())
-           + " FROM (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice / 1000.0 AS px, o_orderdate AS ts FROM orders))")
+           + " FROM (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice / 997.0 AS px, o_orderdate AS ts FROM orders))")
 WITH_SIGNALS = "WITH " + SIGNALS

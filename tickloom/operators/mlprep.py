@@ -432,12 +432,14 @@ def label_summary(df: DataFrame, label: str = "state", noise: int = -1) -> DataF
     return n.withColumns({"share": F.col("rows") / total, "noise_share": quiet / total})
 
 
-def acceptance(metrics: DataFrame, min_ap: float = 0.0, min_auc: float = 0.5, max_brier: float = 0.30, min_rows: int = 50) -> DataFrame:
-    """Holdout verdict with the names of the failed checks."""
+def acceptance(metrics: DataFrame, cv_score: float, score: str = "ap", max_drop: float = 0.05, min_score: float | None = None,
+               min_precision: float = 0.10) -> DataFrame:
+    """Holdout verdict: no large drop from the cross-validated score, and enough precision at the threshold."""
     why = F.array_compact(F.array(
-        F.when(F.col("rows") < min_rows, "rows"), F.when(F.col("ap") < min_ap, "ap"), F.when(F.col("auc") < min_auc, "auc"),
-        F.when(F.col("brier") > max_brier, "brier")))
-    return metrics.withColumns({"rejected_for": F.array_join(why, ","), "accepted": flag(F.size(why) == 0)})
+        F.when(F.col(score) < min_score, "acceptance_score_below_min") if min_score is not None else F.lit(None).cast("string"),
+        F.when(F.lit(cv_score) - F.col(score) > max_drop, "acceptance_drop_exceeds_tolerance"),
+        F.when(F.col("precision") < min_precision, "acceptance_precision_below_min")))
+    return metrics.withColumns({"reasons": F.array_join(why, ","), "accepted": flag(F.size(why) == 0)})
 
 
 def label_sweep(base: DataFrame, candidates: Sequence[tuple[str, Mapping]], registry: Mapping[str, Callable], label_col: Callable[[str], str],

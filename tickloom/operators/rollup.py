@@ -253,3 +253,23 @@ def carry_next(df: DataFrame, values: dict[str, Column], lane: Lane = BARS) -> D
         {n: F.coalesce(F.first(f"_v_{n}", ignorenulls=True).over(frame), F.col(f"_s_{n}")) for n in values}
     )
     return out.drop("_block", *[f"_v_{n}" for n in values], *[f"_s_{n}" for n in values])
+
+
+def market_headline(bars: DataFrame, day: int = 96, span: int = 1200, keys: tuple[str, ...] = ("asset", "tf"), lane: Lane = BARS) -> DataFrame:
+    """Change, range and volume of the last ``day`` bars, and the spread of returns over the last ``span``."""
+    last = bars.groupBy(*keys).agg(F.max(IDX).alias("_last"))
+
+    def build(d: DataFrame, w) -> DataFrame:
+        prev = F.lag("close").over(w)
+        return d.withColumn("_ret", F.try_divide(F.col("close"), F.when(prev > 0, prev)) - 1.0)
+
+    d = framed(bars, build, back=1, lane=lane).join(last, list(keys))
+    recent = F.col(IDX) > F.col("_last") - day
+    c = F.max_by("close", IDX)
+    first = F.min_by("close", F.when(recent, F.col(IDX)))
+    return d.groupBy(*keys).agg(
+        ((F.try_divide(c, first) - 1.0) * 100.0).alias("change_pct"),
+        ((F.max(F.when(recent, F.col("high"))) - F.min(F.when(recent, F.col("low")))) / F.greatest(c, F.lit(1e-9)) * 100.0).alias("range_pct"),
+        F.sum(F.when(recent, F.col("volume"))).alias("volume"),
+        (F.stddev_pop(F.when(F.col(IDX) > F.col("_last") - span + 1, F.col("_ret"))) * 100.0).alias("realized_vol"),
+    ).drop("tf")

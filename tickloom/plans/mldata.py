@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from typing import Iterator, Tuple
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import log_return
@@ -326,7 +330,7 @@ _INPUTS = ("atr", "zone_score_6h", "toxicity_12h", "volume_z_1h", "hazard_score"
 
 @query("M1_preprocessing", WITH_SIGNALS + """,
 md AS (SELECT *, quantile_disc(atr, 0.5) OVER () AS q FROM sig), a AS (SELECT id, hazard_score AS h FROM sig)
-SELECT count(*) AS rows, round(avg((h - m) / sd), 6) + 0.0 AS mean_scaled, round(stddev_samp((h - m) / sd), 6) AS sd_scaled, 8 AS width
+SELECT count(*) AS rows, round(avg((h - m) / sd), 6) + 0.0 AS mean_scaled, round(stddev_samp((h - m) / sd), 6) AS sd_scaled, 9 AS width
 FROM a, (SELECT avg(h) AS m, stddev_samp(h) AS sd FROM a)""")
 def preprocessing(spark, d):
     from pyspark.ml.functions import vector_to_array
@@ -500,13 +504,8 @@ def registry(spark, d):
 SELECT id, round(1 / (1 + exp(-(0.8 * hazard_score - 0.5 * evr + 0.1))), 6) AS p FROM sig""")
 def predictor(spark, d):
     """An external model: an iterator pandas UDF that builds the model once per worker."""
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
-    def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def predict(batches: Iterator[Tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         weights = np.array([0.8, -0.5])  # stands for loading the model
         for hazard, evr in batches:
             yield pd.Series(1.0 / (1.0 + np.exp(-(np.column_stack([hazard, evr]) @ weights + 0.1))))

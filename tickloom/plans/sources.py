@@ -31,7 +31,7 @@ def bars_csv(spark, d):
     return S.read_bars_csv(spark, path).withColumnRenamed("timestamp", "t")
 
 
-@query("S2_time_normalised", "SELECT event_id, epoch_ms(ts) AS ms, epoch_us(ts) // 1000 AS from_ms FROM events")
+@query("S2_time_normalised", "SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 AS from_ms FROM events")
 def time_normalised(spark, d):
     e = table(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("time"))
     out = S.normalise_time(e)
@@ -88,7 +88,7 @@ def bar_sink(spark, d):
 
 
 @query("S9_feature_upsert", with_bars("1h") + """
-SELECT asset, t, CASE WHEN t > 1705276800 THEN c + 1000 ELSE c END AS close, CASE WHEN t > 1705276800 THEN v END AS extra FROM b_1h""")
+SELECT asset, t, round(CASE WHEN t > 1705276800 THEN c + 1000 ELSE c END, 2) AS close, CASE WHEN t > 1705276800 THEN v END AS extra FROM b_1h""")
 def upsert(spark, d):
     b = pin(R.rollup(minutes(spark, d), "1h").select("asset", "bar_close", "close", "volume"))
     store = T.FeatureTable(spark, scratch(spark, "features"))
@@ -226,7 +226,7 @@ def merge_stored(spark, d):
 
 
 @query("J6_full_merge", with_bars("1h") + """
-SELECT asset, t, CASE WHEN v >= 50 THEN c + 1 ELSE c END AS close FROM b_1h WHERE v < 200 OR v >= 50""")
+SELECT asset, t, round(CASE WHEN v >= 50 THEN c + 1 ELSE c END, 2) AS close FROM b_1h WHERE v < 200 OR v >= 50""")
 def full_merge(spark, d):
     b = pin(R.rollup(minutes(spark, d), "1h").select("asset", "bar_close", "close", "volume"))
     a = b.filter(F.col("volume") < 200).select("asset", "bar_close", "close")

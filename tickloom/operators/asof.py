@@ -15,13 +15,14 @@ def asof(
     by: Sequence[str] = ("asset",),
     strict: bool = False,
     suffix: str = "",
-    span_seconds: int = 30 * 86400,
+    span_seconds: int = 86400,
 ) -> DataFrame:
     """Attach to each ``spine`` row the latest ``ctx`` row at or before it (before it when ``strict``).
 
     Both sides are unioned and the last context struct is carried forward inside
     (key, time chunk); a chunk starts from the last context of the chunks before
-    it, found on one summary row per chunk.  No task ever holds a whole series.
+    it, found on one summary row per chunk.  No task ever holds a whole series; when
+    the spine is trades rather than bars, shorten ``span_seconds`` to keep chunks small.
     """
     attrs = [c for c in ctx.columns if c not in (*by, on)]
     chunk = F.floor(F.unix_seconds(on) / span_seconds).cast("long")

@@ -92,16 +92,22 @@ def duplicate_columns(df: DataFrame, cols: Sequence[str], row_id: Column) -> lis
     return [(a, b) for a, b in pairs if same[a]]
 
 
-def correlations(df: DataFrame, cols: Sequence[str], min_rows: int = 2) -> DataFrame:
-    """Pearson correlation of every column pair over the rows that have both; one aggregate, one row per pair."""
+def correlations(df: DataFrame, cols: Sequence[str], min_rows: int = 2, per_pass: int = 500) -> DataFrame:
+    """Pearson correlation of every column pair over the rows that have both, ``per_pass`` pairs to an aggregate.
+
+    No pair of rows is ever formed; the result has one row per column pair.
+    """
     pairs = list(combinations(cols, 2))
-    cells = []
-    for a, b in pairs:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both).alias("rows"),
-                              F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias("corr")))
-    d = df.agg(F.array(*cells).alias("p")).select(F.explode("p").alias("p")).select("p.*")
-    return d.withColumn("corr", F.when((F.col("rows") >= min_rows) & ~F.isnan("corr"), F.col("corr")))
+    out = None
+    for at in range(0, len(pairs), per_pass):
+        cells = []
+        for a, b in pairs[at : at + per_pass]:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both).alias("rows"),
+                                  F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias("corr")))
+        part = df.agg(F.array(*cells).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("corr", F.when((F.col("rows") >= min_rows) & ~F.isnan("corr"), F.col("corr")))
 
 
 def asset_correlations(df: DataFrame, value: str = "ret", min_rows: int = 50) -> DataFrame:

@@ -71,10 +71,18 @@ def has(df: DataFrame, *names: str) -> Column:
 
 def by_bucket(bucket: Column, table: Mapping[str, float], default: float | None) -> Column:
     """Policy lookup: a literal map of at most four entries."""
-    out = None
-    for k, v in table.items():
-        out = F.when(bucket == k, F.lit(float(v))) if out is None else out.when(bucket == k, F.lit(float(v)))
-    return out.otherwise(F.lit(default)) if default is not None else out
+    found = F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(float(v)))]), bucket)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def settled(df: DataFrame, *cols: str) -> DataFrame:
+    """Compute these columns here, once.
+
+    Rules build on each other's results; written as one projection, the optimizer would
+    copy a shared expression into every place that uses it.  A generated row keeps it whole.
+    """
+    rest = [c for c in df.columns if c not in cols]
+    return df.select(*rest, F.inline(F.array(F.struct(*cols))))
 
 
 def session_bucket(df: DataFrame) -> Column:
@@ -142,13 +150,14 @@ def gates(df: DataFrame, side: Column | None = None, p: Policy = POLICY) -> Data
         .when(F.coalesce(prob, F.lit(-1.0)) < by_bucket(bucket, p.flow_prob_min, None), "session_flow_prob_low")
         .when(hazard > by_bucket(bucket, p.hazard_max, None), "session_hazard_high")
     )
+    marks = ("gate_ocean", "gate_waves", "gate_flow", "gate_session", "gate_reasons")
     out = df.withColumns(
         {
             "gate_ocean": flag(ocean), "gate_waves": flag(waves), "gate_flow": flag(flow), "gate_session": flag(session_note.isNull()),
             "gate_reasons": F.concat(ocean_note, F.array_compact(F.array(waves_note)), flow_note, F.array_compact(F.array(session_note))),
         }
     )
-    return out.withColumn("gate_passed", F.col("gate_ocean") * F.col("gate_waves") * F.col("gate_flow") * F.col("gate_session"))
+    return settled(out, *marks).withColumn("gate_passed", F.col("gate_ocean") * F.col("gate_waves") * F.col("gate_flow") * F.col("gate_session"))
 
 
 def confluence(df: DataFrame, p: Policy = POLICY) -> DataFrame:
@@ -170,7 +179,8 @@ def confluence(df: DataFrame, p: Policy = POLICY) -> DataFrame:
     weight = F.coalesce(F.greatest(has(df, "session_weight").cast("double"), F.lit(0.0)), F.lit(1.0)) * w["session"]
     score = raw * weight * by_bucket(bucket, p.score_multiplier, 1.0)
     limit = F.greatest(F.lit(p.default_threshold) + by_bucket(bucket, p.threshold_add, 0.0), F.lit(0.0))
-    return df.withColumns({"confluence": score, "confluence_threshold": limit, "confluence_passed": flag(score >= limit)})
+    d = settled(df.withColumns({"confluence": score, "confluence_threshold": limit}), "confluence", "confluence_threshold")
+    return d.withColumn("confluence_passed", flag(F.col("confluence") >= F.col("confluence_threshold")))
 
 
 TARGETS = ("swing_target", "fvg_target", "liquidity_pool", "range_edge")
@@ -186,6 +196,8 @@ def expected_value(df: DataFrame, targets: Sequence[str] = TARGETS, p: Policy =
           for t in targets]
     d = df.withColumns({"evr_stop": stop, "r_values": F.when(risk > 0, F.array_compact(F.array(*rs)))
                         .otherwise(F.array().cast("array<double>"))})
+    d = settled(d, "evr_stop", "r_values")
+    risk = F.abs(px - F.col("evr_stop"))
     v = F.array_sort("r_values")
     n = F.size("r_values")
     mean = F.aggregate("r_values", F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
@@ -194,9 +206,9 @@ def expected_value(df: DataFrame, targets: Sequence[str] = TARGETS, p: Policy =
     win = F.coalesce(has(df, "p_bos_cont", "prob_bos_cont"), F.lit(0.0))
     borrow = F.when(~long, p.borrow_cap / 365 / 24 / 4).otherwise(0.0)
     cost = (F.lit(p.taker_bps / 10000.0) + p.slip_bps / 10000.0 + borrow) * px / F.nullif(risk, F.lit(0.0))
-    return d.withColumns(
+    return settled(d.withColumns(
         {"evr": F.when(n > 0, win * mean - (1.0 - win) - cost), "median_r": F.when(n > 0, median)}
-    )
+    ), "evr", "median_r")
 
 
 def tier(df: DataFrame, conf: str = "confluence_score", hazard: str = "hazard_score", passed: Column | None = None,
@@ -206,12 +218,19 @@ def tier(df: DataFrame, conf: str = "confluence_score", hazard: str = "hazard_sc
     c, h = F.coalesce(F.col(conf), F.lit(0.0)), F.coalesce(F.col(hazard), F.lit(1.0))
     e, m = F.coalesce(F.col("evr"), low), F.coalesce(F.col("median_r"), low)
     failed = F.lit(False) if passed is None else ~F.coalesce(passed, F.lit(False))
-    name, auto, why = F.when(failed, "B"), F.when(failed, False), F.when(failed, "confluence_fail")
-    for t, (c0, e0, m0, h0, run) in p.tiers.items():
-        ok = (c >= c0) & (e >= e0) & (m >= m0) & (h <= h0)
-        name, auto, why = name.when(ok, t), auto.when(ok, F.lit(run)), why.when(ok, t.replace("+", "plus"))
-    return df.withColumns({"tier": name.otherwise("skip"), "tier_execute": flag(auto.otherwise(False)),
-                           "tier_reason": why.otherwise("below_thresholds")})
+    names = list(p.tiers)
+    step = F.when(failed, 0)
+    for i, (c0, e0, m0, h0, _) in enumerate(p.tiers.values()):
+        step = step.when((c >= c0) & (e >= e0) & (m >= m0) & (h <= h0), i + 1)
+    d = settled(df.withColumn("_step", step.otherwise(len(names) + 1)), "_step")
+
+    def pick(values: Sequence) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_step") + 1)
+
+    return d.withColumns(
+        {"tier": pick(["B", *names, "skip"]), "tier_execute": pick([0, *[int(p.tiers[t][4]) for t in names], 0]),
+         "tier_reason": pick(["confluence_fail", *[t.replace("+", "plus") for t in names], "below_thresholds"])}
+    ).drop("_step")
 
 
 def screen(df: DataFrame, p: Policy = POLICY) -> DataFrame:

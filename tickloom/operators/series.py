@@ -41,9 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def pin(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives executor loss."""
-    path = f"{shared_folder(df.sparkSession)}/pinned/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{_pinned_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _pinned_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/pinned/{spark.sparkContext.applicationId}"
+
+
+def drop_pinned(spark: SparkSession) -> None:
+    """Delete what this application pinned; frames built on it can no longer be read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_pinned_folder(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @dataclass(frozen=True)
@@ -64,7 +75,7 @@ class Lane:
 
 
 BARS = Lane()
-LEDGER = Lane(keys=(), block=65536)
+LEDGER = Lane(keys=(), block=262144)
 
 
 def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -22,63 +22,49 @@ def near_equal(a, b, tol: float = EQUAL_TOLERANCE) -> Column:
     return F.coalesce((a != 0) & (b != 0) & (safe_div(F.abs(a - b), F.greatest(a, b)) <= tol), F.lit(False))
 
 
-def swings(df: DataFrame, left: int = 2, right: int = 2, lane: Lane = BARS) -> DataFrame:
-    """Strict pivots with full neighbourhoods, equal-level flags and magnitude tier.
+def _swing_columns(d: DataFrame, w: WindowSpec, left: int, right: int) -> DataFrame:
+    lo, hi = w.rowsBetween(-left, -1), w.rowsBetween(1, right)
+    full = (F.count("high").over(lo) == left) & (F.count("high").over(hi) == right)
+    d = d.withColumns(
+        {
+            "swing_high": F.when(full & (F.col("high") > F.max("high").over(lo)) & (F.col("high") > F.max("high").over(hi)), F.col("high")),
+            "swing_low": F.when(full & (F.col("low") < F.min("low").over(lo)) & (F.col("low") < F.min("low").over(hi)), F.col("low")),
+            "swing_confirmed_at": F.when(full, F.lead("bar_close", right).over(w)),
+            "_ph": F.lag("high").over(w), "_nh": F.lead("high").over(w),
+            "_pl": F.lag("low").over(w), "_nl": F.lead("low").over(w),
+        }
+    )
+    sh, sl = F.col("swing_high"), F.col("swing_low")
+    size = F.when(sh.isNotNull(), F.greatest(F.abs(sh - F.col("_ph")), F.abs(sh - F.col("_nh")))).when(
+        sl.isNotNull(), F.greatest(F.abs(sl - F.col("_pl")), F.abs(sl - F.col("_nl"))))
+    level = F.coalesce(sh, sl)
+    return d.withColumns(
+        {
+            "swing_equal_high": flag(sh.isNotNull() & (near_equal(sh, "_ph") | near_equal(sh, "_nh"))),
+            "swing_equal_low": flag(sl.isNotNull() & (near_equal(sl, "_pl") | near_equal(sl, "_nl"))),
+            "swing_tier": F.when(size > PRIMARY_SWING * level, "primary")
+            .when(size > SECONDARY_SWING * level, "secondary").when(size.isNotNull(), "extended"),
+        }
+    ).drop("_ph", "_nh", "_pl", "_nl")
 
-    A pivot is written on its own bar, ``right`` bars before it can be known;
-    ``swing_confirmed_at`` is the close of the bar that confirms it.
-    """
-    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        lo, hi = w.rowsBetween(-left, -1), w.rowsBetween(1, right)
-        full = (F.count("high").over(lo) == left) & (F.count("high").over(hi) == right)
-        d = d.withColumns(
-            {
-                "swing_high": F.when(full & (F.col("high") > F.max("high").over(lo)) &
-                                     (F.col("high") > F.max("high").over(hi)), F.col("high")),
-                "swing_low": F.when(full & (F.col("low") < F.min("low").over(lo)) &
-                                    (F.col("low") < F.min("low").over(hi)), F.col("low")),
-                "swing_confirmed_at": F.when(full, F.lead("bar_close", right).over(w)),
-                "_ph": F.lag("high").over(w), "_nh": F.lead("high").over(w),
-                "_pl": F.lag("low").over(w), "_nl": F.lead("low").over(w),
-            }
-        )
-        sh, sl = F.col("swing_high"), F.col("swing_low")
-        size = F.when(sh.isNotNull(), F.greatest(F.abs(sh - F.col("_ph")), F.abs(sh - F.col("_nh")))).when(
-            sl.isNotNull(), F.greatest(F.abs(sl - F.col("_pl")), F.abs(sl - F.col("_nl"))))
-        level = F.coalesce(sh, sl)
-        return d.withColumns(
-            {
-                "swing_equal_high": flag(sh.isNotNull() & (near_equal(sh, "_ph") | near_equal(sh, "_nh"))),
-                "swing_equal_low": flag(sl.isNotNull() & (near_equal(sl, "_pl") | near_equal(sl, "_nl"))),
-                "swing_tier": F.when(size > PRIMARY_SWING * level, "primary")
-                .when(size > SECONDARY_SWING * level, "secondary").when(size.isNotNull(), "extended"),
-            }
-        ).drop("_ph", "_nh", "_pl", "_nl")
 
-    return framed(df, build, back=left + 1, ahead=right + 1, lane=lane)
+def _break_inputs(d: DataFrame, w: WindowSpec, delay: int) -> DataFrame:
+    return d.withColumns(
+        {
+            "_sh": F.lag("swing_high", delay).over(w) if delay else F.col("swing_high"),
+            "_sl": F.lag("swing_low", delay).over(w) if delay else F.col("swing_low"),
+            "_ph": F.coalesce(F.lag("high").over(w), F.col("high")),
+            "_pl": F.coalesce(F.lag("low").over(w), F.col("low")),
+        }
+    )
 
 
-def structure_breaks(df: DataFrame, confirmed_after: int = 0, buffer: float = 0.0, lane: Lane = BARS) -> DataFrame:
-    """Closes beyond the last swing, reversal flags and bias (needs ``swing_high``/``swing_low``).
+_BREAK_CARRY = {"last_swing_high": "_sh", "last_swing_low": "_sl"}
 
-    ``confirmed_after=0`` uses a pivot from its own bar on; pass the pivot's right
-    neighbourhood to use it only once it is known.
-    """
-    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        return d.withColumns(
-            {
-                "_sh": F.lag("swing_high", confirmed_after).over(w) if confirmed_after else F.col("swing_high"),
-                "_sl": F.lag("swing_low", confirmed_after).over(w) if confirmed_after else F.col("swing_low"),
-                "_ph": F.coalesce(F.lag("high").over(w), F.col("high")),
-                "_pl": F.coalesce(F.lag("low").over(w), F.col("low")),
-            }
-        )
 
-    d = framed(df, build, back=max(confirmed_after, 1), lane=lane)
-    d = carry_last(d, {"last_swing_high": F.col("_sh"), "last_swing_low": F.col("_sl")}, lane)
+def _break_columns(d: DataFrame, buffer: float) -> DataFrame:
     hi, lo = F.col("last_swing_high"), F.col("last_swing_low")
-    up, down = F.col("close") > hi + buffer, F.col("close") < lo - buffer
-    d = d.withColumns({"bos_up": flag(up), "bos_down": flag(down)})
+    d = d.withColumns({"bos_up": flag(F.col("close") > hi + buffer), "bos_down": flag(F.col("close") < lo - buffer)})
     d = d.withColumns(
         {
             "choch_up": flag((F.col("bos_up") == 1) & lo.isNotNull() & (F.col("close") > F.col("_ph"))),
@@ -96,21 +82,16 @@ def structure_breaks(df: DataFrame, confirmed_after: int = 0, buffer: float = 0.
     ).drop("_sh", "_sl", "_ph", "_pl")
 
 
-def sweeps(df: DataFrame, tol: float = EQUAL_TOLERANCE, lane: Lane = BARS) -> DataFrame:
-    """Wicks beyond a remembered equal level that close back inside it."""
-    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        return d.withColumns(
-            {
-                "equal_high": flag(near_equal(F.col("high"), F.lag("high").over(w), tol)),
-                "equal_low": flag(near_equal(F.col("low"), F.lag("low").over(w), tol)),
-            }
-        )
+def _sweep_inputs(d: DataFrame, w: WindowSpec, tol: float) -> DataFrame:
+    high, low = near_equal(F.col("high"), F.lag("high").over(w), tol), near_equal(F.col("low"), F.lag("low").over(w), tol)
+    d = d.withColumns({"equal_high": flag(high), "equal_low": flag(low)})
+    return d.withColumns({"_eqh": F.when(F.col("equal_high") == 1, F.col("high")), "_eql": F.when(F.col("equal_low") == 1, F.col("low"))})
 
-    d = carry_last(
-        framed(df, build, back=1, lane=lane),
-        {"_eh": F.when(F.col("equal_high") == 1, F.col("high")), "_el": F.when(F.col("equal_low") == 1, F.col("low"))},
-        lane,
-    )
+
+_SWEEP_CARRY = {"_eh": "_eqh", "_el": "_eql"}
+
+
+def _sweep_columns(d: DataFrame) -> DataFrame:
     d = d.withColumns(
         {
             "sweep_high": flag((F.col("high") > F.col("_eh")) & (F.col("close") < F.col("_eh"))),
@@ -128,7 +109,43 @@ def sweeps(df: DataFrame, tol: float = EQUAL_TOLERANCE, lane: Lane = BARS) -> Da
             "sweep_flag": F.greatest("sweep_high", "sweep_low"),
             "sweep_dir": F.when(lo, 1).when(hi, -1).otherwise(0),
         }
-    ).drop("_eh", "_el")
+    ).drop("_eh", "_el", "_eqh", "_eql")
+
+
+def swings(df: DataFrame, left: int = 2, right: int = 2, lane: Lane = BARS) -> DataFrame:
+    """Strict pivots with full neighbourhoods, equal-level flags and magnitude tier.
+
+    A pivot is written on its own bar, ``right`` bars before it can be known;
+    ``swing_confirmed_at`` is the close of the bar that confirms it.
+    """
+    return framed(df, lambda d, w: _swing_columns(d, w, left, right), back=left + 1, ahead=right + 1, lane=lane)
+
+
+def structure_breaks(df: DataFrame, confirmed_after: int = 0, buffer: float = 0.0, lane: Lane = BARS) -> DataFrame:
+    """Closes beyond the last swing, reversal flags and bias (needs ``swing_high``/``swing_low``).
+
+    ``confirmed_after=0`` uses a pivot from its own bar on; pass the pivot's right
+    neighbourhood to use it only once it is known.
+    """
+    d = framed(df, lambda d, w: _break_inputs(d, w, confirmed_after), back=max(confirmed_after, 1), lane=lane)
+    return _break_columns(carry_last(d, {n: F.col(c) for n, c in _BREAK_CARRY.items()}, lane), buffer)
+
+
+def sweeps(df: DataFrame, tol: float = EQUAL_TOLERANCE, lane: Lane = BARS) -> DataFrame:
+    """Wicks beyond a remembered equal level that close back inside it."""
+    d = framed(df, lambda d, w: _sweep_inputs(d, w, tol), back=1, lane=lane)
+    return _sweep_columns(carry_last(d, {n: F.col(c) for n, c in _SWEEP_CARRY.items()}, lane))
+
+
+def structure_block(df: DataFrame, left: int = 2, right: int = 2, confirmed_after: int = 0, buffer: float = 0.0,
+                    tol: float = EQUAL_TOLERANCE, lane: Lane = BARS) -> DataFrame:
+    """Pivots, breaks and sweeps together: one pass over the frames and one for the carried levels."""
+    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
+        return _sweep_inputs(_break_inputs(_swing_columns(d, w, left, right), w, confirmed_after), w, tol)
+
+    d = framed(df, build, back=left + confirmed_after + 2, ahead=right + 1, lane=lane)
+    d = carry_last(d, {n: F.col(c) for n, c in {**_BREAK_CARRY, **_SWEEP_CARRY}.items()}, lane)
+    return _sweep_columns(_break_columns(d, buffer))
 
 
 def gap_births(df: DataFrame, min_size: float = 0.0005, lane: Lane = BARS) -> DataFrame:

@@ -21,7 +21,7 @@ _STRUCT = _BASE + q.swings("a", "s", 2, 2) + ", " + q.breaks("s", "k") + ", " +
 def structured(spark, d):
     """15m bars with ATR, pivots, breaks and sweeps, written once before the labels read them."""
     b = X.atr(bars(spark, d, "15m"))
-    return pin(ST.sweeps(ST.structure_breaks(ST.swings(b, 2, 2))))
+    return pin(ST.structure_block(b, 2, 2))
 
 
 def _liq_sql():

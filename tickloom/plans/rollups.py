@@ -115,7 +115,7 @@ def _asof(spark, d, strict):
     one = minutes(spark, d)
     spine = R.rollup(one, "15m").select("asset", "bar_close", "close")
     ctx = R.rollup(one, "6h").select("asset", "bar_close", "close", "high")
-    return asof(spine, ctx, strict=strict, suffix="_6h", span_seconds=7 * 86400).select(
+    return asof(spine, ctx, strict=strict, suffix="_6h").select(
         "asset", epoch().alias("t"), "close", epoch("bar_close_ctx_6h").alias("ctx_t"), "close_6h", "high_6h"
     )
 

@@ -152,7 +152,7 @@ _LEAN = ["bos_flag", "choch_flag", "bias", "sweep_flag", "zone_id", "zone_hi", "
        + q.sweeps("k", "w") + ", " + q.zone_life("w", "z") + ", " + q.zone_choice("z", "y") + """
 SELECT asset, t, """ + ", ".join(f"round({c}, 6) AS {c}" if "quality" in c else c for c in _LEAN) + " FROM y")
 def lean(spark, d):
-    full = ST.zones(ST.sweeps(ST.structure_breaks(ST.swings(bars(spark, d, "1h"), 3, 3))))
+    full = ST.zones(ST.structure_block(bars(spark, d, "1h"), 3, 3))
     return show(full.select("asset", "bar_close", *_LEAN), _LEAN)
 
 
@@ -169,7 +169,7 @@ def audit(spark, d):
     out = None
     for tf in ("1h", "6h", "12h"):
         n = ST.PIVOTS[tf]
-        x = ST.sweeps(ST.structure_breaks(ST.swings(bars(spark, d, tf), n, n))).select(
+        x = ST.structure_block(bars(spark, d, tf), n, n).select(
             "asset", "tf", "bar_close", "bos_flag", "choch_flag", "bias", "sweep_flag")
         out = x if out is None else out.unionByName(x, allowMissingColumns=True)
     return out.select("asset", "tf", epoch().alias("t"), "bos_flag", "choch_flag", "bias", "sweep_flag")

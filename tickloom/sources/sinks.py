@@ -36,12 +36,12 @@ def replay_bars(bars: DataFrame) -> DataFrame:
         F.unix_seconds("bar_close").alias("timestamp"), *[F.col(c).alias(c[0]) for c in ("open", "high", "low", "close", "volume")])
 
 
-def replay_trades(trades: DataFrame, bars: DataFrame) -> DataFrame:
+def replay_trades(trades: DataFrame, bars: DataFrame, span_seconds: int = 3600) -> DataFrame:
     """Trades with the position of the last bar closed at or before entry and exit (needs ``row_idx`` on bars)."""
     marks = bars.select("asset", F.col("bar_close").alias("at"), F.col("row_idx").alias("idx"))
 
     def locate(df: DataFrame, ts: str, name: str) -> DataFrame:
-        found = asof(df.withColumn("at", F.col(ts)), marks, on="at")
+        found = asof(df.withColumn("at", F.col(ts)), marks, on="at", span_seconds=span_seconds)
         return found.withColumnRenamed("idx", name).drop("at", "at_ctx")
 
     out = locate(locate(trades, "entry_ts", "entry_idx"), "exit_ts", "exit_idx")

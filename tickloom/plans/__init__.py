@@ -1,3 +1,3 @@
 """Queries over the driver tables; importing this package fills the registry."""
 
-from tickloom.plans import features, labels, ledger, mldata, rollups, screen, sources, streams, structure  # noqa: F401
+from tickloom.plans import features, flagship, labels, ledger, mldata, rollups, screen, sources, streams, structure  # noqa: F401

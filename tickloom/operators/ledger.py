@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import clip, flag, safe_div
 from tickloom.operators.quantile import exact_quantiles, quantile_buckets
-from tickloom.operators.series import IDX, LEDGER, Lane, carry_last, carry_total, framed, index_rows, pin
+from tickloom.operators.series import IDX, LEDGER, Lane, carry_last, framed, index_rows, pin, running_peak
 
 # Canonical ledger columns with their defaults, and the names they replace.
 NUMBER_DEFAULTS = ("entry_price", "exit_price", "pnl", "r", "conf", "evr", "risk", "stop_price", "size_usd", "qty",
@@ -194,18 +194,18 @@ def ordered(df: DataFrame, order: Sequence[str] = ("entry_ts", "trade_id")) -> D
 def equity_curve(rows: DataFrame, start_equity: float = START_EQUITY, value: str = "pnl", lane: Lane = LEDGER,
                  peak_from_start: bool = False) -> DataFrame:
     """Running equity, its peak, drawdown, and the return each trade made on the equity before it."""
-    d = carry_total(rows, sums={"_run": F.coalesce(F.col(value), F.lit(0.0))}, lane=lane)
-    d = d.withColumn("equity", F.col("_run") + start_equity).drop("_run")
-    d = carry_total(d, peaks={"peak": F.col("equity")}, lane=lane)
-    peak = F.greatest(F.col("peak"), F.lit(start_equity)) if peak_from_start else F.col("peak")
-    before = F.greatest(F.col("equity") - F.coalesce(F.col(value), F.lit(0.0)), F.lit(1e-9))
-    return d.withColumn("peak", peak).withColumns(
+    d = running_peak(rows.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(0.0))), "_v", lane)
+    start = F.lit(float(start_equity))
+    equity, peak = start + F.col("_sum"), start + F.col("_top")
+    d = d.withColumns({"equity": equity, "peak": F.greatest(peak, start) if peak_from_start else peak})
+    before = F.greatest(F.col("equity") - F.col("_v"), F.lit(1e-9))
+    return d.withColumns(
         {
             "drawdown": F.col("equity") - F.col("peak"),
             "drawdown_pct": F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(0.0),
-            "ret_on_equity": F.coalesce(F.col(value), F.lit(0.0)) / before,
+            "ret_on_equity": F.col("_v") / before,
         }
-    )
+    ).drop("_v", "_sum", "_top")
 
 
 def streaks(rows: DataFrame, zero_resets: bool = False, lane: Lane = LEDGER) -> DataFrame:

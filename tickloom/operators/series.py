@@ -175,6 +175,25 @@ def carry_total(
     return out.drop("_block", *[f"_v_{n}" for n in names], *[f"_s_{n}" for n in names])
 
 
+def running_peak(df: DataFrame, value: str, lane: Lane) -> DataFrame:
+    """Running sum ``_sum`` and the running maximum of that sum ``_top``, in one pass over the rows.
+
+    A block needs two numbers from the blocks before it: their total, and the highest
+    point their running sums reached.
+    """
+    w = lane.window().rowsBetween(Window.unboundedPreceding, 0)
+    inner = df.withColumn("_block", lane.number()).withColumn("_sum", F.sum(value).over(w))
+    inner = inner.withColumn("_top", F.max("_sum").over(w))
+    summary = inner.groupBy(*lane.keys, "_block").agg(F.max_by("_sum", IDX).alias("_total"), F.max("_sum").alias("_high"))
+    before = _before(lane)
+    placed = summary.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
+    seeds = placed.select(*lane.keys, "_block", "_base", F.max(F.col("_base") + F.col("_high")).over(before).alias("_peak"))
+    out = inner.join(seeds, [*lane.keys, "_block"], "left")
+    return out.withColumns(
+        {"_sum": F.col("_base") + F.col("_sum"), "_top": F.greatest(F.col("_base") + F.col("_top"), F.col("_peak"))}
+    ).drop("_block", "_base", "_peak")
+
+
 def bars_since(df: DataFrame, events: Mapping[str, Column], default: int | None = 999, lane: Lane = BARS) -> DataFrame:
     """Rows since the latest event, 0 on the event itself, ``default`` before the first."""
     out = carry_last(df, {f"_at_{n}": F.when(c, F.col(IDX)) for n, c in events.items()}, lane)

@@ -7,10 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.functions.rolling import roll_max, roll_mean, roll_min, trailing
+from tickloom.functions.rolling import roll_max, roll_mean, roll_min
 from tickloom.functions.scalar import clip, flag, safe_div
-from tickloom.functions.sessions import BUCKET_IDS, day_masks
-from tickloom.operators.series import BARS, Lane, bars_since, framed
+from tickloom.functions.sessions import day_masks
+from tickloom.operators.series import BARS, IDX, Lane, bars_since, framed
 
 
 def bucket_percentiles(df: DataFrame, values: Mapping[str, Column], n: int = 96, lane: Lane = BARS) -> DataFrame:
@@ -18,20 +18,14 @@ def bucket_percentiles(df: DataFrame, values: Mapping[str, Column], n: int = 96,
     need = max(12, n // 4)
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        frame = trailing(w, n)
+        # the same-bucket rows among the last n rows: a range over row positions inside the bucket
+        own = Window.partitionBy(*lane.keys, "_block", "session_bucket").orderBy(IDX).rangeBetween(-(n - 1), 0)
         d = d.withColumns({f"_x_{k}": v for k, v in values.items()})
         out = {}
         for k in values:
-            score = None
-            for b in BUCKET_IDS:
-                mine = F.when(F.col("session_bucket") == b, F.col(f"_x_{k}"))
-                z = F.when(
-                    F.count(mine).over(frame) >= need,
-                    safe_div(F.col(f"_x_{k}") - F.avg(mine).over(frame), F.stddev_samp(mine).over(frame)),
-                )
-                here = F.col("session_bucket") == b
-                score = F.when(here, z) if score is None else score.when(here, z)
-            out[k] = F.coalesce(1.0 / (1.0 + F.exp(-1.702 * score)), F.lit(0.5))
+            x = F.col(f"_x_{k}")
+            z = F.when(F.count(x).over(own) >= need, safe_div(x - F.avg(x).over(own), F.stddev_samp(x).over(own)))
+            out[k] = F.coalesce(1.0 / (1.0 + F.exp(-1.702 * z)), F.lit(0.5))
         return d.withColumns(out).drop(*[f"_x_{k}" for k in values])
 
     return framed(df, build, back=n, lane=lane)

@@ -99,7 +99,7 @@ def volatility(spark, d):
     f"{q.div(f'c - ema_{p}', 'atr_early')} AS dist_ema_{p}, CASE WHEN c < ema_{p} - 1.5 * atr_early THEN -1.0 "
     f"WHEN c > ema_{p} + 1.5 * atr_early THEN 1.0 ELSE 0.0 END AS band_regime_{p}" for p in (21, 55)) + " FROM e)\n"
     "SELECT asset, t, " + ", ".join(
-    f"{q.rounded(f'ema_{p}', f'ema_slope_{p}', f'dist_ema_{p}', f'band_regime_{p}')}, "
+    f"{q.rounded(f'ema_{p}', f'ema_slope_{p}', f'dist_ema_{p}')}, CAST(band_regime_{p} AS DOUBLE) AS band_regime_{p}, "
     f"round({q.zscore(f'dist_ema_{p}', 200, 10)}, 6) AS z_dist_ema_{p}" for p in (21, 55)) +
     f", CAST(sign(ema_21 - ema_55) AS BIGINT) AS ema_alignment, round({q.div('ema_21 - ema_55', 'ema_55')}, 6) AS ema_rel FROM s")
 def ema_block(spark, d):

@@ -106,7 +106,7 @@ def best_zone(spark, d):
 
 @query("W22_zone_choice", with_bars("1h") + ", " + q.zone_life("b_1h", "z") + ", " + q.zone_choice("z", "y") + """
 SELECT asset, t, zone_id, zone_hi, zone_lo, round(zone_recency, 6) AS zone_recency,
-  round(zone_displacement, 6) AS zone_displacement, round(zone_mitigation, 6) AS zone_mitigation FROM y""")
+  round(zone_displacement, 6) AS zone_displacement, CAST(round(zone_mitigation, 6) AS DOUBLE) AS zone_mitigation FROM y""")
 def zone_choice(spark, d):
     return show(ST.zones(bars(spark, d, "1h")), ["zone_id", "zone_hi", "zone_lo", "zone_recency", "zone_displacement",
                                                  "zone_mitigation"])

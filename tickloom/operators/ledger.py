@@ -399,9 +399,10 @@ def stress_report(df: DataFrame, equity: float, scenarios: Sequence[Mapping] = S
     The tail mean averages the returns at or below the exact 5 % quantile of each scenario.
     """
     lane = Lane(keys=("scenario",), block=LEDGER.block)
-    rows = stressed(ordered(df).select(IDX, "pnl", "size_usd", "qty", "entry_price", "stop_price"), scenarios)
+    needed = df.select("entry_ts", "trade_id", "pnl", "size_usd", "qty", "entry_price", "stop_price")
+    rows = stressed(ordered(needed), scenarios).select("scenario", IDX, "adj_pnl")
     # read three times below: for the quantile, the tail and the path
-    path = pin(equity_curve(rows.select("scenario", IDX, "adj_pnl"), equity, "adj_pnl", lane, peak_from_start=True))
+    path = pin(equity_curve(rows, equity, "adj_pnl", lane, peak_from_start=True).drop("peak", "drawdown"))
     var = exact_quantiles(path, "ret_on_equity", (0.05,), ("scenario",)).select("scenario", F.col("value").alias("var95"))
     p, win, loss = F.col("adj_pnl"), F.col("adj_pnl") > 0, F.col("adj_pnl") < 0
     m = path.join(var, "scenario").groupBy("scenario").agg(

@@ -307,7 +307,7 @@ e AS (SELECT *, 1e9 + sum(pnl) OVER (ORDER BY entry_ts, trade_id ROWS UNBOUNDED
 SELECT trade_id, round(eq, 2) AS equity, round(eq - max(eq) OVER (ORDER BY entry_ts, trade_id ROWS UNBOUNDED PRECEDING), 2) AS drawdown,
   round(pnl / greatest(eq - pnl, 1e-9), 9) AS ret_on_equity FROM e""")
 def equity_curve(spark, d):
-    out = L.equity_curve(L.ordered(ledger(spark, d)), 1e9)
+    out = L.equity_curve(L.ordered(ledger(spark, d).select("entry_ts", "trade_id", "pnl")), 1e9)
     return neat(out.select("trade_id", "equity", "drawdown", "ret_on_equity"), equity=2, drawdown=2, ret_on_equity=9)
 
 
@@ -318,7 +318,7 @@ x{k} AS (SELECT s, count(*) AS n FROM y{k} GROUP BY s, g)""" for k, e in (("a",
 SELECT '0 is a loss' AS rule, coalesce(max(n) FILTER (s = 1), 0) AS max_win_streak, coalesce(max(n) FILTER (s = -1), 0) AS max_loss_streak FROM xa
 UNION ALL SELECT '0 resets', coalesce(max(n) FILTER (s = 1), 0), coalesce(max(n) FILTER (s = -1), 0) FROM xb""")
 def streaks(spark, d):
-    rows = L.ordered(ledger(spark, d))
+    rows = L.ordered(ledger(spark, d).select("entry_ts", "trade_id", "pnl"))
     out = L.longest_streaks(rows).withColumn("rule", F.lit("0 is a loss")).unionByName(
         L.longest_streaks(rows, zero_resets=True).withColumn("rule", F.lit("0 resets")))
     return neat(out)
@@ -432,7 +432,7 @@ def markers(spark, d):
 @query("K1_ordered_ledger", WITH_LEDGER + """
 SELECT row_number() OVER (ORDER BY entry_ts NULLS LAST, trade_id) - 1 AS position, trade_id FROM led""")
 def ordered(spark, d):
-    return L.ordered(ledger(spark, d)).select(F.col("row_idx").alias("position"), "trade_id")
+    return L.ordered(ledger(spark, d).select("entry_ts", "trade_id")).select(F.col("row_idx").alias("position"), "trade_id")
 
 
 @query("K2_latest_trades", WITH_LEDGER + "\nSELECT trade_id, round(pnl, 2) AS pnl FROM led ORDER BY entry_ts DESC, trade_id DESC LIMIT 500")

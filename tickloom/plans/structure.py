@@ -175,6 +175,15 @@ def audit(spark, d):
     return out.select("asset", "tf", epoch().alias("t"), "bos_flag", "choch_flag", "bias", "sweep_flag")
 
 
+@query("J3_detector_join", with_bars("15m") + ", " + q.sweeps("b_15m", "w") + """
+SELECT b.asset, b.t, b.c AS close, w.sweep_flag, w.sweep_dir FROM b_15m b LEFT JOIN w ON w.asset = b.asset AND w.t = b.t""")
+def detector_join(spark, d):
+    # detectors add their columns in place; joining a stored detector result back is a plain equi join
+    b = bars(spark, d, "15m")
+    found = pin(ST.sweeps(b).select("asset", "bar_close", "sweep_flag", "sweep_dir"))
+    return show(b.join(found, ["asset", "bar_close"], "left"), ["close", "sweep_flag", "sweep_dir"])
+
+
 @query("U5_merged_timeline", with_bars("15m") + "\nSELECT DISTINCT t FROM b_15m")
 def timeline(spark, d):
     return bars(spark, d, "15m").select(epoch().alias("t")).distinct()

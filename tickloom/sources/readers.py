@@ -150,17 +150,20 @@ def read_events(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def flatten_events(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Event fields from a nested payload; a missing type is ``unknown`` and the label joins the main fields."""
-    def pick(paths: Sequence[str]) -> Column:
-        return F.coalesce(*[F.get_json_object(payload, p) for p in paths])
+    """Event fields from a nested payload; a missing type is ``unknown`` and the label joins the main fields.
 
-    cols = {n: pick(p) for n, p in EVENT_PATHS.items()} | {n: pick(p).try_cast("double") for n, p in EVENT_NUMBERS.items()}
-    d = df.withColumns({"event_type": F.coalesce("event_type", F.lit("unknown")), **cols})
-    d = d.withColumns({"trade_id": F.coalesce("trade_id", F.get_json_object(payload, "$.trade_id"), F.lit("")),
+    The payload is parsed once per row, into a variant the fields are read from.
+    """
+    def pick(paths: Sequence[str], kind: str) -> Column:
+        return F.coalesce(*[F.try_variant_get("_doc", p, kind) for p in paths])
+
+    cols = {n: pick(p, "string") for n, p in EVENT_PATHS.items()} | {n: pick(p, "double") for n, p in EVENT_NUMBERS.items()}
+    d = df.withColumn("_doc", F.try_parse_json(payload)).withColumns({"event_type": F.coalesce("event_type", F.lit("unknown")), **cols})
+    d = d.withColumns({"trade_id": F.coalesce("trade_id", F.try_variant_get("_doc", "$.trade_id", "string"), F.lit("")),
                        "reason": F.coalesce("reason", "event_type")})
     stamp = F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("na"))
     return d.withColumn("event_label", F.concat_ws(" | ", stamp, "event_type", F.coalesce("asset", F.lit("na")),
-                                                    F.coalesce(F.nullif("trade_id", F.lit("")), F.lit("-")))).drop(payload)
+                                                    F.coalesce(F.nullif("trade_id", F.lit("")), F.lit("-")))).drop(payload, "_doc")
 
 
 def select_events(df: DataFrame, types: Sequence[str] = (), assets: Sequence[str] = (), text: str = "",

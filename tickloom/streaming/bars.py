@@ -82,21 +82,27 @@ class PartialBars:
 
 
 class FilledBars:
-    """Closed bars with missing minutes filled from the last stored bar of each asset."""
+    """Closed bars with missing bars filled from the last stored one of each asset.
+
+    Every batch also stores the latest bar per asset, so the next one reads those few rows
+    and not the history.
+    """
 
     def __init__(self, path: str, seconds: int = 60):
-        self.path, self.seconds = path, seconds
+        self.path, self.seconds = path.rstrip("/"), seconds
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cols = ["asset", "bar_open", "open", "high", "low", "close", "volume"]
         new = batch.select(*cols)
         if batch_id > 0:
-            before = spark.read.parquet(self.path).filter(F.col("batch_id") < batch_id)
-            tail = keep_last(before.select(*cols), ("asset",), ("bar_open",))
+            tail = spark.read.parquet(f"{self.path}_tail/batch_id={batch_id - 1}")
             old = tail.select("asset", F.col("bar_open").alias("_have"))
-            dense = fill_gaps(tail.unionByName(new), self.seconds).join(old, "asset", "left")
+            # a tail is only filled up to bars of its own asset in this batch
+            dense = fill_gaps(tail.join(new.select("asset").distinct(), "asset", "left_semi").unionByName(new), self.seconds).join(old, "asset", "left")
             out = dense.filter(F.col("_have").isNull() | (F.col("bar_open") > F.col("_have"))).drop("_have")
+            latest = keep_last(tail.unionByName(new), ("asset",), ("bar_open",))
         else:
-            out = fill_gaps(new, self.seconds)
+            out, latest = fill_gaps(new, self.seconds), keep_last(new, ("asset",), ("bar_open",))
         out.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        latest.write.mode("overwrite").parquet(f"{self.path}_tail/batch_id={batch_id}")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from tickloom.operators.screen import POLICY, Policy, screen
-from tickloom.operators.series import index_rows
+from tickloom.operators.series import index_rows, pin
 
 
 class LiveFeatures:
@@ -25,19 +25,23 @@ class LiveFeatures:
         self.bars_path, self.out_path, self.build, self.reach = bars_path, out_path, build, reach
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.bars_path}/batch_id={batch_id}")
         spark = batch.sparkSession
+        stamped = batch.withColumn("day", F.to_date("bar_close"))
+        stamped.write.mode("overwrite").partitionBy("day").parquet(f"{self.bars_path}/batch_id={batch_id}")
         seen = spark.read.parquet(self.bars_path).filter(F.col("batch_id") <= batch_id)
-        # bars are at most one per interval, so the rows of one (asset, day) are few
-        day = Window.partitionBy("asset", F.to_date("bar_close")).orderBy(F.desc("bar_close"))
-        per_day = seen.withColumn("_k", F.row_number().over(day))
-        counts = per_day.groupBy("asset", F.to_date("bar_close").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
-        later = Window.partitionBy("asset").orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
-        after = counts.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0))).drop("_n")
-        first_new = batch.groupBy("asset").agg(F.count(F.lit(1)).alias("_new"))
+        # rows stored per (asset, day), and how many newer ones follow: the days that are still in reach
+        counts = seen.groupBy("asset", "day").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("batch_id") == batch_id).alias("_new"))
+        later = Window.partitionBy("asset").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+        total_new = F.sum("_new").over(Window.partitionBy("asset"))
+        after = counts.withColumns({"_after": F.coalesce(F.sum("_n").over(later), F.lit(0)), "_want": total_new + self.reach})
+        near = pin(after.filter((F.col("_after") < F.col("_want")) & (F.col("_want") > self.reach)).drop("_n", "_new"))
+        first_day = near.agg(F.min("day")).first()[0]
+        # a bar interval bounds the rows of one (asset, day); the day filter prunes the files
+        day = Window.partitionBy("asset", "day").orderBy(F.desc("bar_close"))
         recent = (
-            per_day.withColumn("_d", F.to_date("bar_close")).join(after, ["asset", "_d"]).join(first_new, "asset")
-            .filter(F.col("_k") + F.col("_after") <= self.reach + F.col("_new")).drop("_k", "_after", "_d", "_new")
+            seen.filter(F.col("day") >= F.lit(first_day)).join(near, ["asset", "day"])
+            .withColumn("_k", F.row_number().over(day)).filter(F.col("_k") + F.col("_after") <= F.col("_want"))
+            .drop("_k", "_after", "_want", "day")
         )
         out = self.build(index_rows(recent, ("asset", "tf"), ("bar_close",)))
         out.filter(F.col("batch_id") == batch_id).drop("batch_id", "row_idx").write.mode("overwrite").parquet(f"{self.out_path}/batch_id={batch_id}")

@@ -18,7 +18,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import clip, flag, safe_div
@@ -191,9 +191,9 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5
         F.coalesce(safe_div(F.count_if(hit & pos), F.count_if(hit)), F.lit(0.0)).alias("precision"),
         F.coalesce(safe_div(F.count_if(hit & pos), F.count_if(pos)), F.lit(0.0)).alias("recall"), F.avg(flag(hit)).alias("positive_rate"))
     pr, rc = F.col("precision"), F.col("recall")
-    return flat.join(curve, F.lit(True)).select(
-        "rows", safe_div("_ap", "_p").alias("ap"), safe_div(F.col("_auc"), F.col("_p") * F.col("_n")).alias("auc"), "brier",
-        "precision", "recall", F.coalesce(safe_div(2.0 * pr * rc, pr + rc), F.lit(0.0)).alias("f1"), "positive_rate")
+    areas = curve.select(F.struct(safe_div("_ap", "_p").alias("ap"), safe_div(F.col("_auc"), F.col("_p") * F.col("_n")).alias("auc")).alias("a"))
+    return flat.withColumn("_a", areas.scalar()).select(
+        "rows", F.col("_a.ap").alias("ap"), F.col("_a.auc").alias("auc"), "brier", "precision", "recall", F.coalesce(safe_div(2.0 * pr * rc, pr + rc), F.lit(0.0)).alias("f1"), "positive_rate")
 
 
 def threshold_table(df: DataFrame, label: str, score: str, default: float = 0.5, limit: int = 256) -> DataFrame:
@@ -213,8 +213,9 @@ def threshold_table(df: DataFrame, label: str, score: str, default: float = 0.5,
 
     counts = d.groupBy(gap("p").alias("k")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     table = df.sparkSession.createDataFrame([(i + 1, float(c)) for i, c in enumerate(cuts)], "rank int, threshold double")
-    at = table.join(counts, F.col("k") >= F.col("rank"), "left").groupBy("threshold").agg(
-        F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("flagged"))
+    down = Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)  # a few hundred candidates
+    at = table.join(counts, F.col("k") == F.col("rank"), "left").select(
+        "threshold", F.coalesce(F.sum("pos").over(down), F.lit(0)).alias("tp"), F.coalesce(F.sum("n").over(down), F.lit(0)).alias("flagged"))
     total = counts.agg(F.sum("pos")).scalar()
     out = at.withColumns({"precision": F.coalesce(safe_div("tp", "flagged"), F.lit(0.0)), "recall": F.coalesce(safe_div(F.col("tp"), total), F.lit(0.0))})
     pr, rc = F.col("precision"), F.col("recall")

@@ -107,6 +107,13 @@ def test_exact_quantiles_and_tied_buckets(spark):
     assert (mine["b"] - 1 == pd.qcut(mine["x"], 10, labels=False, duplicates="drop")).all()
 
 
+def test_quantiles_with_one_value_filling_half_the_column(spark):
+    x = np.concatenate([np.zeros(500), np.random.default_rng(2).normal(size=501)])
+    got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": x})).repartition(7), "x", (0.0, 0.1, 0.33, 0.5, 0.9, 1.0)).toPandas()
+    for r in got.itertuples():
+        assert r.value == pytest.approx(np.quantile(x, r.q))
+
+
 def test_sessions_follow_daylight_saving(spark):
     stamps = ["2024-01-15 07:00:00", "2024-07-15 06:00:00", "2024-03-31 06:00:00", "2024-10-27 07:00:00", "2024-01-15 13:30:00",
               "2024-01-15 16:00:00", "2024-01-15 20:00:00", "2024-01-15 06:00:00", "2024-01-15 05:59:00"]

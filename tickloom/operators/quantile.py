@@ -7,29 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.series import IDX, index_rows
+from tickloom.operators.series import LEDGER, Lane, carry_total, index_rows
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles, one row per (keys, q).
 
-    A range-partitioned sort gives every value its rank; only the two rows next to
-    each requested rank are kept.  NULL values and NULL keys do not take part.
+    Equal values are counted first, so a value that fills a third of the column is one row
+    from then on; a range-partitioned sort and running counts then say which ranks each
+    distinct value covers.  NULL values and NULL keys do not take part.
     """
-    rows = index_rows(df.select(*keys, F.col(value).cast("double").alias("_x")).dropna(), keys, ("_x",))
-    ranks = (
-        rows.groupBy(*keys)
-        .agg(F.max(IDX).alias("_last"))
-        .withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in qs])))
-        .withColumn("_pos", F.col("q") * F.col("_last"))
-        .withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn(IDX, F.when(F.col("_end") == 0, F.floor("_pos")).otherwise(F.ceil("_pos")).cast("long"))
-    )
-    found = rows.join(ranks, [*keys, IDX])
-    lo = F.max(F.when(F.col("_end") == 0, F.col("_x")))
-    hi = F.max(F.when(F.col("_end") == 1, F.col("_x")))
-    frac = F.first("_pos") - F.floor(F.first("_pos"))
-    return found.groupBy(*keys, "q").agg((lo + (hi - lo) * frac).alias("value"))
+    named = list(keys) or ["_all"]
+    data = df.select(*keys, F.col(value).cast("double").alias("_x")).dropna()
+    if not keys:
+        data = data.withColumn("_all", F.lit(0))
+    distinct = data.groupBy(*named, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    placed = index_rows(distinct, named, ("_x",))
+    upto = carry_total(placed, sums={"_upto": F.col("_n")}, lane=Lane(keys=tuple(named), block=LEDGER.block))
+    # per key: the two neighbouring ranks of every requested quantile (a few entries, one row per key)
+    last = F.col("_total") - 1
+    ends = [
+        F.struct(F.lit(float(q)).alias("q"), F.lit(e).alias("end"), (q * last - F.floor(q * last)).alias("frac"),
+                 (F.floor(q * last) if e == 0 else F.ceil(q * last)).cast("long").alias("rank"))
+        for q in qs for e in (0, 1)
+    ]
+    wanted = placed.groupBy(*named).agg(F.sum("_n").alias("_total")).select(*named, F.array(*ends).alias("_want"))
+    covers = F.filter("_want", lambda t: (t["rank"] >= F.col("_upto") - F.col("_n")) & (t["rank"] < F.col("_upto")))
+    hits = upto.join(wanted, named).select(*named, "_x", F.inline(covers))
+    lo, hi = (F.max(F.when(F.col("end") == e, F.col("_x"))) for e in (0, 1))
+    return hits.groupBy(*named, "q").agg((lo + (hi - lo) * F.first("frac")).alias("value")).drop("_all")
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame:

@@ -181,13 +181,15 @@ def scenario_totals(spark, d):
         F.count_if(F.col("adj_pnl") > 0).alias("wins"))
 
 
-_EQ = 5e8
+# capital in proportion to the ledger, so that equity stays positive at every scale
+_EQ = 33333.0
+_EQ_SQL = f"(SELECT {_EQ} * count(*) FROM orders)"
 
 
 def _stress_sql(cols):
     return "WITH " + _STRESSED + f""",
-e0 AS (SELECT *, {_EQ} + sum(adj_pnl) OVER (PARTITION BY scenario ORDER BY entry_ts, trade_id ROWS UNBOUNDED PRECEDING) AS eq FROM st),
-e1 AS (SELECT *, greatest({_EQ}, max(eq) OVER (PARTITION BY scenario ORDER BY entry_ts, trade_id ROWS UNBOUNDED PRECEDING)) AS pk,
+e0 AS (SELECT *, {_EQ_SQL} + sum(adj_pnl) OVER (PARTITION BY scenario ORDER BY entry_ts, trade_id ROWS UNBOUNDED PRECEDING) AS eq FROM st),
+e1 AS (SELECT *, greatest({_EQ_SQL}, max(eq) OVER (PARTITION BY scenario ORDER BY entry_ts, trade_id ROWS UNBOUNDED PRECEDING)) AS pk,
   adj_pnl / greatest(eq - adj_pnl, 1e-9) AS ret FROM e0),
 vr AS (SELECT scenario, quantile_cont(ret, 0.05) AS var95 FROM e1 GROUP BY 1),
 mm AS (SELECT e1.scenario, count(*) AS trades, avg(CASE WHEN adj_pnl > 0 THEN 1 ELSE 0 END) AS win_rate, sum(adj_pnl) AS total_pnl,
@@ -196,11 +198,11 @@ mm AS (SELECT e1.scenario, count(*) AS trades, avg(CASE WHEN adj_pnl > 0 THEN 1
   coalesce(avg(adj_pnl) FILTER (adj_pnl < 0), 0) AS avg_loss FROM e1 JOIN vr USING (scenario) GROUP BY 1),
 m1x AS (SELECT *, CASE WHEN avg_win > 0 AND avg_loss < 0 THEN avg_win / abs(avg_loss) ELSE 0 END AS payoff_ratio,
   win_rate - (1 - win_rate) / greatest(avg_win / abs(avg_loss), 1e-9) AS edge,
-  least(200, greatest(1, {_EQ} / greatest(abs(avg_loss), 1e-9))) AS units FROM mm),
+  least(200, greatest(1, {_EQ_SQL} / greatest(abs(avg_loss), 1e-9))) AS units FROM mm),
 m2 AS (SELECT *, CASE WHEN avg_win = 0 OR avg_loss = 0 THEN CASE WHEN avg_loss < 0 THEN 1.0 ELSE 0.0 END WHEN edge <= 0 THEN 1.0
   ELSE least(1, greatest(0, exp(-2 * edge * units))) END AS risk_of_ruin_proxy FROM m1x),
 m3 AS (SELECT *, list_filter([CASE WHEN max_drawdown_pct > 0.4 THEN 'max_drawdown' END, CASE WHEN abs(cvar95) > 0.03 THEN 'cvar95' END,
-  CASE WHEN ending_equity < {_EQ} * 0.75 THEN 'ending_equity_floor' END, CASE WHEN risk_of_ruin_proxy > 0.8 THEN 'risk_of_ruin_proxy' END],
+  CASE WHEN ending_equity < {_EQ_SQL} * 0.75 THEN 'ending_equity_floor' END, CASE WHEN risk_of_ruin_proxy > 0.8 THEN 'risk_of_ruin_proxy' END],
   lambda x: x IS NOT NULL) AS rs FROM m2)
 SELECT {cols} FROM m3"""
 
@@ -210,7 +212,7 @@ SELECT {cols} FROM m3"""
   round(cvar95, 6) AS cvar95, round(avg_win, 4) AS avg_win, round(avg_loss, 4) AS avg_loss, round(payoff_ratio, 6) AS payoff_ratio,
   round(risk_of_ruin_proxy, 6) AS risk_of_ruin_proxy"""))
 def tail_risk(spark, d):
-    out = L.stress_report(ledger(spark, d), _EQ)
+    out = L.stress_report(ledger(spark, d), _EQ * ledger(spark, d).count())
     return neat(out.drop("reasons", "passed", "delta_total_pnl", "delta_max_drawdown_pct", "delta_cvar95"),
                 total_pnl=2, ending_equity=2, avg_win=4, avg_loss=4)
 
@@ -220,7 +222,7 @@ def tail_risk(spark, d):
   round(max_drawdown_pct - (SELECT max_drawdown_pct FROM m3 WHERE scenario = 'baseline'), 6) AS delta_max_drawdown_pct,
   round(cvar95 - (SELECT cvar95 FROM m3 WHERE scenario = 'baseline'), 6) AS delta_cvar95"""))
 def thresholds(spark, d):
-    out = L.stress_report(ledger(spark, d), _EQ)
+    out = L.stress_report(ledger(spark, d), _EQ * ledger(spark, d).count())
     return neat(out.select("scenario", "reasons", "passed", "delta_total_pnl", "delta_max_drawdown_pct", "delta_cvar95"),
                 delta_total_pnl=4)
 

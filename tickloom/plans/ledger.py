@@ -218,13 +218,13 @@ def tail_risk(spark, d):
 
 
 @query("A15_thresholds_and_deltas", _stress_sql("""scenario, array_to_string(rs, ',') AS reasons, CASE WHEN len(rs) = 0 THEN 1 ELSE 0 END AS passed,
-  round(total_pnl - (SELECT total_pnl FROM m3 WHERE scenario = 'baseline'), 4) AS delta_total_pnl,
+  round(total_pnl - (SELECT total_pnl FROM m3 WHERE scenario = 'baseline'), 3) AS delta_total_pnl,
   round(max_drawdown_pct - (SELECT max_drawdown_pct FROM m3 WHERE scenario = 'baseline'), 6) AS delta_max_drawdown_pct,
   round(cvar95 - (SELECT cvar95 FROM m3 WHERE scenario = 'baseline'), 6) AS delta_cvar95"""))
 def thresholds(spark, d):
     out = L.stress_report(ledger(spark, d), _EQ * ledger(spark, d).count())
     return neat(out.select("scenario", "reasons", "passed", "delta_total_pnl", "delta_max_drawdown_pct", "delta_cvar95"),
-                delta_total_pnl=4)
+                delta_total_pnl=3)
 
 
 def _edges(rel, x, n, name):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup
+from tickloom.llm import exact_dedup, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op1_secret_scan",
+    r"""
+    WITH t AS (
+        SELECT doc_id, coalesce(text, '') AS text,
+               '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)' AS assign
+        FROM documents),
+    kinds AS (
+        SELECT doc_id, 0 AS k, 'assign' AS kind, regexp_extract_all(text, assign) AS m, string_split_regex(text, assign) AS gaps,
+               regexp_extract_all(text, assign, 2) AS body, 8 AS least FROM t
+        UNION ALL SELECT doc_id, 1, 'access', regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+'),
+               regexp_extract_all(text, 'AKIA[A-Z0-9]+'), 16 FROM t
+        UNION ALL SELECT doc_id, 2, 'hex', regexp_extract_all(text, '[0-9a-f]+'), string_split_regex(text, '[0-9a-f]+'),
+               regexp_extract_all(text, '[0-9a-f]+'), 32 FROM t),
+    each AS (SELECT doc_id, k, kind, least, unnest(m) AS m, unnest(gaps[:len(m)]) AS gap, unnest(body) AS body, generate_subscripts(m, 1) AS i FROM kinds WHERE len(m) > 0),
+    placed AS (
+        SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS stop FROM each),
+    kept AS (SELECT doc_id, k, kind, stop - length(m) AS start, stop FROM placed WHERE length(body) >= least),
+    joined AS (
+        SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+               string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans
+        FROM kept GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents LEFT JOIN joined USING (doc_id)
+    """,
+)
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op2_exact_dedup",
     """

@@ -86,10 +86,13 @@ class PrefixTable:
         return out[::-1]
 
     def counts(self, text: str) -> list[int]:
-        """Tokens of every prefix: one more than those of the prefix before its last token."""
+        """Tokens of every prefix: one more than those of the prefix before its last token.
+
+        A symbol outside the vocabulary counts as its bytes.
+        """
         out = [0]
         for i, token in enumerate(self.last_tokens(text)[1:], 1):
-            out.append(out[i - len(token)] + 1)
+            out.append(out[i - len(token)] + (1 if token in self.vocabulary else len(token.encode())))
         return out
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -22,6 +25,20 @@ def work_folder(spark, kind: str) -> str:
     return f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
 
 
+def ship(spark) -> None:
+    """Send this package to Python workers that would not find it by themselves (once per session)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if root not in map(os.path.abspath, filter(None, places)) and sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        with tempfile.TemporaryDirectory() as folder:
+            sc.addPyFile(shutil.make_archive(f"{folder}/tickloom", "zip", root, "tickloom"))
+
+
+_shipped: set[str] = set()
+
+
 def store(df: DataFrame, kind: str = "table") -> DataFrame:
     """Write once to the shared folder and read back: lineage ends here, lost executors cost nothing."""
     path = work_folder(df.sparkSession, kind)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup, piece_codec, secrets, token_counts
+from tickloom.llm import exact_dedup, piece_codec, secrets, sharding, token_counts, token_files
+from tickloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,7 +17,11 @@ ORACLES: dict[str, str] = {}
 
 def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        QUERIES[key] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = sql
         return fn
@@ -82,3 +87,14 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_token_output")
+def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_digests(corpus)
+
+
+@query("op8_sharding")
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 8)

@@ -66,10 +66,6 @@ def hashed(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def powers(n: int) -> np.ndarray:
-    return np.array([pow(ODD, i, 1 << 64) for i in range(n)], dtype=np.uint64)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread every input bit over the 64 output bits."""
     h = h ^ (h >> np.uint64(32))
@@ -78,12 +74,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` consecutive words; empty when there are fewer."""
-    size = len(words) - n + 1
-    if size <= 0:
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        size = 1 << n.bit_length()
+        for k, base in enumerate((ODD, pow(ODD, -1, 1 << 64))):
+            row = np.full(size, base, np.uint64)
+            row[0] = 1
+            _powers[k] = np.cumprod(row, dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
+def runs(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` words, in time that does not depend on ``n``."""
+    if len(words) < n:
         return words[:0]
-    total = np.zeros(size, np.uint64)
-    for j, p in enumerate(powers(n)):
-        total += words[j : j + size] * p
-    return mixed(total)
+    up, down = power_tables(len(words) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    return mixed((total[n:] - total[:-n]) * down[: len(words) - n + 1])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup, piece_codec, quality, secrets, sharding, token_counts, token_files
+from tickloom.llm import exact_dedup, piece_codec, quality, secrets, sharding, substring_dedup, token_counts, token_files
 from tickloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,23 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query(
+    "op7_substring_dedup",
+    r"""
+    WITH w AS (
+        SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    starts AS (SELECT r, words, unnest(range(1, len(words) - 33)) AS s FROM w WHERE len(words) >= 35),
+    windows AS (SELECT r, s, md5(array_to_string(words[s:s + 34], ' ')) AS h FROM starts),
+    again AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+    gone AS (SELECT r, list_distinct(flatten(list(range(s, s + 35)))) AS places FROM again GROUP BY r),
+    kept AS (
+        SELECT doc_id, words, coalesce(len(places), 0) AS n_removed,
+               CASE WHEN places IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(places, x[2])), lambda x: x[1]) END AS rest
+        FROM w LEFT JOIN gone USING (r))
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
+    """,
+)
+def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))

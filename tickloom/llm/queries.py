@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup, piece_codec, quality, secrets, sharding, substring_dedup, token_counts, token_files
+from tickloom.llm import exact_dedup, near_dedup, piece_codec, quality, secrets, sharding, substring_dedup, token_counts, token_files
 from tickloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,25 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op10_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+        FROM documents),
+    s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+               ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles FROM w),
+    sizes AS (SELECT doc_id, len(shingles) AS n FROM s),
+    e AS (SELECT doc_id, unnest(shingles) AS g FROM s),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+    SELECT a AS doc_id, any_value(n) AS n_shingles, min(b) AS component_id, a = min(b) AS kept FROM reach JOIN sizes ON a = doc_id GROUP BY a
+    """,
+)
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))

@@ -18,6 +18,20 @@ CACHE_PAIRS = 500_000
 Rank = Callable[[str, str], "float | None"]
 
 
+class Pairs(dict):
+    """Answers to a test of pairs; bounded."""
+
+    def __init__(self, test: Callable[[tuple[str, str]], bool]):
+        super().__init__()
+        self.test = test
+
+    def __missing__(self, pair: tuple[str, str]) -> bool:
+        if len(self) >= CACHE_PAIRS:
+            self.clear()
+        self[pair] = answer = self.test(pair)
+        return answer
+
+
 class PrefixTable:
     """Exact encoder over symbols (characters) with a vocabulary and a merge order.
 
@@ -30,9 +44,9 @@ class PrefixTable:
         self.automaton = ahocorasick.Automaton()
         for piece in vocabulary:
             if piece:
-                self.automaton.add_word(piece, len(piece))
+                self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[str, str], bool] = {}
+        self.compatible = Pairs(self.fits)
         self.symbols = {piece for piece in vocabulary if len(piece) == 1}
 
     def merged(self, text: str) -> list[str]:
@@ -49,32 +63,23 @@ class PrefixTable:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        """True if the two tokens side by side stay two tokens; ``left`` is empty at the start of a text."""
-        key = (left, right)
-        known = self.compatible.get(key)
-        if known is None:
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.compatible) >= CACHE_PAIRS:
-                self.compatible.clear()
-            self.compatible[key] = known
-        return known
+    def fits(self, pair: tuple[str, str]) -> bool:
+        """True if two tokens side by side stay two tokens; the left one is empty at the start of a text."""
+        left, right = pair
+        return self.merged(left + right) == ([left, right] if left else [right])
 
     def last_tokens(self, text: str) -> list[str]:
         """For every prefix (entry i: the first i symbols) its last token; entry 0 is empty."""
         last: list[str | None] = [None] * (len(text) + 1)
         last[0] = ""
-        ends, known = self.automaton.iter(text), self.compatible
+        ends, compatible = self.automaton.iter(text), self.compatible
         if not self.symbols.issuperset(text):
             # a symbol outside the vocabulary is also a token that ends there
-            ends = merge(ends, ((i, 1) for i, c in enumerate(text) if c not in self.symbols), key=lambda x: x[0])
-        for end, size in ends:
-            i = end + 1
-            if last[i] is None:
-                token, before = text[i - size : i], last[i - size]
-                fits = known.get((before, token))
-                if fits if fits is not None else self.fits(before, token):
-                    last[i] = token
+            ends = merge(ends, ((i, c) for i, c in enumerate(text) if c not in self.symbols), key=lambda x: x[0])
+        for end, token in ends:
+            end += 1
+            if last[end] is None and compatible[last[end - len(token)], token]:
+                last[end] = token
         return last
 
     def tokens(self, text: str) -> list[str]:

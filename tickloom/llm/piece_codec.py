@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding from a prefix table.
 
 The text is normalised as the model asks (white space becomes the mark U+2581, with one in front), and cut before every
-mark that follows another character: no piece of the vocabulary crosses such a place, which the constructor verifies.
+mark that follows another character and around line ends: no piece of the vocabulary crosses such a place, which the
+constructor verifies.
 Each part is encoded once per task from its table of last tokens and remembered, within a bound.  Characters outside
 the vocabulary become their bytes.  Decoding joins pieces and byte runs back to text.
 
@@ -26,9 +27,8 @@ from tickloom.llm.bpe import Bounded, PrefixTable, scored_pieces
 from tickloom.llm.common import whole_text
 
 MARK = "▁"
-PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Parts that one worker remembers (about 100 MB).
-CACHE_PARTS = 400_000
+#: Parts that one worker remembers (about 250 MB).
+CACHE_PARTS = 800_000
 
 
 class PieceCodec:
@@ -39,8 +39,9 @@ class PieceCodec:
         pieces = {library.id_to_piece(i): i for i in range(library.vocab_size())}
         special = {i for i in pieces.values() if library.is_control(i) or library.is_unknown(i) or library.is_byte(i)}
         self.normal = {p: i for p, i in pieces.items() if i not in special and not library.is_unused(i)}
-        if any(MARK in p.lstrip(MARK) for p in self.normal):
-            raise ValueError("a piece goes on after a white-space mark")
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.normal):
+            raise ValueError("a piece goes on after a white-space mark, or over a line end")
+        self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         self.bytes = [pieces[f"<0x{b:02X}>"] for b in range(256)]
         self.end = library.eos_id()
         self.text_of = {i: p for p, i in self.normal.items()}
@@ -53,21 +54,30 @@ class PieceCodec:
 
     def decimals(self, part: str) -> str:
         """Ids of a part as decimals joined by one space; the ids are decoded and must give the part back."""
-        ids = self.ids_of(part)
-        if self.joined(ids) != part.replace(MARK, " "):
+        tokens = self.table.tokens(part)
+        try:
+            ids = [self.normal[t] for t in tokens]
+            back = "".join([self.text_of[i] for i in ids])
+        except KeyError:  # bytes of characters outside the vocabulary
+            ids = self.numbers(tokens)
+            back = self.joined(ids).replace(" ", MARK)
+        if back != part:
             raise ValueError(f"{part!r} does not survive its ids")
         return " ".join(map(str, ids))
 
-    def ids_of(self, part: str) -> list[int]:
+    def numbers(self, tokens: list[str]) -> list[int]:
         ids: list[int] = []
-        for token in self.table.tokens(part):
+        for token in tokens:
             number = self.normal.get(token)
             ids += [number] if number is not None else [self.bytes[b] for b in token.encode()]
         return ids
 
+    def ids_of(self, part: str) -> list[int]:
+        return self.numbers(self.table.tokens(part))
+
     def split(self, text: str) -> list[str]:
         """Parts of the normalised text that are encoded on their own."""
-        return PART.findall(self.normalised(text)) if text else []
+        return self.cut(self.normalised(text)) if text else []
 
     def encode(self, text: str) -> list[int]:
         """Ids with the end id."""

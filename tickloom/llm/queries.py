@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup, near_dedup, piece_codec, quality, secrets, sharding, substring_dedup, token_counts, token_files
+from tickloom.llm import decontamination, exact_dedup, near_dedup, piece_codec, quality, secrets, sharding, substring_dedup, token_counts, token_files
 from tickloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,8 @@ def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontamination")
+def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -41,7 +41,7 @@ NUMBER = r"\d+(?:[.,:/]\d+)*"
 UNIT = rf"(?:%|(?i:{UNITS})(?!\p{{L}}))"
 CURRENCY = r"[$€£](?= ?\d)"
 #: Capitalised words that do not begin a sentence.
-NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})\p{L}+(?: \p{Lu}\p{L}+)*"
+NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*"
 SLOT = rf"{NAME}|{CURRENCY}|{NUMBER}|(?<=\d ?){UNIT}"
 #: White space and ASCII punctuation.
 GAP = r"[\x00-\x20!-/:-@\[-`{-~]+"
@@ -73,15 +73,14 @@ def windows(codes: str, size: int) -> Column:
 
 
 def forms(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
-    """(item, form, tokens, slots): every item as it stands, and as it reads inside a sentence, where its first word,
-    if capitalised, is a name."""
+    """(item, form, tokens, slots): every item as it stands, as it reads inside a sentence, where its first word, if
+    capitalised, is a name, and in one case, where no word is."""
     items = benchmark.filter(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("text")).agg(F.min(item_col).alias("item"))
-    alone = items.select("item", F.lit(0).alias("form"), words(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"))
-    inside = F.concat(F.lit("a "), F.col("text"))
-    within = items.select("item", F.lit(1).alias("form"), words(inside).alias("tokens"), slots(inside).alias("slots"))
-    # the word put in front goes again; where it changes nothing the two forms are one
-    within = within.withColumn("tokens", F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0))))
-    return alone.union(within).groupBy("item", "tokens", "slots").agg(F.min("form").alias("form"))
+    read = [F.col("text"), F.concat(F.lit("a "), F.col("text")), F.lower("text")]
+    alone, inside, low = (items.select("item", F.lit(i).alias("form"), words(t).alias("tokens"), slots(t).alias("slots")) for i, t in enumerate(read))
+    inside = inside.withColumn("tokens", F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0))))  # without the word put in front
+    # forms that read the same are one
+    return alone.union(inside).union(low).groupBy("item", "tokens", "slots").agg(F.min("form").alias("form"))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:

@@ -134,22 +134,23 @@ def repeated_fingerprints(prints: DataFrame, column: str = "fp") -> DataFrame:
     return filters.groupBy("part").applyInPandas(combine, f"{column} long, copies long")
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 256) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, keep_id, group_size, kept, text_sha256.
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, key_bits: int = 256) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, keep_id, group_size, kept, text_sha256, and ``row_col`` if given.
 
-    Of equal texts the row with the largest id stays.  ``key_bits`` is the digest that names a text between
+    Of equal texts the row with the largest id stays; ``row_col`` tells rows with equal ids apart.  ``key_bits`` is the digest that names a text between
     jobs; the byte comparison proves that no digest names two texts, and takes a wider one if it ever did.
     """
-    texts = docs.select(F.col(id_col).alias("doc"), folded(whole_text(text_col)).alias("norm"))
-    named = texts.select("doc", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("sha"), F.sha2("norm", key_bits).alias("key"), "norm")
-    prints = store(named.select("doc", "fp", "sha", "key", F.monotonically_increasing_id().alias("row")), "prints")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    texts = docs.select(F.col(id_col).alias("doc"), row.alias("row"), folded(whole_text(text_col)).alias("norm"))
+    named = texts.select("doc", "row", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("sha"), F.sha2("norm", key_bits).alias("key"), "norm")
+    prints = store(named.select("doc", "row", "fp", "sha", "key"), "prints")
     again = store(repeated_fingerprints(prints), "repeated")
 
     # byte verification: grouping compares whole texts, and copies fall together before the shuffle
     routed = named.join(again, "fp", "left_semi").groupBy("fp", "key", "norm").agg(F.count(F.lit(1)).alias("n"))
     verified = store(routed.groupBy("fp", "key").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")), "verified")
     if key_bits < 512 and not verified.filter("texts > 1").isEmpty():
-        return decide(docs, id_col, text_col, 512)
+        return decide(docs, id_col, text_col, row_col, 512)
 
     last = prints.join(again, "fp", "left_semi").groupBy("fp", "key").agg(F.max(F.struct("doc", "row")).alias("last"))
     groups = store(last.join(verified, ["fp", "key"]).select("fp", "key", "n", "last"), "groups")
@@ -159,4 +160,5 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("row") == F.col("last.row"), F.lit(True)).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )

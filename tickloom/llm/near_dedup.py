@@ -107,19 +107,21 @@ def sketches_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, n_shingles, and for sets that are not empty the class name and sketch."""
+def sketched(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """doc, row, n_shingles, and for sets that are not empty the class name and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({
-                "doc": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "doc": batch.column(0), "row": batch.column(1), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "cls": pa.array([name(s) if len(s) else None for s in sets], pa.binary()),
                 "sketch": pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())})
 
-    rows = docs.select(F.col(id_col).alias("doc"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc {rows.schema[0].dataType.simpleString()}, n_shingles long, cls binary, sketch binary")
+    row = F.col(row_col) if row_col else F.lit(0)
+    rows = docs.select(F.col(id_col).alias("doc"), row.alias("row"), whole_text(text_col).alias("text"))
+    kinds = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in rows.schema[:2])
+    return rows.mapInArrow(run, f"{kinds}, n_shingles long, cls binary, sketch binary")
 
 
 def crowds(classes: DataFrame) -> DataFrame:
@@ -225,9 +227,9 @@ def left_over(crowd: DataFrame, labels: DataFrame, classes: DataFrame, sets: Dat
     return dealt.join(able, "cid").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, n_shingles, component_id (smallest id reachable), kept."""
-    prints = store(sketched(docs, id_col, text_col), "prints")
+def groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: the id, n_shingles, component_id (smallest id reachable), kept, and ``row_col`` if given."""
+    prints = store(sketched(docs, id_col, text_col, row_col), "prints")
     classes = store(
         prints.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
         .withColumn("cid", F.monotonically_increasing_id()),
@@ -249,4 +251,5 @@ def groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col:
     first = store(rooted.groupBy("root").agg(F.min("doc").alias("component")), "components")
     named = store(rooted.join(first, "root").select("cls", "component"), "named")
     return prints.drop("sketch").join(named, "cls", "left").select(
-        F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), F.col("doc").eqNullSafe(F.coalesce("component", "doc")).alias("kept"))
+        F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), F.col("doc").eqNullSafe(F.coalesce("component", "doc")).alias("kept"),
+        *([F.col("row").alias(row_col)] if row_col else []))

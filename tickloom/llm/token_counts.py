@@ -11,28 +11,22 @@ itself; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tickloom.llm.bpe import Bounded, PrefixTable, ranked_pairs
 from tickloom.llm.common import whole_text
 from tickloom.llm.piece_codec import codec_of
+from tickloom.llm.pretokens import PreTokens
 
-#: Fixed value: how byte-level BPE cuts a text into pre-tokens.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Below this code point the classes of the pattern are the same in every Unicode version; texts that go beyond are cut
-#: by the library's own pre-tokenizer.
-STABLE = regex.compile("[^\x00-ɏ‘’“”–—…€]")
-SPACE = regex.compile(r"\s")
+SPACE = re.compile(r"\s")
 #: Pre-tokens that one worker remembers.
 CACHE_PARTS = 400_000
 
@@ -48,18 +42,11 @@ class ByteCounter:
     """Prefix token counts for a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        library = Tokenizer.from_file(path)
-        with open(path) as file:
-            spec = json.load(file)
-        if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
-            raise ValueError("not a plain byte-level file")
-        self.pre_tokenizer = library.pre_tokenizer
-        merges = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"])
+        self.pre = PreTokens(path)
+        model = self.pre.spec["model"]
+        merges = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
-        self.table = PrefixTable(spec["model"]["vocab"], ranked_pairs(merges))
-        names = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.added = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.pattern = regex.compile(PRE_TOKEN)
+        self.table = PrefixTable(model["vocab"], ranked_pairs(merges))
         self.sizes = Bounded(lambda part: self.prefixes(part)[-1], CACHE_PARTS)
 
     def prefixes(self, part: str) -> list[int]:
@@ -68,25 +55,14 @@ class ByteCounter:
         counts = self.table.counts("".join(map(self.symbols.__getitem__, data)))
         return [0, *(counts[i] for i in accumulate(len(c.encode()) for c in part))]
 
-    def cut(self, text: str) -> list[str]:
-        """Pre-tokens of a text without added tokens."""
-        if not STABLE.search(text):
-            return self.pattern.findall(text)
-        return [text[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(text)]
-
-    def segments(self, text: str) -> list[tuple[str, bool]]:
-        """Stretches of text, and whether each is an added token."""
-        parts = self.added.split(text) if self.added else [text]
-        return [(p, i % 2 == 1) for i, p in enumerate(parts) if p]
-
     def count(self, text: str) -> int:
-        return sum(1 if added else sum(map(self.sizes.__getitem__, self.cut(part))) for part, added in self.segments(text))
+        return sum(1 if added else sum(map(self.sizes.__getitem__, self.pre.cut(part))) for part, added in self.pre.segments(text))
 
     def marks(self, text: str) -> tuple[list[int], list[int]]:
         """Starts of all pre-tokens (and the text's end), and the tokens before each."""
         starts, counts = [0], [0]
-        for part, added in self.segments(text):
-            for piece in [part] if added else self.cut(part):
+        for part, added in self.pre.segments(text):
+            for piece in [part] if added else self.pre.cut(part):
                 starts.append(starts[-1] + len(piece))
                 counts.append(counts[-1] + (1 if added else self.sizes[piece]))
         return starts, counts

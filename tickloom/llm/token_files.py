@@ -9,15 +9,17 @@ memory, so row i of a file, or any stretch of ids, is read in place.
 A table of documents (id, file, first id inside the file, number of ids) goes with the files, since an end id may
 also occur inside a text.
 
+Byte-level BPE encodes every pre-token by itself, so a worker gives each distinct one to the tokenizer once and remembers
+its ids, within a bound.
+
 Defined cases: a missing text is an empty text and gives its end id alone; missing ids come first; rows with equal ids
-follow one another in the order of their texts; long texts are encoded in parts cut where no token can cross; an
+follow one another in the order of their texts; long texts take memory in proportion to their length only once; an
 empty table gives an empty corpus; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,16 +32,15 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tickloom.llm.common import store, whole_text, work_folder
+from tickloom.llm.pretokens import PreTokens
 
 LENGTH = 2048
 BATCH_ROWS = 256
-#: Characters that the tokenizer is given at once.
-ENCODED_AT_ONCE = 200_000
-#: A byte-level pre-token holds white space only at its start, so a space after another character starts a new one.
-SAFE_CUT = re.compile(r"(?<=[0-9A-Za-z.,;:!?])(?= )")
+#: Characters whose new pre-tokens are given to the tokenizer at once, and pre-tokens that one worker remembers.
+ENCODED_AT_ONCE = 1_000_000
+CACHE_PARTS = 400_000
 
 
 @dataclass(frozen=True)
@@ -50,46 +51,46 @@ class TokenCorpus:
     documents: DataFrame  # id_col, shard, first, n_tokens
 
 
+class Encoder:
+    """Ids of texts by the tokenizers library, each distinct pre-token encoded once."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
+        self.pre = PreTokens(path)
+        self.vocabulary_size = self.pre.library.get_vocab_size()
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, parts: set[str]) -> None:
+        new = [p for p in parts if p not in self.known]
+        if len(self.known) + len(new) > CACHE_PARTS:
+            self.known.clear()
+            new = list(parts)
+        for at in range(0, len(new), 10_000):
+            group = new[at : at + 10_000]
+            for part, e in zip(group, self.pre.library.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                self.known[part] = np.array(e.ids, "<u4").tobytes()
+
+    def encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, as 32-bit integers."""
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and (not group or size + len(texts[at]) <= ENCODED_AT_ONCE):
+                parts: list[str] = []
+                for stretch, added in self.pre.segments(texts[at]):
+                    parts += [stretch] if added else self.pre.cut(stretch)
+                group.append(parts)
+                size += len(texts[at])
+                at += 1
+            self.learn(set().union(*group))
+            for parts in group:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
+
+
 @lru_cache(2)
-def tokenizer_of(path: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-    return Tokenizer.from_file(path)
-
-
-def parts_of(text: str) -> list[str]:
-    """The text in parts of bounded size wherever a safe place allows."""
-    parts, start = [], 0
-    while len(text) - start > ENCODED_AT_ONCE:
-        cut = SAFE_CUT.search(text, start + ENCODED_AT_ONCE)
-        if not cut:
-            break
-        parts.append(text[start : cut.start()])
-        start = cut.start()
-    return [*parts, text[start:]]
-
-
-def encoded(texts: list[str], tokenizer: Tokenizer) -> Iterator[np.ndarray]:
-    """Ids of each text."""
-    group: list[str] = []
-
-    def flush() -> Iterator[np.ndarray]:
-        for e in tokenizer.encode_batch_fast(group, add_special_tokens=False):
-            yield np.array(e.ids, np.uint32)
-        group.clear()
-
-    size = 0
-    for text in texts:
-        if len(text) > ENCODED_AT_ONCE:
-            yield from flush()
-            size = 0
-            yield np.concatenate([np.array(tokenizer.encode_batch_fast([p], add_special_tokens=False)[0].ids, np.uint32) for p in parts_of(text)])
-            continue
-        if size + len(text) > ENCODED_AT_ONCE:
-            yield from flush()
-            size = 0
-        group.append(text)
-        size += len(text)
-    yield from flush()
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process and vocabulary file."""
+    return Encoder(path)
 
 
 class SequenceWriter:
@@ -173,8 +174,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, i
     folder = folder or work_folder(docs.sparkSession, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(vocabulary)
-        dtype = np.dtype(np.uint16 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32)
+        encoder = encoder_of(vocabulary)
+        dtype = np.dtype(np.uint16 if max(encoder.vocabulary_size, end_id + 1) <= 1 << 16 else np.uint32)
         task = TaskContext.get()
         shard = task.partitionId()
         system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
@@ -186,7 +187,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, i
             writer = SequenceWriter(sink, length, dtype)
             for batch in batches:
                 firsts, sizes = [], []
-                for ids in encoded(batch.column(1).to_pylist(), tokenizer):
+                for ids in encoder.encoded(batch.column(1).to_pylist()):
                     firsts.append(writer.total)
                     sizes.append(len(ids) + 1)
                     writer.add(np.append(ids, np.uint32(end_id)))

@@ -120,8 +120,8 @@ def repeated_fingerprints(prints: DataFrame, column: str = "fp") -> DataFrame:
         parts = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches]
         values = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
         group = (values >> np.uint64(bits)).astype(np.int64) if ranges else np.zeros(len(values), np.int64)
-        cuts = np.flatnonzero(np.diff(group, prepend=-1))
-        for lo, hi in zip(cuts, [*cuts[1:], len(values)], strict=True):
+        cuts = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else group
+        for lo, hi in zip(cuts, [*cuts[1:], len(values)]):
             rest = values[lo:hi] & np.uint64((1 << bits) - 1)
             yield pa.RecordBatch.from_pydict({"part": pa.array([group[lo]], pa.int64()), "filter": pa.array([CountingQuotientFilter.of(rest, bits).pack()], pa.binary())})
 

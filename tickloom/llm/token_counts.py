@@ -70,12 +70,11 @@ class ByteCounter:
     def at(self, text: str, size: int, marks: tuple[list[int], list[int]] | None = None) -> int:
         """Tokens of the first ``size`` characters, exactly as if they were encoded alone."""
         starts, counts = marks or self.marks(text)
-        i = max(0, bisect_right(starts, size) - 1)
-        # the rules look one character ahead at white space, and apostrophes start a pre-token with what follows
-        while i and (starts[i] == size or SPACE.match(text[starts[i - 1]]) or text[starts[i - 1]] == "'"):
+        i = max(0, bisect_right(starts, size) - 3)
+        # what the cut changes: white space looks one character ahead, apostrophes join what follows, and the head of
+        # an added token joins what stands before it
+        while i and (SPACE.match(text[starts[i]]) or text[starts[i]] == "'"):
             i -= 1
-            if not SPACE.match(text[starts[i]]) and text[starts[i]] != "'":
-                break
         return counts[i] + self.count(text[starts[i] : size])
 
     def fitting(self, text: str, budget: int) -> tuple[int, int]:

@@ -114,8 +114,7 @@ def smoothed_weights(df: DataFrame, static: Mapping[str, float], deltas: Mapping
     now = blended_weights(static, deltas)
     d = df.withColumns({f"_now_{m}": c for m, c in now.items()})
     d = carry_last(d, {f"_first_{m}": F.when(F.col(IDX) == 0, F.col(f"_now_{m}")) for m in now}, lane)
-    for m in now:
-        d = ema(d, {f"_ema_{m}": 2.0 / (1.0 - smooth) - 1.0}, f"_now_{m}", lane)
+    d = ema(d, {f"_ema_{m}": 2.0 / (1.0 - smooth) - 1.0 for m in now}, {f"_ema_{m}": f"_now_{m}" for m in now}, lane)
     fade = F.pow(F.lit(smooth), F.col(IDX) + 1)
     raw = {m: F.col(f"_ema_{m}") + fade * (F.lit(float(static[m])) - F.col(f"_first_{m}")) for m in now}
     out = d.withColumns({f"weight_{m}": c for m, c in raw.items()})

@@ -23,9 +23,12 @@ def ceil_time(ts, seconds: int) -> Column:
 
 
 def trade_order(ts: str = "ts", seq: str = "seq") -> Column:
-    """(time, sequence) as one fixed-width decimal, so first/last price stay in a hash aggregate."""
-    micros = F.unix_micros(ts).cast("decimal(18,0)") * F.lit(10**15).cast("decimal(16,0)")
-    return (micros + F.col(seq).cast("decimal(15,0)")).cast("decimal(35,0)")
+    """(time, sequence) as one fixed-width decimal, so first/last price stay in a hash aggregate.
+
+    Any 64-bit sequence number fits below the time (microseconds within the years 1653 to 2286).
+    """
+    micros = F.unix_micros(ts).cast("decimal(17,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)")
+    return (micros + F.col(seq).cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def minute_bars(trades: DataFrame, seconds: int = 60) -> DataFrame:

@@ -202,46 +202,57 @@ def bars_since(df: DataFrame, events: Mapping[str, Column], default: int | None
     return out.withColumns(fill).drop(*[f"_at_{n}" for n in events])
 
 
-def ema(df: DataFrame, spans: Mapping[str, float], value: str = "close", lane: Lane = BARS) -> DataFrame:
-    """Exponential averages ``y = a*x + (1-a)*y_prev`` with ``a = 2/(span+1)``, seeded with the first value.
+def ema(df: DataFrame, spans: Mapping[str, float], value: str | Mapping[str, str] = "close", lane: Lane = BARS) -> DataFrame:
+    """Exponential averages ``y = a*x + (1-a)*y_prev`` with ``a = 2/(span+1)``, seeded with the first known value.
 
-    Inside a block, ``y_t = d^t * (w_0 + sum a*x_i*d^-i)`` is a running sum times a power
-    (``d = 1-a``); blocks chain as the affine map ``y_out = d^n * y_in + y_block``.
+    ``value`` is the averaged column, or one column per name; all come out of one pass.  A missing value leaves the
+    level as it is; before the first known value the average is missing.  A span of 1 is the last known value.
+
+    Counting known values only, the level after c of them in a block is ``d^c * (y_in + sum a*x_i*d^-i)`` with
+    ``d = 1-a``; blocks chain as the affine map ``y_out = d^n * y_in + y_block``.  Blocks further back than
+    d^n = e^-80 are below the last bit of a double and are not added up.
     """
-    decay = {n: 1.0 - 2.0 / (s + 1.0) for n, s in spans.items()}
+    column = {n: value if isinstance(value, str) else value[n] for n in spans}
+    last_known = {n: F.col(column[n]) for n, s in spans.items() if s <= 1.0}
+    if last_known:
+        df = carry_last(df, last_known, lane)
+    decay = {n: 1.0 - 2.0 / (s + 1.0) for n, s in spans.items() if s > 1.0}
+    if not decay:
+        return df
     # d^-i must stay inside a double: keep block * -ln(d) below 600
     steepest = max(-math.log(d) for d in decay.values())
     lane = lane.sized(max(1, int(600 / steepest)))
-    x = F.col(value)
-    pos = (F.col(IDX) % lane.block).cast("double")
-    tagged = df.withColumns({"_block": lane.number(), "_pos": pos})
-    weight = {
-        n: F.when(F.col(IDX) == 0, x).otherwise(x * (1.0 - d)) * F.pow(F.lit(d), -F.col("_pos"))
-        for n, d in decay.items()
-    }
+    known = {c: f"_c{i}" for i, c in enumerate(sorted({column[n] for n in decay}))}
+    tagged = df.withColumn("_block", lane.number())
+    frame = lane.window().rowsBetween(Window.unboundedPreceding, 0)
+    tagged = tagged.withColumns({k: F.count(c).over(frame) for c, k in known.items()})
+    weight = {n: F.col(column[n]) * (1.0 - d) * F.pow(F.lit(d), -F.col(known[column[n]])) for n, d in decay.items()}
+    tagged = tagged.withColumns({f"_w_{n}": F.coalesce(F.sum(w).over(frame), F.lit(0.0)) for n, w in weight.items()})
     summary = tagged.groupBy(*lane.keys, "_block").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[
-            (F.sum(weight[n]) * F.pow(F.lit(d), F.max("_pos"))).alias(f"_y_{n}")
-            for n, d in decay.items()
-        ],
+        *[F.max(k).alias(f"{k}_n") for k in known.values()],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(IDX))).alias(f"{k}_x") for c, k in known.items()],
+        *[F.max_by(f"_w_{n}", IDX).alias(f"_y_{n}") for n in decay],
     )
-    # chain the block summaries: y_in(k) = sum over earlier blocks of y_block(j) * d^(rows between);
-    # blocks further back than d^rows = e^-80 are below the last bit of a double
     flattest = min(-math.log(d) for d in decay.values())
-    reach = math.ceil(80 / (flattest * lane.block))
-    history = Window.partitionBy(*lane.keys).orderBy("_block").rowsBetween(-reach, -1)
+    before, so_far = _before(lane), Window.partitionBy(*lane.keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    summary = summary.withColumns({
+        **{f"{k}_first": F.first(f"{k}_x", ignorenulls=True).over(so_far) for k in known.values()},
+        **{f"{k}_before": F.coalesce(F.sum(f"{k}_n").over(before), F.lit(0)) for k in known.values()},
+    })
+    history = Window.partitionBy(*lane.keys).orderBy("_block").rowsBetween(-math.ceil(80 / (flattest * lane.block)), -1)
 
     def incoming(n: str, d: float) -> Column:
-        earlier = F.collect_list(F.struct(F.col(f"_y_{n}").alias("y"), F.col("_n").alias("n"))).over(history)
-        return F.aggregate(earlier, F.lit(0.0), lambda acc, s: acc * F.pow(F.lit(d), s["n"]) + s["y"])
-
-    chained = summary.withColumns({f"_in_{n}": incoming(n, d) for n, d in decay.items()}).select(*lane.keys, "_block", *[f"_in_{n}" for n in spans])
-    frame = lane.window().rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(chained, [*lane.keys, "_block"], "left").withColumns(
-        {
-            n: F.pow(F.lit(d), F.col("_pos")) * (F.sum(weight[n]).over(frame) + F.col(f"_in_{n}") * d)
-            for n, d in decay.items()
-        }
-    )
-    return out.drop("_block", "_pos", *[f"_in_{n}" for n in spans])
+        k = known[column[n]]
+        earlier = F.collect_list(F.struct(F.col(f"_y_{n}").alias("y"), F.col(f"{k}_n").alias("n"))).over(history)
+        return F.aggregate(earlier, F.col(f"{k}_first").cast("double"), lambda acc, s: F.pow(F.lit(d), s["n"]) * (acc + s["y"]))
+
+    seeds = summary.withColumns({f"_in_{n}": incoming(n, d) for n, d in decay.items()}).select(
+        *lane.keys, "_block", *[f"{k}_before" for k in known.values()], *[f"_in_{n}" for n in decay])
+    out = tagged.join(seeds, [*lane.keys, "_block"], "left")
+    levels = {}
+    for n, d in decay.items():
+        k = known[column[n]]
+        seen = F.col(k) + F.col(f"{k}_before") > 0
+        levels[n] = F.when(seen, F.pow(F.lit(d), F.col(k)) * (F.col(f"_in_{n}") + F.col(f"_w_{n}")))
+    return out.withColumns(levels).drop(
+        "_block", *known.values(), *[f"{k}_before" for k in known.values()], *[f"_{w}_{n}" for w in ("in", "w") for n in decay])

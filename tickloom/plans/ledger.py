@@ -262,9 +262,9 @@ def grid(spark, d):
 
 @query("A18_pivot_max", """WITH x AS (SELECT o_orderpriority AS target, o_orderstatus AS family, o_totalprice / 0.997::DOUBLE AS s FROM orders)
 SELECT target, round(max(s) FILTER (family = 'F'), 4) AS "F", round(max(s) FILTER (family = 'O'), 4) AS "O",
-  round(max(s) FILTER (family = 'F') - max(s) FILTER (family = 'O'), 4) AS delta FROM x GROUP BY 1""")
+  round(max(s) FILTER (family = 'P'), 4) AS "P", round(max(s) FILTER (family = 'F') - max(s) FILTER (family = 'O'), 4) AS delta FROM x GROUP BY 1""")
 def pivot_max(spark, d):
-    x = ledger(spark, d).groupBy(F.col("tier").alias("target")).pivot("regime", ["F", "O"]).agg(F.max("size_usd"))
+    x = ledger(spark, d).groupBy(F.col("tier").alias("target")).pivot("regime").agg(F.max("size_usd"))
     return neat(x.withColumn("delta", F.col("F") - F.col("O")), 4)
 
 
@@ -466,14 +466,13 @@ _SCORE = "greatest(conf, 0) * (1 + greatest(evr, 0)) * (1 + greatest(r, 0)) * (1
 
 
 @query("K5_signal_ranking", WITH_LEDGER + f"""
-SELECT trade_id, round({_SCORE}, 4) AS signal_score FROM led ORDER BY round({_SCORE}, 4) DESC, trade_id LIMIT 100""")
+SELECT trade_id, round({_SCORE}, 4) AS signal_score FROM led""")
 def signal_ranking(spark, d):
     from tickloom.operators.screen import signal_score
 
     df = ledger(spark, d).withColumns({"confluence": F.col("conf"), "median_r": F.col("r"), "hazard": F.col("hazard_entry"),
                                        "flow_1h": F.lit(0.0)})
-    out = df.select("trade_id", F.round(signal_score(), 4).alias("signal_score"))
-    return out.orderBy(F.desc("signal_score"), "trade_id").limit(100)
+    return df.select("trade_id", F.round(signal_score(), 4).alias("signal_score")).orderBy(F.desc("signal_score"), "trade_id")
 
 
 @query("K7_first_bar_at_or_after", """SELECT o_orderkey AS trade_id,

@@ -93,8 +93,7 @@ def upsert(spark, d):
     b = pin(R.rollup(minutes(spark, d), "1h").select("asset", "bar_close", "close", "volume"))
     store = T.FeatureTable(spark, scratch(spark, "features"))
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    first = b.withColumn("extra", F.lit(None).cast("double"))
-    store.save(first.drop("volume"), "overwrite", required=("close",))
+    store.save(b.drop("volume"), "overwrite", required=("close",))
     store.save(b.filter(F.col("bar_close") > cut).select("asset", "bar_close", (F.col("close") + 1000).alias("close"), F.col("volume").alias("extra")))
     return store.load().select("asset", F.unix_seconds("bar_close").alias("t"), F.round("close", 2).alias("close"), "extra")
 

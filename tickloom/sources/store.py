@@ -44,7 +44,8 @@ class FeatureTable:
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def load(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """All rows; columns that only later batches have are NULL in earlier rows."""
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path)
 
     def slice(self, start: str, end: str) -> DataFrame:
         """Closed time range; the date partitions outside it are not read."""

@@ -12,11 +12,17 @@ from tickloom.sources.store import keep_last
 
 def trade_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = None, pattern: str | None = None,
                  fmt: str = "parquet") -> DataFrame:
-    """File source; any source with the same columns does (Kafka after ``from_json``)."""
+    """File source; any source with the same columns does (Kafka after ``from_json``).
+
+    ``pattern`` names one table of the folder, a file or a directory of part files.
+    """
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if pattern:
+        table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+        if table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(table).isDirectory():
+            return reader.load(f"{folder}/{pattern}")
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(folder)
 

@@ -65,3 +65,21 @@ def test_a_store_shows_columns_of_later_batches(spark, tmp_path):
 def test_no_family_and_no_signal_is_cut(spark):
     assert {"F", "O", "P"} <= set(pivot_max(spark, SMALL).columns)
     assert signal_ranking(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+
+
+def test_every_distinct_score_is_a_threshold(spark):
+    from tickloom.operators.mlprep import threshold_table
+
+    rows = [(i / 1000.0, int(i % 3 == 0)) for i in range(1, 1000) for _ in range(1 + i % 2)]
+    got = {round(r.threshold, 9): (r.tp, r.flagged) for r in threshold_table(spark.createDataFrame(rows, "p double, y int"), "y", "p").collect()}
+    assert len(got) == 999
+    for t in (0.001, 0.25, 0.5, 0.999):
+        assert got[t] == (sum(y for p, y in rows if p >= t), sum(p >= t for p, _ in rows))
+
+
+def test_clusters_use_rows_with_any_value(spark):
+    from tickloom.operators.mlprep import filled_and_clipped
+
+    rows = [(None, 1.0), (2.0, None), (None, None), (4.0, 3.0), (6.0, 500.0)]
+    got = filled_and_clipped(spark.createDataFrame(rows, "a double, b double"), ("a", "b"), 0.0, 0.75).collect()
+    assert sorted((r.a, r.b) for r in got) == [(2.0, 3.0), (4.0, 1.0), (4.0, 3.0), (5.0, 251.5)]

@@ -196,27 +196,19 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5
         "rows", F.col("_a.ap").alias("ap"), F.col("_a.auc").alias("auc"), "brier", "precision", "recall", F.coalesce(safe_div(2.0 * pr * rc, pr + rc), F.lit(0.0)).alias("f1"), "positive_rate")
 
 
-def threshold_table(df: DataFrame, label: str, score: str, default: float = 0.5, limit: int = 256) -> DataFrame:
-    """Precision, recall and F1 at every candidate threshold: the distinct scores, or ``limit`` quantiles when there are more.
+def threshold_table(df: DataFrame, label: str, score: str, default: float = 0.5) -> DataFrame:
+    """Precision, recall and F1 at every distinct score (kept within 1e-4 of 0 and 1) and at ``default``.
 
-    Rows are counted per gap between candidates, so only a few hundred counts are ever summed.
+    Equal scores are counted first; running counts from the highest score down then give every threshold its row.
     """
     d = df.select(_clipped(score).alias("p"), F.col(label).cast("int").alias("y")).dropna()
-    some = [r["p"] for r in d.select("p").distinct().limit(limit + 1).collect()]
-    if len(some) > limit:
-        some = [r["value"] for r in exact_quantiles(d, "p", list(np.linspace(0.01, 0.99, limit))).collect()]
-    cuts = sorted({min(max(x, 1e-4), 1.0 - 1e-4) for x in some} | {default})
-
-    @F.pandas_udf("int")
-    def gap(p: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, p.to_numpy(), side="right")).astype("int32")
-
-    counts = d.groupBy(gap("p").alias("k")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    table = df.sparkSession.createDataFrame([(i + 1, float(c)) for i, c in enumerate(cuts)], "rank int, threshold double")
-    down = Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)  # a few hundred candidates
-    at = table.join(counts, F.col("k") == F.col("rank"), "left").select(
-        "threshold", F.coalesce(F.sum("pos").over(down), F.lit(0)).alias("tp"), F.coalesce(F.sum("n").over(down), F.lit(0)).alias("flagged"))
+    counts = d.groupBy("p").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    cuts = counts.select(clip(F.col("p"), F.lit(1e-4), F.lit(1.0 - 1e-4)).alias("p")).union(df.sparkSession.createDataFrame([(default,)], "p double")).distinct()
+    values = counts.withColumn("cut", F.lit(0)).unionByName(cuts.select("p", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("cut")))
+    merged = values.groupBy((-F.col("p")).alias("_down")).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.max("cut").alias("cut"))
+    run = carry_total(index_rows(merged, (), ("_down",)), sums={"tp": F.col("pos"), "flagged": F.col("n")}, lane=LEDGER)
     total = counts.agg(F.sum("pos")).scalar()
+    at = run.filter("cut = 1").select((-F.col("_down")).alias("threshold"), "tp", "flagged")
     out = at.withColumns({"precision": F.coalesce(safe_div("tp", "flagged"), F.lit(0.0)), "recall": F.coalesce(safe_div(F.col("tp"), total), F.lit(0.0))})
     pr, rc = F.col("precision"), F.col("recall")
     return out.withColumn("f1", F.coalesce(safe_div(2.0 * pr * rc, pr + rc), F.lit(0.0)))
@@ -407,6 +399,17 @@ def permutation_drop(model: PipelineModel, df: DataFrame, col: str, label: str,
     return ap(df), ap(mixed)
 
 
+def filled_and_clipped(df: DataFrame, cols: Sequence[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """Rows with any of the columns known; gaps take the column's median, values stay between two of its quantiles."""
+    known = df.filter(F.coalesce(*cols).isNotNull())
+    q = {(r["column"], r["q"]): r["value"] for r in column_quantiles(known, cols, (low, 0.5, high)).collect()}  # three numbers a column
+    fitted = {}
+    for c in cols:
+        middle = q.get((c, 0.5), 0.0)
+        fitted[c] = clip(F.coalesce(F.col(c), F.lit(middle)), F.lit(q.get((c, low), middle)), F.lit(q.get((c, high), middle)))
+    return known.withColumns(fitted)
+
+
 def clusters(df: DataFrame, cols: Sequence[str], k: int = 4, soft: bool = True, components: int | None = None) -> DataFrame:
     """Scaled features, optional PCA, then a Gaussian mixture (posteriors) or k-means; adds ``state``."""
     stages = list(preprocessing(cols, out="_vec").getStages())

@@ -445,9 +445,9 @@ def candidates(spark, d):
 
 @query("M10_permutation_audit")
 def permutation(spark, d):
-    s = pin(labelled(spark, d).select("id", "y", *_INPUTS))
-    model = M.classifier(_INPUTS, "y").fit(s)
-    rows = [(c, *M.permutation_drop(model, s, c, "y", "id")) for c in ("confluence_score", "atr")]
+    s = pin(labelled(spark, d).select("id", "y", *_INPUTS).withColumn("held_out", F.pmod(F.xxhash64("id"), F.lit(4)) == 0))
+    model = M.classifier(_INPUTS, "y").fit(s.filter("NOT held_out"))
+    rows = [(c, *M.permutation_drop(model, s.filter("held_out"), c, "y", "id")) for c in _INPUTS]
     t = spark.createDataFrame(rows, "column string, ap double, ap_shuffled double")
     return neat(t.withColumn("drop", F.col("ap") - F.col("ap_shuffled")), 4)
 
@@ -455,8 +455,8 @@ def permutation(spark, d):
 @query("M11_regime_clusters")
 def clusters(spark, d):
     x = X.regime_inputs(X.volatility(bars(spark, d, "1h"), with_lags=False), rank=50)
-    x = pin(x.dropna(subset=["vol_pct", "trend_persist", "compression_12h", "toxicity_12h"]))
-    out = M.clusters(x, ("vol_pct", "trend_persist", "compression_12h", "toxicity_12h"), k=3)
+    inputs = ("vol_pct", "trend_persist", "compression_12h", "toxicity_12h")
+    out = M.clusters(pin(M.filled_and_clipped(x, inputs)), inputs, k=3)
     return neat(M.regime_names(out), 4)
 
 

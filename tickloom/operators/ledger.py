@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import clip, flag, safe_div
@@ -428,9 +428,10 @@ def stress_report(df: DataFrame, equity: float, scenarios: Sequence[Mapping] = S
         F.when(F.col("risk_of_ruin_proxy") > MAX_RUIN, "risk_of_ruin_proxy"),
     ))
     m = m.withColumns({"reasons": F.array_join(reasons, ","), "passed": flag(F.size(reasons) == 0)})
-    base = m.filter(F.col("scenario") == scenarios[0]["name"])
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row per scenario
+    is_base = F.col("scenario") == scenarios[0]["name"]
     return m.withColumns(
-        {f"delta_{c}": F.col(c) - base.select(c).scalar() for c in ("total_pnl", "max_drawdown_pct", "cvar95")}
+        {f"delta_{c}": F.col(c) - F.max(F.when(is_base, F.col(c))).over(every) for c in ("total_pnl", "max_drawdown_pct", "cvar95")}
     )
 
 

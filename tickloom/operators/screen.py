@@ -386,13 +386,19 @@ def ticket_size(df: DataFrame, p: Policy = POLICY) -> DataFrame:
                            "ticket_mode": F.when(open_, "ticket").otherwise("blocked")})
 
 
-def hazard_action(df: DataFrame) -> DataFrame:
-    """Hold, tighten, take part or exit, from the adjusted hazard; and the stop that goes with it."""
+def hazard_action(df: DataFrame, segment_exits: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
+    """Hold, tighten, take part or exit, from the adjusted hazard; and the stop that goes with it.
+
+    ``segment_exits`` gives an exit limit per (regime, session): a hazard above it counts as 1 % more than the limit.
+    """
     runner = F.col("leg") == "runner"
     # Tighten, partial, exit limits and ATR multiples, core then runner
     tighten, partial, out = (F.when(runner, r).otherwise(c) for c, r in ((0.30, 0.40), (0.40, 0.55), (0.50, 0.65)))
     m_tight, m_exit = (F.when(runner, r).otherwise(c) for c, r in ((0.50, 0.25), (1.00, 1.80)))
     h, bars, z = F.col("hazard_score"), F.col("bars_in_trade"), F.abs("ema_dist_z")
+    for (regime, session), limit in (segment_exits or {}).items():
+        here = (F.col("regime") == regime) & (F.col("session") == session) & (F.col("hazard_score") > limit)
+        h = F.when(here, limit * 1.01).otherwise(h)
     h = h + F.when(bars > 32, 0.02 * (bars - 32) / 32.0).otherwise(0.0)
     h = h + F.when(z > 2.5, 0.05 * (z - 2.5)).otherwise(0.0)
     strong = (

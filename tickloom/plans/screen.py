@@ -180,8 +180,10 @@ def sizes(spark, d):
 
 
 @query("F17_hazard_action", WITH_SIGNALS + """,
-h0 AS (SELECT *, leg = 'runner' AS rn, hazard_score + CASE WHEN bars_in_trade > 32 THEN 0.02::DOUBLE * (bars_in_trade - 32) / 32.0 ELSE 0 END
-  + CASE WHEN abs(ema_dist_z) > 2.5 THEN 0.05::DOUBLE * (abs(ema_dist_z) - 2.5) ELSE 0 END AS hz FROM sig),
+hs AS (SELECT *, CASE WHEN p_regime_trend >= 0.5 AND session_bucket = 'overlap' AND hazard_score > 0.5 THEN 0.5::DOUBLE * 1.01
+  WHEN p_regime_trend < 0.5 AND session_bucket = 'dead_zone' AND hazard_score > 0.35 THEN 0.35::DOUBLE * 1.01 ELSE hazard_score END AS hseg FROM sig),
+h0 AS (SELECT *, leg = 'runner' AS rn, hseg + CASE WHEN bars_in_trade > 32 THEN 0.02::DOUBLE * (bars_in_trade - 32) / 32.0 ELSE 0 END
+  + CASE WHEN abs(ema_dist_z) > 2.5 THEN 0.05::DOUBLE * (abs(ema_dist_z) - 2.5) ELSE 0 END AS hz FROM hs),
 h1 AS (SELECT *, rn AND confluence_score >= 0.75 AND p_bos_cont >= 0.6 AND p_eop - p_edp >= 0 AND median_r >= 6 AS stg FROM h0),
 h2 AS (SELECT *, CASE WHEN stg THEN greatest(0, hz - 0.08) ELSE hz END AS ha, CASE WHEN stg THEN 1.0::DOUBLE ELSE 0.0 END AS bo FROM h1),
 h3 AS (SELECT *, CASE WHEN ha > CASE WHEN rn THEN 0.65::DOUBLE ELSE 0.5 END + 0.08 * bo THEN 'exit' WHEN ha > CASE WHEN rn THEN 0.55::DOUBLE ELSE 0.4 END + 0.05 * bo THEN 'partial'
@@ -189,7 +191,9 @@ h3 AS (SELECT *, CASE WHEN ha > CASE WHEN rn THEN 0.65::DOUBLE ELSE 0.5 END + 0.
 SELECT id, round(ha, 6) AS hazard_adjusted, act AS hazard_action, round(CASE WHEN act = 'hold' THEN stop_price ELSE close + CASE WHEN side = 'long' THEN -1 ELSE 1 END
   * CASE WHEN act = 'exit' THEN CASE WHEN rn THEN 1.8::DOUBLE ELSE 1.0 END ELSE CASE WHEN rn THEN 0.25::DOUBLE ELSE 0.5 END END * atr END, 6) AS hazard_stop FROM h3""")
 def hazard_action(spark, d):
-    return neat(C.hazard_action(signals(spark, d)).select("id", "hazard_adjusted", "hazard_action", "hazard_stop"))
+    s = signals(spark, d).withColumns({"regime": F.when(F.col("p_regime_trend") >= 0.5, "trend").otherwise("range"), "session": F.col("session_bucket")})
+    out = C.hazard_action(s, {("trend", "overlap"): 0.5, ("range", "dead_zone"): 0.35})
+    return neat(out.select("id", "hazard_adjusted", "hazard_action", "hazard_stop"))
 
 
 @query("F18_profit_ladder", WITH_SIGNALS + """,

@@ -216,6 +216,15 @@ def replay_export(spark, d):
     return spark.read.schema("trade_id long, asset string, entry_idx long, entry_dt string").json(f"{path}/trades")
 
 
+@query("S16_replay_equity", WITH_LEDGER + """,
+e AS (SELECT *, 1e9 + sum(pnl) OVER o AS eq, row_number() OVER o - 1 AS idx FROM led WINDOW o AS (ORDER BY entry_ts, trade_id ROWS UNBOUNDED PRECEDING))
+SELECT idx, strftime(entry_ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, round(eq, 2) AS equity, round(eq - max(eq) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING), 2) AS drawdown FROM e""")
+def replay_equity(spark, d):
+    path = scratch(spark, "replay")
+    sinks.replay_equity(ledger(spark, d), 1e9).write.json(f"{path}/equity")
+    return neat(spark.read.schema("idx long, timestamp string, equity double, drawdown double").json(f"{path}/equity"), 2)
+
+
 @query("J5_merge_stored", with_bars("1h") + "\nSELECT asset, t, c AS close, CASE WHEN v >= 50 THEN c END AS close_stored, CASE WHEN v >= 50 THEN v END AS volume FROM b_1h")
 def merge_stored(spark, d):
     b = pin(R.rollup(minutes(spark, d), "1h"))

@@ -36,6 +36,13 @@ def replay_bars(bars: DataFrame) -> DataFrame:
         F.unix_seconds("bar_close").alias("timestamp"), *[F.col(c).alias(c[0]) for c in ("open", "high", "low", "close", "volume")])
 
 
+def replay_equity(trades: DataFrame, start_equity: float = L.START_EQUITY) -> DataFrame:
+    """Equity after every trade in entry order, with its distance from the highest equity so far."""
+    curve = L.equity_curve(L.ordered(trades.select("entry_ts", "trade_id", "pnl")), start_equity)
+    stamp = F.coalesce(F.date_format("entry_ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+    return curve.select(F.col("row_idx").alias("idx"), stamp.alias("timestamp"), "equity", "drawdown")
+
+
 def replay_trades(trades: DataFrame, bars: DataFrame, span_seconds: int = 3600) -> DataFrame:
     """Trades with the position of the last bar closed at or before entry and exit (needs ``row_idx`` on bars)."""
     marks = bars.select("asset", F.col("bar_close").alias("at"), F.col("row_idx").alias("idx"))

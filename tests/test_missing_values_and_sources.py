@@ -83,3 +83,16 @@ def test_clusters_use_rows_with_any_value(spark):
     rows = [(None, 1.0), (2.0, None), (None, None), (4.0, 3.0), (6.0, 500.0)]
     got = filled_and_clipped(spark.createDataFrame(rows, "a double, b double"), ("a", "b"), 0.0, 0.75).collect()
     assert sorted((r.a, r.b) for r in got) == [(2.0, 3.0), (4.0, 1.0), (4.0, 3.0), (5.0, 251.5)]
+
+
+def test_correlations_of_many_assets(spark):
+    import numpy as np
+
+    from tickloom.operators.mlprep import asset_correlations
+
+    x = np.random.default_rng(4).normal(size=(60, 120))
+    x[1] = -x[0]
+    rows = [(f"A{a:03d}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=t), float(x[a, t])) for a in range(60) for t in range(120) if a or t < 90]
+    got = {(r.a, r.b): (r.rows, r.corr) for r in asset_correlations(spark.createDataFrame(rows, "asset string, bar_close timestamp, ret double")).collect()}
+    assert len(got) == 60 * 59 // 2 and got["A000", "A001"][0] == 90 and abs(got["A000", "A001"][1] + 1) < 1e-9
+    assert abs(got["A007", "A031"][1] - np.corrcoef(x[7], x[31])[0, 1]) < 1e-9

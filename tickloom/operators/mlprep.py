@@ -111,10 +111,14 @@ def correlations(df: DataFrame, cols: Sequence[str], min_rows: int = 2, per_pass
 
 
 def asset_correlations(df: DataFrame, value: str = "ret", min_rows: int = 50) -> DataFrame:
-    """Correlation of the assets' values at the same time: one column per asset, then pairwise."""
-    assets = [r["asset"] for r in df.select("asset").distinct().orderBy("asset").collect()]
-    wide = df.groupBy("bar_close").pivot("asset", assets).agg(F.first(value))
-    return correlations(wide, assets, min_rows)
+    """Correlation of every two assets over the times at which both have a value.
+
+    Assets meet at their common times and are summed up per pair before the shuffle; no list of assets is ever built.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    a, b = (known.select("bar_close", F.col("asset").alias(n), F.col(value).cast("double").alias(f"_{n}")) for n in "ab")
+    out = a.join(b, "bar_close").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("rows"), F.corr("_a", "_b").alias("corr"))
+    return out.withColumn("corr", F.when((F.col("rows") >= min_rows) & ~F.isnan("corr"), F.col("corr")))
 
 
 def hygiene(df: DataFrame, cols: Sequence[str], row_id: Column, max_missing: float = 0.35, max_corr: float = 0.90,

@@ -488,10 +488,10 @@ def heuristic_structure(df: DataFrame, lane: Lane = BARS) -> DataFrame:
     return framed(base, build, back=14, lane=lane)
 
 
-def heuristic_regime(df: DataFrame, rank: int = 5000, lane: Lane = BARS) -> DataFrame:
+def heuristic_regime(df: DataFrame, history: int, lane: Lane = BARS) -> DataFrame:
     """12h heuristic: EMA 12/48 trend odds, ATR and toxicity percent ranks, compression, regime odds.
 
-    ``rank`` is the length of the rolling history the percent ranks are taken in (the live buffer size).
+    ``history`` is the number of rows, up to the current one, in which the percent ranks are taken; a caller states it.
     """
     base = ema(df, {"_f": 12.0, "_s": 48.0}, lane=lane)
 
@@ -509,8 +509,8 @@ def heuristic_regime(df: DataFrame, rank: int = 5000, lane: Lane = BARS) -> Data
                            "_mr": roll_mean("_rng", w, 10, 2)})
         d = d.withColumns(
             {
-                "_atr_pct": roll_rank_pct("_atr", w, rank, 1),
-                "heur_toxicity": clip(roll_rank_pct("_tox", w, rank, 1), zero, one),
+                "_atr_pct": roll_rank_pct("_atr", w, history, 1),
+                "heur_toxicity": clip(roll_rank_pct("_tox", w, history, 1), zero, one),
                 "heur_compression": clip(1.0 - F.col("_mr") * 20.0, zero, one),
                 "heur_p_down": clip(1.0 - F.col("heur_p_up"), F.lit(0.01), F.lit(0.99)),
             }
@@ -533,7 +533,7 @@ def heuristic_regime(df: DataFrame, rank: int = 5000, lane: Lane = BARS) -> Data
         ).drop("_tr", "_ret", "_rng", "_atr", "_tox", "_mr", "_atr_pct", "_trend", "_expansion", "_collapse", "_calm",
                "_f", "_s")
 
-    return framed(base, build, back=rank + 20, lane=lane)
+    return framed(base, build, back=history + 20, lane=lane)
 
 
 def atr_targets(df: DataFrame, side: Column, atr: str = "atr") -> DataFrame:

@@ -66,6 +66,11 @@ def places(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda w: w.startswith(PLACE)))
 
 
+def where(tokens: Column) -> Column:
+    """Numbers (from 1) of the template words that are placeholders."""
+    return F.filter(F.transform(tokens, lambda w, i: F.when(w.startswith(PLACE), i + 1)), lambda i: i.isNotNull())
+
+
 def windows(codes: str, size: int) -> Column:
     """Hash of every run of ``size`` word codes, a column of its own; null when there are fewer."""
     starts = F.when(F.size(codes) >= size, F.sequence(F.lit(1), F.size(codes) - (size - 1)))
@@ -116,26 +121,22 @@ def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         "aligned",
     )
 
-    def values(tokens: str, slots_: str, first: Column) -> Column:
-        """Values of the placeholders in the window that begins at word ``first``."""
-        before = places(F.slice(F.col(tokens), F.lit(1), first - 1))
-        inside = places(F.slice(F.col(tokens), first, F.col("length")))
-        return F.slice(F.col(slots_), before + 1, inside)
-
-    asked = items.select("item", "form", F.col("tokens").alias("i_tokens"), F.col("slots").alias("i_slots"))
+    asked = items.select("item", "form", where(F.col("tokens")).alias("i_where"), F.col("slots").alias("i_slots"))
     side_d = texts.select(F.col("doc").alias("d"), "text")
-    both = (
-        side_d.join(runs.join(asked, ["item", "form"]), F.col("d").eqNullSafe(F.col("doc")))
-        .select("doc", "item", "form", "length", "offset", "at", "i_tokens", "i_slots", words(F.col("text")).alias("d_tokens"), slots(F.col("text")).alias("d_slots"))
-        # rows that share an id may be shorter than the one that was found
-        .filter(F.size("d_tokens") >= F.array_max("at") + F.col("offset") + F.col("length") - 1)
-    )
-    matched = F.flatten(
-        F.transform("at", lambda p: F.arrays_zip(values("i_tokens", "i_slots", p).alias("i"), values("d_tokens", "d_slots", p + F.col("offset")).alias("d")))
+    both = side_d.join(runs.join(asked, ["item", "form"]), F.col("d").eqNullSafe(F.col("doc"))).select(
+        "doc", "item", "form", "length", "offset", "at", "i_where", "i_slots", words(F.col("text")).alias("d_tokens"), slots(F.col("text")).alias("d_slots"))
+    placed = both.withColumn("d_where", where(F.col("d_tokens"))).drop("d_tokens")
+    known_values = F.map_from_arrays(*(F.slice(c, F.lit(1), F.least(F.size("d_where"), F.size("d_slots"))) for c in ("d_where", "d_slots")))
+    valued = placed.withColumn("d_values", known_values).drop("d_where", "d_slots")
+    # placeholders of the item inside a window that was found, each with the value at its place in the document
+    inside = F.filter(
+        F.arrays_zip("i_where", "i_slots"),
+        lambda x: F.exists("at", lambda p: (x["i_where"] >= p) & (x["i_where"] < p + F.col("length"))),
     )
-    judged = both.select("doc", "item", "form", "at", F.array_distinct(matched).alias("map")).select(
+    matched = F.transform(inside, lambda x: F.struct(x["i_slots"].alias("i"), F.try_element_at("d_values", (x["i_where"] + F.col("offset")).cast("int")).alias("d")))
+    judged = valued.select("doc", "item", "form", "at", F.array_distinct(matched).alias("map")).select(
         "doc", "item", "form", F.size("at").alias("n_windows"),
-        (F.size("map") == F.size(F.array_distinct(F.transform("map", lambda x: x["i"])))).alias("consistent"),
+        ((F.size("map") == F.size(F.array_distinct(F.transform("map", lambda x: x["i"])))) & F.forall("map", lambda x: x["d"].isNotNull())).alias("consistent"),
         F.forall("map", lambda x: x["i"].eqNullSafe(x["d"])).alias("verbatim"),
     )
     totals = known.groupBy("item", "form").agg(F.first("total").alias("item_windows"))

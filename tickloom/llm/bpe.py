@@ -14,7 +14,7 @@ from heapq import merge
 import ahocorasick
 
 #: Entries of a bounded cache before it starts anew.
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 250_000
 Rank = Callable[[str, str], "float | None"]
 
 

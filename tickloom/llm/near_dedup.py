@@ -9,9 +9,8 @@ Bands of ``ROWS`` registers give buckets of classes that may be similar.
 
 Pairs.  In a bucket of up to ``SMALL`` classes all pairs are compared.  In a larger one every class is compared with
 a pivot, the class that shares most with others.  Classes that end in another component than the rest of their bucket
-are looked at again: a class with too many shingles that no other such class has cannot reach the threshold and drops
-out; the remaining ones are compared block by block with those of other components.  So a group of thousands of copies
-costs its size, not its square, and no pair is left out.
+are looked at again, block by block.  Shingles that no other open class has are never shared, so the rest of the smaller
+set bounds what two classes can share; pairs whose bound misses the threshold are ruled out exactly, and few are left.
 
 Verdict.  A pair's similarity is first estimated jointly, by the most likely value given how many registers are larger,
 smaller and equal and given both set sizes; pairs five deviations below the threshold stop there.  The others
@@ -35,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordHashes, hashed, mixed, runs, store, whole_text
+from tickloom.llm.common import hashed, mixed, runs, store, values_of, whole_text
 from tickloom.llm.components import components
 
 SHINGLE = 5
@@ -45,15 +44,16 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 SMALL = 8
 BLOCK = 512
 DEVIATIONS = 5
+#: Classes (about 80 bytes each) whose texts are picked by a broadcast join; more are picked by a shuffled one.
+MOST_BROADCAST = 200_000
 
-_cache = WordHashes()
 _ODD = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _FLIP = mixed(np.arange(REGISTERS + 1, 2 * REGISTERS + 1, dtype=np.uint64))
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    words = hashed(text.encode().lower().split(), _cache)
+    words = hashed(text.encode().lower().split())
     return np.unique(runs(words, min(size, len(words)))) if len(words) else words
 
 
@@ -112,11 +112,15 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            sizes, names, sketches = [], [], []
+            for text in values_of(batch.column(2)):
+                s = shingles(text)
+                sizes.append(len(s))
+                names.append(name(s) if len(s) else None)
+                sketches.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_pydict({
-                "doc": batch.column(0), "row": batch.column(1), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                "cls": pa.array([name(s) if len(s) else None for s in sets], pa.binary()),
-                "sketch": pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())})
+                "doc": batch.column(0), "row": batch.column(1), "n_shingles": pa.array(sizes, pa.int64()),
+                "cls": pa.array(names, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
 
     row = F.col(row_col) if row_col else F.lit(0)
     rows = docs.select(F.col(id_col).alias("doc"), row.alias("row"), whole_text(text_col).alias("text"))
@@ -160,12 +164,14 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            sets = [shingles(t) for t in values_of(batch.column(2))]
             # ids may repeat: only a text of the class itself counts
             good = [name(s) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"cid": batch.column(0), "values": pa.array([s.tobytes() for s in sets], pa.binary())}).filter(pa.array(good, pa.bool_()))
 
     chosen = store(classes.join(wanted, "cid").select("cid", "cls", "doc"), "chosen")
+    if chosen.count() <= MOST_BROADCAST:
+        chosen = F.broadcast(chosen)
     texts = docs.select(F.col(id_col).alias("doc_"), whole_text(text_col).alias("text"))
     return texts.join(chosen, F.col("doc_").eqNullSafe(F.col("doc"))).select("cid", "cls", "text").mapInArrow(run, "cid long, values binary")
 
@@ -176,7 +182,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+            for x, y in zip(*(values_of(batch.column(i)) for i in (2, 3)), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
@@ -202,7 +208,9 @@ def left_over(crowd: DataFrame, labels: DataFrame, classes: DataFrame, sets: Dat
     values = sets.join(again, "cid", "left_semi").select("cid", "values").dropDuplicates(["cid"]).mapInArrow(spread, "cid long, h long")
     lonely = values.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid")).filter("n = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
     able = store(
-        again.join(classes, "cid").join(lonely, "cid", "left").filter(f"100 * (n - coalesce(own, 0)) >= {percent} * n").select("cid", "n", "sketch"), "able"
+        again.join(classes, "cid").join(lonely, "cid", "left").withColumn("common", F.expr("n - coalesce(own, 0)"))
+        .filter(f"100 * common >= {percent} * n").select("cid", "n", "common", "sketch"),
+        "able",
     )
     seats = store(open_.join(able.select("cid"), "cid", "left_semi"), "seats")
     blocks = store(seats.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "blocks"), "blocks")
@@ -213,12 +221,14 @@ def left_over(crowd: DataFrame, labels: DataFrame, classes: DataFrame, sets: Dat
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(-1, REGISTERS)
-        cid, root, own, n = (pdf[c].to_numpy() for c in ("cid", "root", "own", "n"))
+        cid, root, own, n, common = (pdf[c].to_numpy() for c in ("cid", "root", "own", "n", "common"))
         left = np.flatnonzero(own == pdf["i"].iloc[0])
         right = np.flatnonzero(own == pdf["j"].iloc[0])
         out: list[tuple[int, int]] = []
         for x in left:
             rest = right[(root[right] != root[x]) & ((cid[right] > cid[x]) if len(left) == len(right) and (left == right).all() else True)]
+            most = np.minimum(common[rest], common[x])
+            rest = rest[100 * most >= percent * (n[rest] + n[x] - most)]
             if len(rest):
                 good = rest[promising(np.broadcast_to(sketch[x], (len(rest), REGISTERS)), sketch[rest], np.full(len(rest), float(n[x])), n[rest].astype(float), percent)]
                 out += [(min(cid[x], c), max(cid[x], c)) for c in cid[good]]

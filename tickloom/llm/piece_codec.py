@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.bpe import Bounded, PrefixTable, scored_pieces
-from tickloom.llm.common import whole_text
+from tickloom.llm.common import values_of, whole_text
 
 MARK = "▁"
-#: Parts that one worker remembers (about 250 MB).
-CACHE_PARTS = 800_000
+#: Parts that one worker remembers (about 100 MB).
+CACHE_PARTS = 300_000
 
 
 class PieceCodec:
@@ -130,7 +130,7 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         for batch in batches:
-            n, ids, back = zip(*map(codec.digest, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+            n, ids, back = zip(*map(codec.digest, values_of(batch.column(1))), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(back, pa.string())})
 
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("text"))
@@ -143,7 +143,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         for batch in batches:
-            ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
+            ids = [codec.encode(t) for t in values_of(batch.column(1))]
             yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("text"))

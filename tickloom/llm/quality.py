@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import CACHE_WORDS, store, whole_text
+from tickloom.llm.common import CACHE_WORDS, store, values_of, whole_text
 
 BITS = 18
 DIMENSIONS = 1 << BITS
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sparse(t) for t in batch.column(2).to_pylist()]
+            rows = [sparse(t) for t in values_of(batch.column(2))]
             yield pa.RecordBatch.from_pydict({
                 "doc": batch.column(0), "label": batch.column(1), "at": pa.array([a.astype("<i4").tobytes() for a, _ in rows], pa.binary()),
                 "x": pa.array([x.astype("<f4").tobytes() for _, x in rows], pa.binary())})
@@ -137,7 +137,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             totals = []
-            for text in batch.column(2).to_pylist():
+            for text in values_of(batch.column(2)):
                 at = places(text)
                 # the dot product with shares as values is the mean weight of the n-grams
                 totals.append(float(weights[at].sum(dtype=np.float64)) * SCALE / max(1, len(at)) + float(weights[DIMENSIONS]))

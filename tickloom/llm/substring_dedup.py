@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordHashes, hashed, runs, store, whole_text
+from tickloom.llm.common import hashed, runs, store, values_of, whole_text
 
 WINDOW = 35
 SEED = 8
@@ -36,7 +36,6 @@ SEED = 8
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 SLICE_BITS = 1 << 20
 
-_cache = WordHashes()
 
 
 def owned(words: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +54,8 @@ def seed_bitmap(docs: DataFrame, text_col: str, window: int, seed: int) -> np.nd
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
-            for text in batch.column(0).to_pylist():
-                h, place = owned(hashed(text.encode().split(), _cache), window, seed)
+            for text in values_of(batch.column(0)):
+                h, place = owned(hashed(text.encode().split()), window, seed)
                 if len(place):
                     found.append(h[place[np.flatnonzero(np.diff(place, prepend=-1))]])
             value, n = np.unique(np.concatenate(found), return_counts=True)
@@ -88,9 +87,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str
         mask = np.uint64(len(bits) * 8 - 1)
         for batch in batches:
             sizes, shas, packed, starts, hashes = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in values_of(batch.column(1)):
                 words = text.encode().split()
-                values = hashed(words, _cache)
+                values = hashed(words)
                 h, place = owned(values, window, seed)
                 at = (h & mask).astype(np.int64)
                 seeded = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1

@@ -16,7 +16,7 @@ from tickloom.functions.rolling import (
     roll_zscore, roll_zscore_pop, trailing, true_range,
 )
 from tickloom.functions.scalar import clip, flag, log_return, pct_change, safe_div
-from tickloom.operators.series import BARS, IDX, Lane, bars_since, carry_last, ema, framed
+from tickloom.operators.series import BARS, IDX, Lane, bars_since, carry_last, ema, framed, rank_so_far
 
 # EMA spans per timeframe.
 EMA_SPANS = {"15m": (21, 55), "1h": (50, 200), "6h": (100,), "12h": (200,)}
@@ -488,15 +488,15 @@ def heuristic_structure(df: DataFrame, lane: Lane = BARS) -> DataFrame:
     return framed(base, build, back=14, lane=lane)
 
 
-def heuristic_regime(df: DataFrame, history: int, lane: Lane = BARS) -> DataFrame:
+def heuristic_regime(df: DataFrame, history: int | None, lane: Lane = BARS) -> DataFrame:
     """12h heuristic: EMA 12/48 trend odds, ATR and toxicity percent ranks, compression, regime odds.
 
-    ``history`` is the number of rows, up to the current one, in which the percent ranks are taken; a caller states it.
+    ``history`` is the number of rows, up to the current one, in which the percent ranks are taken; None is all of them.
     """
     base = ema(df, {"_f": 12.0, "_s": 48.0}, lane=lane)
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        one, zero = F.lit(1.0), F.lit(0.0)
+        zero = F.lit(0.0)
         spread = F.coalesce(safe_div(F.col("_f") - F.col("_s"), "close"), zero)
         d = d.withColumns(
             {
@@ -507,10 +507,15 @@ def heuristic_regime(df: DataFrame, history: int, lane: Lane = BARS) -> DataFram
         )
         d = d.withColumns({"_atr": roll_mean("_tr", w, 14, 1), "_tox": roll_mean("_ret", w, 16, 2),
                            "_mr": roll_mean("_rng", w, 10, 2)})
+        if history is not None:
+            d = d.withColumns({"_atr_pct": roll_rank_pct("_atr", w, history, 1), "_tox_pct": roll_rank_pct("_tox", w, history, 1)})
+        return d.drop("_tr", "_ret", "_rng")
+
+    def odds(d: DataFrame) -> DataFrame:
+        one, zero = F.lit(1.0), F.lit(0.0)
         d = d.withColumns(
             {
-                "_atr_pct": roll_rank_pct("_atr", w, history, 1),
-                "heur_toxicity": clip(roll_rank_pct("_tox", w, history, 1), zero, one),
+                "heur_toxicity": clip(F.col("_tox_pct"), zero, one),
                 "heur_compression": clip(1.0 - F.col("_mr") * 20.0, zero, one),
                 "heur_p_down": clip(1.0 - F.col("heur_p_up"), F.lit(0.01), F.lit(0.99)),
             }
@@ -530,10 +535,11 @@ def heuristic_regime(df: DataFrame, history: int, lane: Lane = BARS) -> DataFram
                 "heur_p_trend": F.col("_trend") / total, "heur_p_expansion": F.col("_expansion") / total,
                 "heur_p_collapse": F.col("_collapse") / total, "heur_p_range": F.col("_calm") / total,
             }
-        ).drop("_tr", "_ret", "_rng", "_atr", "_tox", "_mr", "_atr_pct", "_trend", "_expansion", "_collapse", "_calm",
-               "_f", "_s")
+        ).drop("_atr", "_tox", "_mr", "_atr_pct", "_tox_pct", "_trend", "_expansion", "_collapse", "_calm", "_f", "_s")
 
-    return framed(base, build, back=history + 20, lane=lane)
+    if history is not None:
+        return odds(framed(base, build, back=history + 20, lane=lane))
+    return odds(rank_so_far(framed(base, build, back=20, lane=lane), {"_atr_pct": "_atr", "_tox_pct": "_tox"}, lane))
 
 
 def atr_targets(df: DataFrame, side: Column, atr: str = "atr") -> DataFrame:

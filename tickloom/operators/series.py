@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -194,6 +195,61 @@ def running_peak(df: DataFrame, value: str, lane: Lane) -> DataFrame:
     ).drop("_block", "_base", "_peak")
 
 
+def _so_far(order: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For every i, how many j have order[j] < order[i] and value[j] < value[i]; both are whole numbers."""
+    out = np.empty(len(order), dtype=np.int64)
+    for at in range(0, len(order), 256):
+        now = slice(at, at + 256)
+        out[now] = ((order < order[now, None]) & (value < value[now, None])).sum(axis=1)
+    return out
+
+
+def rank_so_far(df: DataFrame, ranks: Mapping[str, str], lane: Lane = BARS) -> DataFrame:
+    """Average-rank percentile of a value among all known values of its series up to the row; ``ranks`` is name -> column.
+
+    Every known value has a place in time and a place by value (equal values in time order).  Its rank so far counts the rows
+    before it in both: those of earlier time blocks in lower value blocks from a table of block counts, those of its own time
+    block and those of its own value block inside the block.  No task holds more than a block; the table has one row per pair
+    of a time block and a value block.
+    """
+    by_value = replace(lane, keys=(*lane.keys, "_what"))
+    keys = list(by_value.keys)
+    df = pin(df)
+    timed = carry_total(df.select(*lane.keys, IDX, *set(ranks.values())), sums={f"_n_{n}": F.col(c).isNotNull().cast("long") for n, c in ranks.items()}, lane=lane)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("_what"), F.col(c).cast("double").alias("_x"), F.col(f"_n_{n}").alias("_n")) for n, c in ranks.items()]))
+    known = timed.select(*lane.keys, F.col(IDX).alias("_at"), each.alias("_e")).select(*lane.keys, "_at", "_e.*").filter("_x IS NOT NULL")
+    placed = index_rows(known, keys, ("_x", "_at"))
+    placed = framed(placed, lambda d, w: d.withColumn("_prev", F.lag("_x").over(w)), back=1, lane=by_value)
+    placed = carry_last(placed, {"_first": F.when(~F.col("_x").eqNullSafe(F.col("_prev")), F.col(IDX))}, by_value)
+    cells = pin(placed.withColumns({"_time": F.floor((F.col("_n") - 1) / lane.block).cast("long"), "_value": by_value.number()}).drop("_prev"))
+
+    count = cells.groupBy(*keys, "_time", "_value").agg(F.count(F.lit(1)).alias("_c"))
+    ends = count.groupBy(*keys).agg(F.max("_time").alias("_t"), F.max("_value").alias("_v"))
+    grid = ends.withColumn("_time", F.explode(F.sequence(F.lit(0).cast("long"), "_t"))).repartition(*keys, "_time").withColumn("_value", F.explode(F.sequence(F.lit(0).cast("long"), "_v")))
+    earlier = Window.partitionBy(*keys, "_value").orderBy("_time").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*keys, "_time").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    table = grid.drop("_t", "_v").join(count, [*keys, "_time", "_value"], "left").withColumn("_c", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    table = table.select(*keys, "_time", "_value", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_less"))
+
+    def inside(block: str, order: str, name: str) -> DataFrame:
+        few = cells.select(*keys, "_n", "_time", "_value", IDX)
+
+        def count_block(rows):
+            rows[name] = _so_far(rows[order].to_numpy(), rows[IDX].to_numpy())
+            return rows[[*keys, "_n", name]]
+
+        return few.groupBy(*keys, block).applyInPandas(count_block, few.select(*keys, "_n", F.lit(0).cast("long").alias(name)).schema)
+
+    here = inside("_time", "_n", "_same_time")
+    beside = inside("_value", "_time", "_same_value")
+    full = cells.join(table, [*keys, "_time", "_value"]).join(here, [*keys, "_n"]).join(beside, [*keys, "_n"])
+    equal = F.col(IDX) - F.col("_first")  # earlier rows with the same value
+    below = F.col("_less") + F.col("_same_time") + F.col("_same_value") - equal
+    share = full.select(*lane.keys, F.col("_at").alias(IDX), "_what", ((below + (equal + 2) / F.lit(2.0)) / F.col("_n")).alias("_share"))
+    wide = share.groupBy(*lane.keys, IDX).agg(*[F.max(F.when(F.col("_what") == n, F.col("_share"))).alias(n) for n in ranks])
+    return df.join(wide, [*lane.keys, IDX], "left")
+
+
 def bars_since(df: DataFrame, events: Mapping[str, Column], default: int | None = 999, lane: Lane = BARS) -> DataFrame:
     """Rows since the latest event, 0 on the event itself, ``default`` before the first."""
     out = carry_last(df, {f"_at_{n}": F.when(c, F.col(IDX)) for n, c in events.items()}, lane)

@@ -420,16 +420,13 @@ def _rank(x):
             f"lambda z: z = {x})) + 1) / 2.0) / (i + 1)")
 
 
-_LAST_40 = "(PARTITION BY asset ORDER BY t ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)"
-
-
 @query("W50_heuristic_regime", with_bars("12h") + ", " + q.true_range("b_12h", "a") + ", " + q.ema(
     "a", "c", {"ef": 12, "es": 48}, "e") + f""",
 h0 AS (SELECT *, abs(coalesce({q.div('c - ' + q.lag('c'), q.lag('c'))}, 0)) AS rt, coalesce({q.div('h - l', 'c')}, 0) AS rg,
   least(0.99, greatest(0.01, 0.5 + 6 * coalesce({q.div('ef - es', 'c')}, 0))) AS pu FROM e),
 h1 AS (SELECT *, {q.roll('avg', 'rt', 16, 2)} AS tx, {q.roll('avg', 'rg', 10, 2)} AS mr,
-  list(atr_early) OVER {_LAST_40} AS la FROM h0),
-h2 AS (SELECT *, list(tx) FILTER (tx IS NOT NULL) OVER {_LAST_40} AS lt FROM h1),
+  list(atr_early) OVER {q.SO_FAR} AS la FROM h0),
+h2 AS (SELECT *, list(tx) FILTER (tx IS NOT NULL) OVER {q.SO_FAR} AS lt FROM h1),
 h3 AS (SELECT *, (len(list_filter(la, lambda z: z < atr_early)) + (len(list_filter(la, lambda z: z = atr_early)) + 1) / 2.0) / len(la) AS ap,
   CASE WHEN tx IS NOT NULL THEN (len(list_filter(lt, lambda z: z < tx)) + (len(list_filter(lt, lambda z: z = tx)) + 1) / 2.0) / len(lt) END AS tox,
   CASE WHEN mr IS NOT NULL THEN least(1, greatest(0, 1 - mr * 20)) END AS cm, least(0.99, greatest(0.01, 1 - pu)) AS pd FROM h2),
@@ -440,6 +437,6 @@ SELECT asset, t, round(pu, 6) AS heur_p_up, round(tox, 6) AS heur_toxicity, roun
   round(a1 / (a1 + a2 + a3 + a4), 6) AS heur_p_trend, round(a2 / (a1 + a2 + a3 + a4), 6) AS heur_p_expansion,
   round(a3 / (a1 + a2 + a3 + a4), 6) AS heur_p_collapse, round(a4 / (a1 + a2 + a3 + a4), 6) AS heur_p_range FROM h4""")
 def heuristic_regime(spark, d):
-    return show(X.heuristic_regime(bars(spark, d, "12h"), history=40), [
+    return show(X.heuristic_regime(bars(spark, d, "12h"), history=None), [
         "heur_p_up", "heur_toxicity", "heur_compression", "heur_p_trend", "heur_p_expansion", "heur_p_collapse",
         "heur_p_range"])

@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from samples import SMALL, frame, odd, odd_docs, prose  # noqa: F401
 from tokenizers import Tokenizer
 
@@ -248,6 +249,20 @@ def test_inconsistent_slots_are_no_leak(spark):
         BENCH = kept
 
 
+def found_in(spark, item, texts):
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r.doc_id for r in decontamination.pairs(frame(spark, list(enumerate(texts))), bench).collect()}
+
+
+@pytest.mark.parametrize("price", ["$50 in", "$12 days", "£5 m", "€ 7 percent", "$3.50 g"])
+def test_a_price_before_a_unit_shifts_no_value(spark, price):
+    item = "we packed 12 pens on monday and 12 pens on tuesday so how many of these 12 pens were left for the others"
+    text = f"The club raised {price} one day. {item}"
+    row = spark.createDataFrame([(text,)], "text string").select(decontamination.words(F.col("text")).alias("w")).first()
+    assert [w.strip(decontamination.MARKS) for w in row.w if w.startswith(decontamination.PLACE) and w.strip(decontamination.MARKS)[0] in "$£€1"][-3:] == ["12"] * 3
+    assert found_in(spark, item, [text, text.replace("12", "15")]) >= {0}
+
+
 def test_leaks_on_the_tables_and_with_a_shuffled_benchmark(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     folded = lambda t: " ".join((t or "").lower().split())

@@ -42,60 +42,67 @@ UNIT = rf"(?:%|(?i:{UNITS})(?!\p{{L}}))"
 CURRENCY = r"[$€£](?= ?\d)"
 #: Capitalised words that do not begin a sentence.
 NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*"
-SLOT = rf"{NAME}|{CURRENCY}|{NUMBER}|(?<=\d ?){UNIT}"
 #: White space and ASCII punctuation.
-GAP = r"[\x00-\x20!-/:-@\[-`{-~]+"
+GAP = r"\x00-\x20!-/:-@\[-`{-~"
+#: Names, numbers, units and (last) capitalised words that may be names: each is a group, so type and value come from one match.
+SLOT = rf"({NAME})|({NUMBER})|({CURRENCY}|(?<=\d ?){UNIT})"
+#: A slot is written as PLACE, its groups with one of ENDS behind each, and END.
+ENDS, END = "\ue001\ue002\ue003", "\ue004"
+MARKS = PLACE + ENDS + END
+WORD = f"{PLACE}[^{END}]*{END}|[^{GAP}{PLACE}]+"
 
 
 def words(text: Column) -> Column:
-    """Template words; a placeholder is PLACE and one letter for its type."""
-    t = F.regexp_replace(text, NAME, f" {PLACE}a ")
-    t = F.regexp_replace(t, f"{NUMBER} ?{UNIT}", f" {PLACE}n {PLACE}u ")
-    t = F.regexp_replace(t, CURRENCY, f" {PLACE}u ")
-    t = F.regexp_replace(t, NUMBER, f" {PLACE}n ")
-    return F.array_remove(F.split(F.lower(t), GAP), "")
+    """Words and slots of a text, in lower case; see ``template`` and ``value``."""
+    slot = PLACE + "".join(f"${i}{e}" for i, e in enumerate(ENDS, 1)) + END
+    marked = F.regexp_replace(F.translate(text, MARKS, " " * len(MARKS)), SLOT, slot)
+    return F.regexp_extract_all(F.lower(marked), F.lit(WORD), F.lit(0))
 
 
-def slots(text: Column) -> Column:
-    """The values behind the placeholders, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(SLOT), F.lit(0)), F.lower)
+def value(word: Column) -> Column:
+    """The word itself, or what stands behind the placeholder."""
+    return F.when(word.startswith(PLACE), F.translate(word, MARKS, "")).otherwise(word)
 
 
-def places(tokens: Column) -> Column:
-    """How many of the template words are placeholders."""
-    return F.size(F.filter(tokens, lambda w: w.startswith(PLACE)))
+def template(word: Column) -> Column:
+    """The word, or for a slot PLACE and one letter for its type."""
+    name, number, unit = (F.lit(PLACE + t) for t in "anu")
+    return (
+        F.when(~word.startswith(PLACE), word)
+        .when(word.startswith(PLACE + ENDS[:2]), unit).when(word.startswith(PLACE + ENDS[0]), number).otherwise(name)
+    )
 
 
-def where(tokens: Column) -> Column:
-    """Numbers (from 1) of the template words that are placeholders."""
-    return F.filter(F.transform(tokens, lambda w, i: F.when(w.startswith(PLACE), i + 1)), lambda i: i.isNotNull())
+def coded(words: str, read) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(read(w)))
 
 
-def windows(codes: str, size: int) -> Column:
-    """Hash of every run of ``size`` word codes, a column of its own; null when there are fewer."""
-    starts = F.when(F.size(codes) >= size, F.sequence(F.lit(1), F.size(codes) - (size - 1)))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(codes), i, F.lit(size))))
+def windows(codes: list[str], size: int) -> Column:
+    """The different hashes, one for each array of word codes, of every run of ``size`` words; null when there are fewer."""
+    starts = F.when(F.size(codes[0]) >= size, F.sequence(F.lit(1), F.size(codes[0]) - (size - 1)))
+    return F.transform(starts, lambda i: F.array_distinct(F.array(*[F.xxhash64(F.slice(c, i, F.lit(size))) for c in codes])))
 
 
 def forms(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
-    """(item, form, tokens, slots): every item as it stands, as it reads inside a sentence, where its first word, if
-    capitalised, is a name, and in one case, where no word is."""
+    """(item, form, words): every item as it stands, as it reads inside a sentence, where its first word, if
+    capitalised, is a name, and in one case, where no word is.  A word is its template t and its value v."""
     items = benchmark.filter(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("text")).agg(F.min(item_col).alias("item"))
-    read = [F.col("text"), F.concat(F.lit("a "), F.col("text")), F.lower("text")]
-    alone, inside, low = (items.select("item", F.lit(i).alias("form"), words(t).alias("tokens"), slots(t).alias("slots")) for i, t in enumerate(read))
-    inside = inside.withColumn("tokens", F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0))))  # without the word put in front
+    after = words(F.concat(F.lit("a "), F.col("text")))
+    inside = F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0)))  # without the word put in front
+    read = [words(F.col("text")), inside, words(F.lower("text"))]
+    each = F.array(*[F.struct(F.lit(i).alias("form"), F.transform(r, lambda w: F.struct(template(w).alias("t"), value(w).alias("v"))).alias("words")) for i, r in enumerate(read)])
     # forms that read the same are one
-    return alone.union(inside).union(low).groupBy("item", "tokens", "slots").agg(F.min("form").alias("form"))
+    return items.select("item", F.inline(each)).groupBy("item", "words").agg(F.min("form").alias("form"))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """(item, form, length, total, h, i_pos) for items (item, form, tokens)."""
-    length = F.least(F.size("tokens"), F.lit(WINDOW))
-    codes = F.transform("tokens", lambda w: F.xxhash64(w))
-    cut = items.withColumn("length", length).filter("length > 0").withColumn("codes", codes)
-    each = cut.select("item", "form", "tokens", "codes", "length", F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1)).alias("i_pos"))
-    literal = F.col("length") - places(F.slice("tokens", F.col("i_pos"), F.col("length")))
-    kept = each.filter(literal >= LITERALS).select("item", "form", "length", F.xxhash64(F.slice("codes", F.col("i_pos"), F.col("length"))).alias("h"), "i_pos")
+    """(item, form, length, total, h, i_pos) for items (item, form, words)."""
+    length = F.least(F.size("words"), F.lit(WINDOW))
+    cut = items.withColumn("length", length).filter("length > 0")
+    each = cut.select("item", "form", "length", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.slice("words", i, F.col("length")))).alias("i_pos", "run"))
+    literal = F.size(F.filter("run", lambda w: ~w["t"].startswith(PLACE)))
+    same = F.xxhash64(F.transform("run", lambda w: F.xxhash64(w["t"])))
+    kept = each.filter(literal >= LITERALS).select("item", "form", "length", same.alias("h"), (F.col("i_pos") + 1).alias("i_pos"))
     totals = kept.groupBy("item", "form").agg(F.count(F.lit(1)).alias("total"))
     return kept.join(totals, ["item", "form"])
 
@@ -110,31 +117,26 @@ def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         side = F.broadcast(side)
 
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    codes = texts.select("doc", words(F.col("text")).alias("tokens")).select("doc", F.transform("tokens", lambda w: F.xxhash64(w)).alias("codes"))
+    codes = texts.select("doc", words(F.col("text")).alias("words")).select("doc", coded("words", template).alias("plain"))
     found = None
     for size in sorted(lengths) or [WINDOW]:
-        some = codes.select("doc", F.lit(size).alias("length"), F.posexplode(windows("codes", size)).alias("d_at", "h"))
+        some = codes.select("doc", F.lit(size).alias("length"), F.posexplode(windows(["plain"], size)).alias("d_at", "h")).withColumn("h", F.explode("h"))
         found = some if found is None else found.unionByName(some)
     hits = found.join(side, ["length", "h"]).select("doc", "item", "form", "length", (F.col("d_at") + 1).alias("d_pos"), "i_pos")
     runs = store(
-        hits.groupBy("doc", "item", "form", "length", (F.col("d_pos") - F.col("i_pos")).alias("offset")).agg(F.sort_array(F.collect_set("i_pos")).alias("at")),  # one entry per window of the item
+        hits.groupBy("doc", "item", "form", "length", (F.col("d_pos") - F.col("i_pos")).alias("offset")).agg(
+            F.sort_array(F.collect_set("i_pos")).alias("at")),  # one entry per window of the item
         "aligned",
     )
 
-    asked = items.select("item", "form", where(F.col("tokens")).alias("i_where"), F.col("slots").alias("i_slots"))
+    slot = F.transform("words", lambda w, i: F.when(w["t"].startswith(PLACE), F.struct((i + 1).alias("n"), w["v"].alias("v"))))
+    asked = items.select("item", "form", F.filter(slot, lambda x: x.isNotNull()).alias("slots"))
     side_d = texts.select(F.col("doc").alias("d"), "text")
-    both = side_d.join(runs.join(asked, ["item", "form"]), F.col("d").eqNullSafe(F.col("doc"))).select(
-        "doc", "item", "form", "length", "offset", "at", "i_where", "i_slots", words(F.col("text")).alias("d_tokens"), slots(F.col("text")).alias("d_slots"))
-    placed = both.withColumn("d_where", where(F.col("d_tokens"))).drop("d_tokens")
-    known_values = F.map_from_arrays(*(F.slice(c, F.lit(1), F.least(F.size("d_where"), F.size("d_slots"))) for c in ("d_where", "d_slots")))
-    valued = placed.withColumn("d_values", known_values).drop("d_where", "d_slots")
-    # placeholders of the item inside a window that was found, each with the value at its place in the document
-    inside = F.filter(
-        F.arrays_zip("i_where", "i_slots"),
-        lambda x: F.exists("at", lambda p: (x["i_where"] >= p) & (x["i_where"] < p + F.col("length"))),
-    )
-    matched = F.transform(inside, lambda x: F.struct(x["i_slots"].alias("i"), F.try_element_at("d_values", (x["i_where"] + F.col("offset")).cast("int")).alias("d")))
-    judged = valued.select("doc", "item", "form", "at", F.array_distinct(matched).alias("map")).select(
+    both = side_d.join(runs.join(asked, ["item", "form"]), F.col("d").eqNullSafe(F.col("doc"))).withColumn("d_words", words(F.col("text"))).drop("d", "text")
+    # placeholders of the item inside a template window that was found, each with the value at its place in the document
+    inside = F.filter("slots", lambda x: F.exists("at", lambda p: (x["n"] >= p) & (x["n"] < p + F.col("length"))))
+    matched = F.transform(inside, lambda x: F.struct(x["v"].alias("i"), value(F.try_element_at("d_words", (x["n"] + F.col("offset")).cast("int"))).alias("d")))
+    judged = both.withColumn("map", F.array_distinct(matched)).select(
         "doc", "item", "form", F.size("at").alias("n_windows"),
         ((F.size("map") == F.size(F.array_distinct(F.transform("map", lambda x: x["i"])))) & F.forall("map", lambda x: x["d"].isNotNull())).alias("consistent"),
         F.forall("map", lambda x: x["i"].eqNullSafe(x["d"])).alias("verbatim"),

@@ -263,6 +263,14 @@ def test_a_price_before_a_unit_shifts_no_value(spark, price):
     assert found_in(spark, item, [text, text.replace("12", "15")]) >= {0}
 
 
+def test_names_that_begin_sentences_may_differ(spark):
+    item = "Maria buys 12 apples at the market. Maria gives 4 apples to her neighbour. Maria then eats 2 of them. How many apples does Maria have left now?"
+    other = item.replace("Maria", "Laura").replace("12", "15")
+    quoted = '"' + other.replace(". ", '."\n"') + '"'
+    mixed = item.replace("Maria gives", "Paula gives").replace("Maria then", "Greta then").replace("does Maria", "does Erika").replace("12", "15")
+    assert found_in(spark, item, [item, other, quoted, f"Suppose that {other}", mixed]) == {0, 1, 2, 3}
+
+
 def test_leaks_on_the_tables_and_with_a_shuffled_benchmark(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     folded = lambda t: " ".join((t or "").lower().split())

@@ -4,7 +4,7 @@ Numbers, names and units of a text give way to typed placeholders; what remains,
 is its template.  Windows of ``WINDOW`` template words of the documents are joined by hash with those of the benchmark.
 For every document, item and offset between them the values behind the placeholders must be consistent: one value
 of the item always stands for one value of the document.  So a question is found word for word as well as with other
-numbers and names.
+numbers and names.  A capitalised word that need not be a name, as at the start of a sentence, is read both ways.
 
 A document counts as contaminated by an item if consistent windows make up at least half of the item's, or if at least
 ``VERBATIM`` windows in a row of places repeat the item with the very same values.
@@ -44,8 +44,10 @@ CURRENCY = r"[$€£](?= ?\d)"
 NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*"
 #: White space and ASCII punctuation.
 GAP = r"\x00-\x20!-/:-@\[-`{-~"
+#: Any other capitalised word, such as one that begins a sentence, up to the next gap or number.
+FIRST = rf"(?<![^{GAP}])[^{GAP}\p{{L}}\p{{N}}€£]*\p{{Lu}}\p{{Ll}}[^{GAP}\p{{N}}€£]*"
 #: Names, numbers, units and (last) capitalised words that may be names: each is a group, so type and value come from one match.
-SLOT = rf"({NAME})|({NUMBER})|({CURRENCY}|(?<=\d ?){UNIT})"
+SLOT = rf"({NAME})|({NUMBER})|({CURRENCY}|(?<=\d ?){UNIT})|({FIRST})"
 #: A slot is written as PLACE, its groups with one of ENDS behind each, and END.
 ENDS, END = "\ue001\ue002\ue003", "\ue004"
 MARKS = PLACE + ENDS + END
@@ -54,7 +56,7 @@ WORD = f"{PLACE}[^{END}]*{END}|[^{GAP}{PLACE}]+"
 
 def words(text: Column) -> Column:
     """Words and slots of a text, in lower case; see ``template`` and ``value``."""
-    slot = PLACE + "".join(f"${i}{e}" for i, e in enumerate(ENDS, 1)) + END
+    slot = PLACE + "".join(f"${i}{e}" for i, e in enumerate(ENDS + END, 1))
     marked = F.regexp_replace(F.translate(text, MARKS, " " * len(MARKS)), SLOT, slot)
     return F.regexp_extract_all(F.lower(marked), F.lit(WORD), F.lit(0))
 
@@ -64,11 +66,12 @@ def value(word: Column) -> Column:
     return F.when(word.startswith(PLACE), F.translate(word, MARKS, "")).otherwise(word)
 
 
-def template(word: Column) -> Column:
-    """The word, or for a slot PLACE and one letter for its type."""
+def template(word: Column, named: bool) -> Column:
+    """The word, or for a slot PLACE and one letter for its type; ``named``: words that may be names are."""
     name, number, unit = (F.lit(PLACE + t) for t in "anu")
     return (
         F.when(~word.startswith(PLACE), word)
+        .when(word.startswith(PLACE + ENDS), name if named else value(word))
         .when(word.startswith(PLACE + ENDS[:2]), unit).when(word.startswith(PLACE + ENDS[0]), number).otherwise(name)
     )
 
@@ -85,12 +88,13 @@ def windows(codes: list[str], size: int) -> Column:
 
 def forms(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
     """(item, form, words): every item as it stands, as it reads inside a sentence, where its first word, if
-    capitalised, is a name, and in one case, where no word is.  A word is its template t and its value v."""
+    capitalised, is a name, and in one case, where no word is; the first two also with every
+    capitalised word a name.  A word is its template t and its value v."""
     items = benchmark.filter(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("text")).agg(F.min(item_col).alias("item"))
     after = words(F.concat(F.lit("a "), F.col("text")))
     inside = F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0)))  # without the word put in front
-    read = [words(F.col("text")), inside, words(F.lower("text"))]
-    each = F.array(*[F.struct(F.lit(i).alias("form"), F.transform(r, lambda w: F.struct(template(w).alias("t"), value(w).alias("v"))).alias("words")) for i, r in enumerate(read)])
+    read = [(words(F.col("text")), False), (inside, False), (words(F.lower("text")), False), (words(F.col("text")), True), (inside, True)]
+    each = F.array(*[F.struct(F.lit(i).alias("form"), F.transform(r, lambda w: F.struct(template(w, named).alias("t"), value(w).alias("v"))).alias("words")) for i, (r, named) in enumerate(read)])
     # forms that read the same are one
     return items.select("item", F.inline(each)).groupBy("item", "words").agg(F.min("form").alias("form"))
 
@@ -117,10 +121,11 @@ def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         side = F.broadcast(side)
 
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    codes = texts.select("doc", words(F.col("text")).alias("words")).select("doc", coded("words", template).alias("plain"))
+    codes = texts.select("doc", words(F.col("text")).alias("words")).select(
+        "doc", coded("words", lambda w: template(w, False)).alias("plain"), coded("words", lambda w: template(w, True)).alias("named"))
     found = None
     for size in sorted(lengths) or [WINDOW]:
-        some = codes.select("doc", F.lit(size).alias("length"), F.posexplode(windows(["plain"], size)).alias("d_at", "h")).withColumn("h", F.explode("h"))
+        some = codes.select("doc", F.lit(size).alias("length"), F.posexplode(windows(["plain", "named"], size)).alias("d_at", "h")).withColumn("h", F.explode("h"))
         found = some if found is None else found.unionByName(some)
     hits = found.join(side, ["length", "h"]).select("doc", "item", "form", "length", (F.col("d_at") + 1).alias("d_pos"), "i_pos")
     runs = store(

@@ -271,6 +271,13 @@ def test_names_that_begin_sentences_may_differ(spark):
     assert found_in(spark, item, [item, other, quoted, f"Suppose that {other}", mixed]) == {0, 1, 2, 3}
 
 
+def test_items_of_values_are_found_word_for_word(spark):
+    item = "What is 12 + 15 * 3 - 48 / 6 + 7 ?"
+    assert found_in(spark, item, [f"Now: {item} Think.", item.replace("15", "16"), "what is 12 and 15"]) == {0}
+    long = "Add 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13 and 14"
+    assert found_in(spark, long, [f"so {long} now", long.replace("7", "70")]) == {0}
+
+
 def test_leaks_on_the_tables_and_with_a_shuffled_benchmark(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     folded = lambda t: " ".join((t or "").lower().split())

@@ -7,12 +7,13 @@ of the item always stands for one value of the document.  So a question is found
 numbers and names.  A capitalised word that need not be a name, as at the start of a sentence, is read both ways.
 
 A document counts as contaminated by an item if consistent windows make up at least half of the item's, or if at least
-``VERBATIM`` windows in a row of places repeat the item with the very same values.
+``VERBATIM`` windows in a row of places, or half of all, repeat the item with the very same values.
 
 The benchmark side of the join is broadcast while it has at most ``MOST_BROADCAST`` windows, and shuffled beyond.
 
 Defined cases: a missing text, in either table, has no windows; an item with fewer words than a window is one window of
-its own length, and one with fewer than ``LITERALS`` words outside placeholders is not searched for; items with equal
+its own length; a window with fewer than ``LITERALS`` words outside placeholders is searched for with its own words and values only,
+and an item of fewer than ``LITERALS`` words, slots included, not at all; items with equal
 texts count as the one with the smallest id; rows that repeat an id are taken together; a missing id is reported as
 missing; an empty table, on either side, gives an empty result; other columns are ignored.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import store
 
 WINDOW = 10
-#: Words of a window that must not be placeholders.
+#: Words of a window that must not be placeholders, for values to differ.
 LITERALS = 5
 VERBATIM = 4
 MOST_BROADCAST = 1_000_000
@@ -100,14 +101,15 @@ def forms(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """(item, form, length, total, h, i_pos) for items (item, form, words)."""
+    """(item, form, length, exact, total, templates, h, i_pos) for items (item, form, words); of ``total`` windows so many are ``templates``."""
     length = F.least(F.size("words"), F.lit(WINDOW))
-    cut = items.withColumn("length", length).filter("length > 0")
+    cut = items.withColumn("length", length).filter(f"length >= {LITERALS}")
     each = cut.select("item", "form", "length", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.slice("words", i, F.col("length")))).alias("i_pos", "run"))
     literal = F.size(F.filter("run", lambda w: ~w["t"].startswith(PLACE)))
-    same = F.xxhash64(F.transform("run", lambda w: F.xxhash64(w["t"])))
-    kept = each.filter(literal >= LITERALS).select("item", "form", "length", same.alias("h"), (F.col("i_pos") + 1).alias("i_pos"))
-    totals = kept.groupBy("item", "form").agg(F.count(F.lit(1)).alias("total"))
+    same, as_is = (F.xxhash64(F.transform("run", lambda w: F.xxhash64(w[k]))) for k in "tv")
+    exact = literal < LITERALS
+    kept = each.select("item", "form", "length", exact.alias("exact"), F.when(exact, as_is).otherwise(same).alias("h"), (F.col("i_pos") + 1).alias("i_pos"))
+    totals = kept.groupBy("item", "form").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("exact")).alias("templates"))
     return kept.join(totals, ["item", "form"])
 
 
@@ -115,22 +117,24 @@ def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per contaminated document and item: ids, n_windows found, item_windows, verbatim."""
     items = store(forms(benchmark, item_col, item_text), "items")
     known = store(benchmark_windows(items), "item-windows")
-    lengths = [r[0] for r in known.select("length").distinct().collect()]  # at most WINDOW values
-    side = known.drop("total")
+    lengths = {r[0]: r[1] for r in known.groupBy("length").agg(F.max("exact")).collect()}  # at most WINDOW rows
+    side = known.drop("total", "templates")
     if known.count() <= MOST_BROADCAST:
         side = F.broadcast(side)
 
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     codes = texts.select("doc", words(F.col("text")).alias("words")).select(
-        "doc", coded("words", lambda w: template(w, False)).alias("plain"), coded("words", lambda w: template(w, True)).alias("named"))
+        "doc", coded("words", lambda w: template(w, False)).alias("plain"), coded("words", lambda w: template(w, True)).alias("named"), coded("words", value).alias("as_is"))
     found = None
     for size in sorted(lengths) or [WINDOW]:
-        some = codes.select("doc", F.lit(size).alias("length"), F.posexplode(windows(["plain", "named"], size)).alias("d_at", "h")).withColumn("h", F.explode("h"))
+        read = ["plain", "named", *(["as_is"] if lengths.get(size) else [])]
+        some = codes.select("doc", F.lit(size).alias("length"), F.posexplode(windows(read, size)).alias("d_at", "h")).withColumn("h", F.explode("h"))
         found = some if found is None else found.unionByName(some)
-    hits = found.join(side, ["length", "h"]).select("doc", "item", "form", "length", (F.col("d_at") + 1).alias("d_pos"), "i_pos")
+    hits = found.join(side, ["length", "h"]).select("doc", "item", "form", "length", "exact", (F.col("d_at") + 1).alias("d_pos"), "i_pos")
     runs = store(
         hits.groupBy("doc", "item", "form", "length", (F.col("d_pos") - F.col("i_pos")).alias("offset")).agg(
-            F.sort_array(F.collect_set("i_pos")).alias("at")),  # one entry per window of the item
+            F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("i_pos")))).alias("at"),  # one entry per window of the item
+            F.size(F.collect_set(F.when(F.col("exact"), F.col("i_pos")))).cast("long").alias("n_exact")),
         "aligned",
     )
 
@@ -142,14 +146,15 @@ def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     inside = F.filter("slots", lambda x: F.exists("at", lambda p: (x["n"] >= p) & (x["n"] < p + F.col("length"))))
     matched = F.transform(inside, lambda x: F.struct(x["v"].alias("i"), value(F.try_element_at("d_words", (x["n"] + F.col("offset")).cast("int"))).alias("d")))
     judged = both.withColumn("map", F.array_distinct(matched)).select(
-        "doc", "item", "form", F.size("at").alias("n_windows"),
+        "doc", "item", "form", F.size("at").cast("long").alias("n_templates"), "n_exact",
         ((F.size("map") == F.size(F.array_distinct(F.transform("map", lambda x: x["i"])))) & F.forall("map", lambda x: x["d"].isNotNull())).alias("consistent"),
         F.forall("map", lambda x: x["i"].eqNullSafe(x["d"])).alias("verbatim"),
     )
-    totals = known.groupBy("item", "form").agg(F.first("total").alias("item_windows"))
+    totals = known.groupBy("item", "form").agg(F.first("total").alias("item_windows"), F.first("templates").alias("templates"))
+    counted = judged.join(totals, ["item", "form"]).withColumns(
+        {"n_windows": F.expr("n_templates + n_exact"), "n_same": F.expr("n_exact + IF(verbatim, n_templates, 0)")})
     return (
-        judged.filter("consistent").join(totals, ["item", "form"])
-        .filter(f"2 * n_windows >= item_windows OR (verbatim AND n_windows >= {VERBATIM})")
+        counted.filter(f"(consistent AND n_templates > 0 AND 2 * n_templates >= templates) OR (n_same > 0 AND (2 * n_same >= item_windows OR n_same >= {VERBATIM}))")
         .groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col))
         .agg(F.max("n_windows").cast("long").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("verbatim").alias("verbatim"))
     )

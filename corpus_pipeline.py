@@ -10,7 +10,7 @@ and gives the reread table to the next stage.  All stages but the last keep the
 5. encoding         one row per document: doc_id, n_tokens, ids_sha256, decoded_sha256
 
 Rows are told apart by their place in their file, so missing and repeated ids do no harm.  Where several near-duplicates
-carry the smallest id of their group, all rows with that id stay.
+carry the smallest id of their group, or none has an id, the first of these rows stays.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
 import corpus_pipeline
-from samples import SMALL, frame, odd  # noqa: F401
+from samples import SMALL, frame, odd, prose  # noqa: F401
 from test_table_operators import fold, plain_components
 
 from tickloom.llm import decontamination, quality
@@ -49,3 +49,11 @@ def test_missing_and_repeated_ids_lose_nothing(spark, odd, tmp_path):
         assert out.columns == rows.columns and out.count() == left
     assert corpus_pipeline.uncontaminated(spark, rows, SMALL).count() == len(odd)
     assert corpus_pipeline.unlike(spark, rows.limit(0), SMALL).count() == 0
+
+
+def test_one_row_stays_of_near_copies_with_missing_or_repeated_ids(spark):
+    words = prose(5, 80)
+    group = [" ".join([*words, end]) for end in ("one", "two", "three")]
+    rows = frame(spark, [(None, t) for t in group] + [(7, " ".join(reversed(t.split()))) for t in group] + [(7, "short"), (None, None)])
+    left = sorted((r.doc_id is None, (r.text or "").split()[:1]) for r in corpus_pipeline.unlike(spark, rows, SMALL).collect())
+    assert [none for none, _ in left] == [False, False, True, True]

@@ -238,10 +238,14 @@ def left_over(crowd: DataFrame, labels: DataFrame, classes: DataFrame, sets: Dat
 
 
 def groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: the id, n_shingles, component_id (smallest id reachable), kept, and ``row_col`` if given."""
+    """One row per row of ``docs``: the id, n_shingles, component_id (smallest id reachable), kept, and ``row_col`` if given.
+
+    With ``row_col`` exactly one row of a component is kept, missing ids last and then by row; without, the rows with its id.
+    """
     prints = store(sketched(docs, id_col, text_col, row_col), "prints")
     classes = store(
-        prints.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        prints.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
+             *([F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("keep")] if row_col else []))
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
@@ -257,9 +261,11 @@ def groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col:
     rest = store(left_over(crowd, components(links), classes, sets, percent), "left-over")
     labels = components(links.union(verified(rest, sets, percent)))
 
-    rooted = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cls", "doc", F.coalesce("root", "cid").alias("root"))
-    first = store(rooted.groupBy("root").agg(F.min("doc").alias("component")), "components")
-    named = store(rooted.join(first, "root").select("cls", "component"), "named")
+    keep = ["keep"] if row_col else []
+    rooted = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cls", "doc", F.coalesce("root", "cid").alias("root"), *keep)
+    first = store(rooted.groupBy("root").agg(F.min("doc").alias("component"), *[F.min(k).alias(k) for k in keep]), "components")
+    named = store(rooted.drop(*keep).join(first, "root").select("cls", "component", *[F.col(f"{k}.row").alias(k) for k in keep]), "named")
+    kept = F.col("cls").isNull() | F.col("row").eqNullSafe(F.col("keep")) if row_col else F.col("doc").eqNullSafe(F.coalesce("component", "doc"))
     return prints.drop("sketch").join(named, "cls", "left").select(
-        F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), F.col("doc").eqNullSafe(F.coalesce("component", "doc")).alias("kept"),
+        F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), kept.alias("kept"),
         *([F.col("row").alias(row_col)] if row_col else []))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, exact_dedup, near_dedup, piece_codec, quality, secrets, sharding, substring_dedup, token_counts, token_files
+from tickloom.llm import decontamination, exact_dedup, manifest, near_dedup, piece_codec, quality, secrets, sharding, substring_dedup, token_counts, token_files, whitening
 from tickloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,56 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontamination")
 def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_whitening")
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_merkle_manifest",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, coalesce('=' || lang, '') AS g, text, row_number() OVER () AS nr,
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
+               coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+               || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+               list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                   lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+        FROM documents),
+    leaves AS (
+        SELECT doc_id, g, nr, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(strlen(small) || ':' || small, '-')) END AS tampered
+        FROM d),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, nr) - 1 AS pos FROM leaves),
+    nodes(level, g, pos, digest, total) AS (
+        SELECT 0, g, pos, leaf, count(*) OVER (PARTITION BY g) FROM placed
+        UNION ALL
+        SELECT DISTINCT level + 1, g, pos // 8, sha256(string_agg(digest, '' ORDER BY pos) OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+               (total + 7) // 8 FROM nodes WHERE total > 1),
+    subroots AS (SELECT g, digest AS subroot, level AS top, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS total FROM nodes WHERE total = 1),
+    tops(level, pos, digest, total) AS (
+        SELECT 0, pos, subroot, total FROM subroots
+        UNION ALL
+        SELECT DISTINCT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos) OVER (PARTITION BY pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+               (total + 7) // 8 FROM tops WHERE total > 1),
+    root AS (SELECT digest AS root FROM tops WHERE total = 1),
+    sides AS (
+        SELECT p.nr, n.level, coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos < p.pos // CAST(pow(8, n.level) AS BIGINT)), '') AS l,
+               coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos > p.pos // CAST(pow(8, n.level) AS BIGINT)), '') AS r
+        FROM placed p JOIN nodes n ON n.g = p.g AND n.total > 1 AND n.pos // 8 = p.pos // CAST(pow(8, n.level + 1) AS BIGINT) GROUP BY ALL
+        UNION ALL
+        SELECT p.nr, 100 + n.level, coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos < s.pos // CAST(pow(8, n.level) AS BIGINT)), ''),
+               coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos > s.pos // CAST(pow(8, n.level) AS BIGINT)), '')
+        FROM placed p JOIN subroots s USING (g) JOIN tops n ON n.total > 1 AND n.pos // 8 = s.pos // CAST(pow(8, n.level + 1) AS BIGINT) GROUP BY ALL),
+    paths AS (SELECT nr, list(l || '|' || r ORDER BY level) AS path, string_agg(l || r, '' ORDER BY level) AS siblings FROM sides GROUP BY nr),
+    folded AS (
+        SELECT nr, siblings, list_reduce(list_prepend(coalesce(tampered, leaf), coalesce(path, [])), lambda acc, p: sha256(split_part(p, '|', 1) || acc || split_part(p, '|', 2))) AS folded_root
+        FROM placed LEFT JOIN paths USING (nr))
+    SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM placed JOIN folded USING (nr) JOIN subroots USING (g), root
+    """,
+)
+def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents")).drop("path")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, exact_dedup, manifest, near_dedup, piece_codec, quality, secrets, sharding, substring_dedup, token_counts, token_files, whitening
+from tickloom.llm import decontamination, exact_dedup, manifest, near_dedup, personal, piece_codec, quality, secrets, sharding, substring_dedup, token_counts, token_files, whitening
 from tickloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,3 +204,8 @@ def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents")).drop("path")
+
+
+@query("op13_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.scan(table(spark, sf_dir, "documents"))

@@ -9,11 +9,15 @@ numbers and names.  A capitalised word that need not be a name, as at the start
 A document counts as contaminated by an item if consistent windows make up at least half of the item's, or if at least
 ``VERBATIM`` windows in a row of places, or half of all, repeat the item with the very same values.
 
-The benchmark side of the join is broadcast while it has at most ``MOST_BROADCAST`` windows, and shuffled beyond.
+The benchmark side of the join is broadcast while it has at most ``MOST_BROADCAST`` windows, and shuffled beyond; so are the ids of the
+documents with hits, whose words are read once more to judge their slots.
+
+Repeats in the patterns are possessive, which the engine matches in a loop, and character classes list what they hold, which is ten times as
+fast as excluding the rest.
 
 Defined cases: a missing text, in either table, has no windows; an item with fewer words than a window is one window of
-its own length; a window with fewer than ``LITERALS`` words outside placeholders is searched for with its own words and values only,
-and an item of fewer than ``LITERALS`` words, slots included, not at all; items with equal
+its own length; a window with fewer than ``LITERALS`` words outside placeholders, so every item of fewer words, is searched for with its own
+words and values only; an item without words is not searched for; items with equal
 texts count as the one with the smallest id; rows that repeat an id are taken together; a missing id is reported as
 missing; an empty table, on either side, gives an empty result; other columns are ignored.
 """
@@ -38,21 +42,21 @@ UNITS = (
     "meters?|metres?|kilometers?|kilometres?|miles?|feet|foot|inch|inches|yards?|grams?|kilograms?|pounds?|ounces?|liters?|litres?|"
     "seconds?|minutes?|hours?|days?|weeks?|months?|years?|percent|dollars?|euros?|cents?|degrees?"
 )
-NUMBER = r"\d+(?:[.,:/]\d+)*"
+NUMBER = r"\d++(?:[.,:/]\d++)*+"
 UNIT = rf"(?:%|(?i:{UNITS})(?!\p{{L}}))"
 CURRENCY = r"[$€£](?= ?\d)"
 #: Capitalised words that do not begin a sentence.
-NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*"
-#: White space and ASCII punctuation.
-GAP = r"\x00-\x20!-/:-@\[-`{-~"
+NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})\p{Ll}\p{L}*+(?: \p{Lu}\p{Ll}\p{L}*+)*+"
+#: All characters but white space and ASCII punctuation.
+WITHIN = r"0-9A-Za-z\x7F-\x{10FFFF}"
 #: Any other capitalised word, such as one that begins a sentence, up to the next gap or number.
-FIRST = rf"(?<![^{GAP}])[^{GAP}\p{{L}}\p{{N}}€£]*\p{{Lu}}\p{{Ll}}[^{GAP}\p{{N}}€£]*"
+FIRST = rf"(?<![{WITHIN}])[\x7F-\x{{10FFFF}}&&[^\p{{L}}\p{{N}}€£]]*+\p{{Lu}}\p{{Ll}}[A-Za-z\x7F-\x{{10FFFF}}&&[^\p{{N}}€£]]*+"
 #: Names, numbers, units and (last) capitalised words that may be names: each is a group, so type and value come from one match.
 SLOT = rf"({NAME})|({NUMBER})|({CURRENCY}|(?<=\d ?){UNIT})|({FIRST})"
 #: A slot is written as PLACE, its groups with one of ENDS behind each, and END.
 ENDS, END = "\ue001\ue002\ue003", "\ue004"
 MARKS = PLACE + ENDS + END
-WORD = f"{PLACE}[^{END}]*{END}|[^{GAP}{PLACE}]+"
+WORD = rf"{PLACE}[^{END}]*+{END}|[0-9A-Za-z\x7F-\x{{D7FF}}\x{{E005}}-\x{{10FFFF}}]++"
 
 
 def words(text: Column) -> Column:
@@ -87,6 +91,12 @@ def windows(codes: list[str], size: int) -> Column:
     return F.transform(starts, lambda i: F.array_distinct(F.array(*[F.xxhash64(F.slice(c, i, F.lit(size))) for c in codes])))
 
 
+def places(found: Column, size: int) -> Column:
+    """(length, d_pos, hs) of every window of ``windows``; empty where there are none."""
+    each = F.transform(found, lambda hs, i: F.struct(F.lit(size).alias("length"), (i + 1).alias("d_pos"), hs.alias("hs")))
+    return F.coalesce(each, F.array())
+
+
 def forms(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
     """(item, form, words): every item as it stands, as it reads inside a sentence, where its first word, if
     capitalised, is a name, and in one case, where no word is; the first two also with every
@@ -103,7 +113,7 @@ def forms(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """(item, form, length, exact, total, templates, h, i_pos) for items (item, form, words); of ``total`` windows so many are ``templates``."""
     length = F.least(F.size("words"), F.lit(WINDOW))
-    cut = items.withColumn("length", length).filter(f"length >= {LITERALS}")
+    cut = items.withColumn("length", length).filter("length >= 1")
     each = cut.select("item", "form", "length", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.slice("words", i, F.col("length")))).alias("i_pos", "run"))
     literal = F.size(F.filter("run", lambda w: ~w["t"].startswith(PLACE)))
     same, as_is = (F.xxhash64(F.transform("run", lambda w: F.xxhash64(w[k]))) for k in "tv")
@@ -125,12 +135,12 @@ def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     codes = texts.select("doc", words(F.col("text")).alias("words")).select(
         "doc", coded("words", lambda w: template(w, False)).alias("plain"), coded("words", lambda w: template(w, True)).alias("named"), coded("words", value).alias("as_is"))
-    found = None
-    for size in sorted(lengths) or [WINDOW]:
-        read = ["plain", "named", *(["as_is"] if lengths.get(size) else [])]
-        some = codes.select("doc", F.lit(size).alias("length"), F.posexplode(windows(read, size)).alias("d_at", "h")).withColumn("h", F.explode("h"))
-        found = some if found is None else found.unionByName(some)
-    hits = found.join(side, ["length", "h"]).select("doc", "item", "form", "length", "exact", (F.col("d_at") + 1).alias("d_pos"), "i_pos")
+    runs_of = []
+    for size, short in sorted(lengths.items()) or [(WINDOW, False)]:
+        found = windows(["plain", "named", *(["as_is"] if short else [])], size)
+        runs_of.append(places(found, size))
+    found = codes.select("doc", F.inline(F.concat(*runs_of))).select("doc", "length", "d_pos", F.explode("hs").alias("h"))
+    hits = found.join(side, ["length", "h"]).select("doc", "item", "form", "length", "exact", "d_pos", "i_pos")
     runs = store(
         hits.groupBy("doc", "item", "form", "length", (F.col("d_pos") - F.col("i_pos")).alias("offset")).agg(
             F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("i_pos")))).alias("at"),  # one entry per window of the item
@@ -140,8 +150,12 @@ def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     slot = F.transform("words", lambda w, i: F.when(w["t"].startswith(PLACE), F.struct((i + 1).alias("n"), w["v"].alias("v"))))
     asked = items.select("item", "form", F.filter(slot, lambda x: x.isNotNull()).alias("slots"))
-    side_d = texts.select(F.col("doc").alias("d"), "text")
-    both = side_d.join(runs.join(asked, ["item", "form"]), F.col("d").eqNullSafe(F.col("doc"))).withColumn("d_words", words(F.col("text"))).drop("d", "text")
+    able = store(runs.select("doc").distinct(), "able")
+    if able.count() <= MOST_BROADCAST:
+        able = F.broadcast(able)
+    kept = texts.select(F.col("doc").alias("d"), "text").join(able, F.col("d").eqNullSafe(F.col("doc")), "left_semi")
+    read = store(kept.select("d", words(F.col("text")).alias("d_words")), "words")  # written, so that words are not made anew for every slot
+    both = read.join(runs.join(asked, ["item", "form"]), F.col("d").eqNullSafe(F.col("doc"))).drop("d")
     # placeholders of the item inside a template window that was found, each with the value at its place in the document
     inside = F.filter("slots", lambda x: F.exists("at", lambda p: (x["n"] >= p) & (x["n"] < p + F.col("length"))))
     matched = F.transform(inside, lambda x: F.struct(x["v"].alias("i"), value(F.try_element_at("d_words", (x["n"] + F.col("offset")).cast("int"))).alias("d")))

@@ -352,15 +352,29 @@ def test_near_copies_equal_brute_force(spark, odd, percent):
     assert ordered((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == ordered(plain_components(rows, percent))
 
 
-def test_crowded_buckets_are_split_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+@pytest.mark.parametrize("edits", [4, 10, 16])
+def test_crowded_buckets_are_searched_around_pivots(spark, monkeypatch, edits):
+    monkeypatch.setattr(near_dedup, "SALTS", 3)
     monkeypatch.setattr(near_dedup, "SMALL", 2)
-    rows = near_family(84, 120, 10, 1)
+    rows = near_family(84, 120, edits, 1)
+    # families whose members share edits but are too far from the first text
+    for k, (_, text) in enumerate(near_family(84, 9, 16, 0)):
+        words = text.split()
+        for i in range(6):
+            rows.append((1000 + 10 * k + i, " ".join(words[:70] + [f"v{i}"] + words[71:])))
     got = near_dedup.groups(frame(spark, rows)).collect()
     assert ordered((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == ordered(plain_components(rows, 85))
     assert near_dedup.groups(frame(spark, [])).count() == 0
 
 
+def test_many_rows_without_an_id_or_with_the_same(spark):
+    rows = [(None if i % 2 else 7, t) for i, (_, t) in enumerate(near_family(85, 60, 5, 0) + [(0, " ".join(prose(500 + k, 30))) for k in range(2500)])]
+    got = near_dedup.groups(frame(spark, rows, clash=False)).collect()
+    assert len(got) == len(rows)
+    want = Counter((i, n, c) for i, n, c, _ in plain_components(rows[:60], 85))
+    assert not want - Counter((r.doc_id, r.n_shingles, r.component_id) for r in got)
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(3)
     for j in (0.0, 0.5, 0.85, 1.0):

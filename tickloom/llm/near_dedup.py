@@ -8,9 +8,11 @@ per shingle.  Registers merge by their maximum, and two sets agree in one with a
 Bands of ``ROWS`` registers give buckets of classes that may be similar.
 
 Pairs.  In a bucket of up to ``SMALL`` classes all pairs are compared.  In a larger one every class is compared with
-a pivot, the class that shares most with others.  Classes that end in another component than the rest of their bucket
-are looked at again, block by block.  Shingles that no other open class has are never shared, so the rest of the smaller
-set bounds what two classes can share; pairs whose bound misses the threshold are ruled out exactly, and few are left.
+a pivot, the class that shares most with others.  Around a pivot, a class in another component than the pivot's can only be linked with a class that
+differs from the pivot in the same places: were no difference shared, the two would differ by the sum of both differences, which is
+beyond the threshold.  So those classes look for partners through an index of their differences, of which each puts in the rarest ones only (as many as it
+can do without, and one).  Differences of one class alone are never shared, which bounds a pair before it is made: classes with no partner within
+the bound, found by running minima, do not enter the index.
 
 Verdict.  A pair's similarity is first estimated jointly, by the most likely value given how many registers are larger,
 smaller and equal and given both set sizes; pairs five deviations below the threshold stop there.  The others
@@ -28,10 +30,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import hashed, mixed, runs, store, values_of, whole_text
@@ -42,7 +43,8 @@ REGISTERS, BANDS, ROWS = 256, 24, 4
 #: Base, rate and largest value of the registers.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 SMALL = 8
-BLOCK = 512
+#: Parts into which the members of one bucket are dealt where they meet its size and its pivot.
+SALTS = 8
 DEVIATIONS = 5
 #: Classes (about 80 bytes each) whose texts are picked by a broadcast join; more are picked by a shuffled one.
 MOST_BROADCAST = 200_000
@@ -108,7 +110,7 @@ def sketches_of(column: pa.Array) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
-    """doc, row, n_shingles, and for sets that are not empty the class name and sketch."""
+    """doc, row, hash of the text, n_shingles, and for sets that are not empty the class name and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,13 +121,13 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -
                 names.append(name(s) if len(s) else None)
                 sketches.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_pydict({
-                "doc": batch.column(0), "row": batch.column(1), "n_shingles": pa.array(sizes, pa.int64()),
+                "doc": batch.column(0), "row": batch.column(1), "hash": batch.column(3), "n_shingles": pa.array(sizes, pa.int64()),
                 "cls": pa.array(names, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
 
     row = F.col(row_col) if row_col else F.lit(0)
-    rows = docs.select(F.col(id_col).alias("doc"), row.alias("row"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc"), row.alias("row"), whole_text(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     kinds = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in rows.schema[:2])
-    return rows.mapInArrow(run, f"{kinds}, n_shingles long, cls binary, sketch binary")
+    return rows.mapInArrow(run, f"{kinds}, hash long, n_shingles long, cls binary, sketch binary")
 
 
 def crowds(classes: DataFrame) -> DataFrame:
@@ -139,10 +141,18 @@ def crowds(classes: DataFrame) -> DataFrame:
 
     members = store(classes.select("cid", "sketch").mapInArrow(keys, "cid long, keys array<long>").select("cid", F.explode("keys").alias("key")), "members")
     sizes = store(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    shared = store(members.join(sizes, "key"), "shared")
+    shared = store(salted(members).join(dealt(sizes), ["key", "salt"]), "shared")
     weight = shared.groupBy("cid").agg(F.sum("size").alias("weight"))
     pivots = shared.filter(F.col("size") > SMALL).join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", "cid")).alias("top"))
-    return store(shared.join(pivots, "key", "left").select("key", "cid", "size", F.col("top.cid").alias("pivot")), "crowds")
+    return store(shared.join(dealt(pivots), ["key", "salt"], "left").select("key", "cid", "size", F.col("top.cid").alias("pivot")), "crowds")
+
+
+def salted(members: DataFrame) -> DataFrame:
+    return members.withColumn("salt", F.pmod("cid", F.lit(SALTS)).cast("int"))
+
+
+def dealt(buckets: DataFrame) -> DataFrame:
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -169,11 +179,13 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str,
             good = [name(s) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"cid": batch.column(0), "values": pa.array([s.tobytes() for s in sets], pa.binary())}).filter(pa.array(good, pa.bool_()))
 
-    chosen = store(classes.join(wanted, "cid").select("cid", "cls", "doc"), "chosen")
+    chosen = store(classes.join(wanted, "cid").select("cid", "cls", "at.doc", "at.hash"), "chosen")
     if chosen.count() <= MOST_BROADCAST:
         chosen = F.broadcast(chosen)
-    texts = docs.select(F.col(id_col).alias("doc_"), whole_text(text_col).alias("text"))
-    return texts.join(chosen, F.col("doc_").eqNullSafe(F.col("doc"))).select("cid", "cls", "text").mapInArrow(run, "cid long, values binary")
+    texts = docs.select(F.col(id_col).alias("doc_"), whole_text(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # rows without an id, or with the same one, are told apart by their texts
+    same = (texts["hash"] == chosen["hash"]) & F.col("doc_").eqNullSafe(F.col("doc"))
+    return texts.join(chosen, same).select("cid", "cls", "text").mapInArrow(run, "cid long, values binary").dropDuplicates(["cid"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,49 +204,62 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "values_a", "values_b").mapInArrow(run, "a long, b long")
 
 
-def left_over(crowd: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of large buckets in different components that their sketches do not rule out."""
-    rooted = store(crowd.filter(F.col("size") > SMALL).join(labels, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("root")), "rooted")
-    open_ = rooted.join(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "key", "left_semi")
-    again = store(open_.select("cid").distinct(), "open")
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, cid, d, h): the ``d`` hashes in which the set of a class differs from that of its pivot; a hash lost is not one gained."""
 
-    # a shingle of no other open class cannot be shared with one
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cid, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                v = np.frombuffer(values, np.int64)
-                yield pa.RecordBatch.from_pydict({"cid": pa.array(np.full(len(v), cid)), "h": pa.array(v)})
-
-    values = sets.join(again, "cid", "left_semi").select("cid", "values").dropDuplicates(["cid"]).mapInArrow(spread, "cid long, h long")
-    lonely = values.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid")).filter("n = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
-    able = store(
-        again.join(classes, "cid").join(lonely, "cid", "left").withColumn("common", F.expr("n - coalesce(own, 0)"))
-        .filter(f"100 * common >= {percent} * n").select("cid", "n", "common", "sketch"),
-        "able",
-    )
-    seats = store(open_.join(able.select("cid"), "cid", "left_semi"), "seats")
-    blocks = store(seats.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "blocks"), "blocks")
-    placed = seats.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    # every pair of blocks is one group of at most about 2 * BLOCK classes
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "root")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(-1, REGISTERS)
-        cid, root, own, n, common = (pdf[c].to_numpy() for c in ("cid", "root", "own", "n", "common"))
-        left = np.flatnonzero(own == pdf["i"].iloc[0])
-        right = np.flatnonzero(own == pdf["j"].iloc[0])
-        out: list[tuple[int, int]] = []
-        for x in left:
-            rest = right[(root[right] != root[x]) & ((cid[right] > cid[x]) if len(left) == len(right) and (left == right).all() else True)]
-            most = np.minimum(common[rest], common[x])
-            rest = rest[100 * most >= percent * (n[rest] + n[x] - most)]
-            if len(rest):
-                good = rest[promising(np.broadcast_to(sketch[x], (len(rest), REGISTERS)), sketch[rest], np.full(len(rest), float(n[x])), n[rest].astype(float), percent)]
-                out += [(min(cid[x], c), max(cid[x], c)) for c in cid[good]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.join(able, "cid").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+            for pivot, cid, own, other in zip(*(values_of(c) for c in batch.columns), strict=True):
+                own, other = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+                h = np.concatenate([np.setdiff1d(own, other, assume_unique=True), ~np.setdiff1d(other, own, assume_unique=True)]).view(np.int64)
+                same = {"pivot": pivot, "cid": cid, "d": len(h)}
+                yield pa.RecordBatch.from_pydict({**{k: pa.array(np.full(len(h), v), pa.int64()) for k, v in same.items()}, "h": pa.array(h)})
+
+    own, other = (sets.select(F.col("cid").alias(c), F.col("values").alias(v)) for c, v in (("cid", "own"), ("pivot", "other")))
+    return members.join(own, "cid").join(other, "pivot").select("pivot", "cid", "own", "other").mapInArrow(run, "pivot long, cid long, d long, h long")
+
+
+def within_reach(seats: DataFrame, of: Column, percent: int) -> DataFrame:
+    """The seats (pivot, n, u, s, ...) that some seat with ``of`` of the same pivot may be linked with, as far as ``u`` and ``s`` tell.
+
+    Of two sets of differences, the ``u`` that each has alone and the surplus of the shared ones tell the sets apart.
+    """
+    least = seats.groupBy("pivot", "s").agg(F.min(F.when(of, F.col("u"))).alias("u"))
+    up = Window.partitionBy("pivot").orderBy("s")
+    down = Window.partitionBy("pivot").orderBy(F.desc("s"))
+    nearest = least.select("pivot", "s", F.least(F.min(F.expr("u - s")).over(up) + F.col("s"), F.min(F.expr("u + s")).over(down) - F.col("s")).alias("other"))
+    # a partner has at most 100 / percent as many shingles
+    return seats.join(nearest, ["pivot", "s"]).filter(f"{percent} * (u + other) <= {100 - percent} * n").drop("other")
+
+
+def left_over(crowd: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of large buckets in different components whose differences from their pivot do not rule them out."""
+    root = F.coalesce("root", "cid").alias("root")
+    rooted = classes.select("cid", "n").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "n", root)
+    members = crowd.filter("pivot IS NOT NULL AND pivot <> cid").select("pivot", "cid").distinct().join(rooted, "cid")
+    around = rooted.select(F.col("cid").alias("pivot"), F.col("root").alias("pivot_root"))
+    members = store(members.join(around, "pivot").select("pivot", "cid", "n", "root", (F.col("root") != F.col("pivot_root")).alias("outside")), "around")
+    open_ = store(members.filter("outside").select("pivot").distinct(), "open")
+    members = members.join(open_, "pivot", "left_semi")
+
+    diff = store(differences(members.select("pivot", "cid"), sets), "differences")
+    often = store(diff.groupBy("pivot", "h").agg(F.count(F.lit(1)).alias("often"), F.min("cid").alias("cid"), F.min("d").alias("d")), "often")
+    alone = often.filter("often = 1").groupBy("pivot", "cid").agg(F.count(F.lit(1)).alias("u"))
+    size = diff.groupBy("pivot", "cid").agg(F.first("d").alias("d"))
+    seats = members.join(size, ["pivot", "cid"]).join(alone, ["pivot", "cid"], "left").withColumn("u", F.coalesce("u", F.lit(0))).withColumn("s", F.expr("d - u"))
+    # what a partner must share at least
+    seats = store(seats.withColumn("must", F.greatest(F.lit(1), F.expr(f"d - ({100 - percent} * n) DIV {percent}"))).filter("must <= s"), "seats")
+    asking = store(within_reach(seats, F.lit(True), percent).filter("outside").withColumn("asks", F.lit(True)).select("pivot", "cid", "asks"), "asking")
+    seats = seats.join(asking, ["pivot", "cid"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    seats = store(within_reach(seats, F.col("asks"), percent), "able")
+
+    shared = diff.select("pivot", "cid", "h").join(seats, ["pivot", "cid"]).join(often.filter("often > 1").select("pivot", "h", "often"), ["pivot", "h"])
+    rarest = Window.partitionBy("pivot", "cid").orderBy("often", "h")
+    index = store(shared.withColumn("nr", F.row_number().over(rarest)).filter("nr <= s - must + 1").select("pivot", "h", "cid", "n", "root", "u", "s", "asks"), "index")
+    a = index.filter("asks").select("pivot", "h", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "root", "u", "s")])
+    b = index.select("pivot", "h", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "root", "u", "s")])
+    able = f"root_a <> root_b AND {100 + percent} * (u_a + u_b + abs(s_a - s_b)) <= {100 - percent} * (n_a + n_b)"
+    return a.join(b, ["pivot", "h"]).filter(able).select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -244,7 +269,7 @@ def groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col:
     """
     prints = store(sketched(docs, id_col, text_col, row_col), "prints")
     classes = store(
-        prints.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
+        prints.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc", "hash")).alias("at"),
              *([F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("keep")] if row_col else []))
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",

@@ -24,6 +24,9 @@ missing; an empty table, on either side, gives an empty result; other columns ar
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +65,8 @@ WORD = rf"{PLACE}[^{END}]*+{END}|[0-9A-Za-z\x7F-\x{{D7FF}}\x{{E005}}-\x{{10FFFF}
 def words(text: Column) -> Column:
     """Words and slots of a text, in lower case; see ``template`` and ``value``."""
     slot = PLACE + "".join(f"${i}{e}" for i, e in enumerate(ENDS + END, 1))
-    marked = F.regexp_replace(F.translate(text, MARKS, " " * len(MARKS)), SLOT, slot)
+    holds = reduce(or_, [text.contains(m) for m in MARKS])  # hardly ever, and cheaper to see than to translate
+    marked = F.regexp_replace(F.when(holds, F.translate(text, MARKS, " " * len(MARKS))).otherwise(text), SLOT, slot)
     return F.regexp_extract_all(F.lower(marked), F.lit(WORD), F.lit(0))
 
 
@@ -85,16 +89,33 @@ def coded(words: str, read) -> Column:
     return F.transform(words, lambda w: F.xxhash64(read(w)))
 
 
-def windows(codes: list[str], size: int) -> Column:
-    """The different hashes, one for each array of word codes, of every run of ``size`` words; null when there are fewer."""
-    starts = F.when(F.size(codes[0]) >= size, F.sequence(F.lit(1), F.size(codes[0]) - (size - 1)))
-    return F.transform(starts, lambda i: F.array_distinct(F.array(*[F.xxhash64(F.slice(c, i, F.lit(size))) for c in codes])))
+def paired(a: Column, b: Column, skip: int) -> Column:
+    """Hash of every entry of ``a`` with the entry of ``b`` that many places on."""
+    return F.zip_with(a, F.slice(b, F.lit(skip + 1), F.size(b)), lambda x, y: F.xxhash64(x, y))
+
+
+def doubled(codes: DataFrame, names: list[str]) -> DataFrame:
+    """Adds hashes of runs of 1, 2, 4 and 8 entries as name_1 to name_8, each made of two shorter ones."""
+    codes = codes.select("*", *[F.col(c).alias(f"{c}_1") for c in names])
+    for n in (2, 4, 8):
+        codes = codes.select("*", *[paired(F.col(f"{c}_{n // 2}"), F.col(f"{c}_{n // 2}"), n // 2).alias(f"{c}_{n}") for c in names])
+    return codes
+
+
+def windows(name: str, size: int) -> Column:
+    """The hash of every run of ``size`` entries, from the columns that ``doubled`` adds; empty when there are fewer."""
+    parts = [n for n in (8, 4, 2, 1) if size & n]
+    found, length = F.col(f"{name}_{parts[0]}"), parts[0]
+    for n in parts[1:]:
+        found, length = paired(found, F.col(f"{name}_{n}"), length), length + n
+    return F.slice(found, F.lit(1), F.greatest(F.size(f"{name}_1") - (size - 1), F.lit(0)))
 
 
-def places(found: Column, size: int) -> Column:
-    """(length, d_pos, hs) of every window of ``windows``; empty where there are none."""
-    each = F.transform(found, lambda hs, i: F.struct(F.lit(size).alias("length"), (i + 1).alias("d_pos"), hs.alias("hs")))
-    return F.coalesce(each, F.array())
+def places(names: list[str], size: int) -> Column:
+    """(length, d_pos, and a hash for each name) of every window, from columns name_w<size>."""
+    others = [F.col(f"{n}_w{size}") for n in names[1:]]
+    return F.transform(f"{names[0]}_w{size}", lambda h, i: F.struct(
+        F.lit(size).alias("length"), (i + 1).alias("d_pos"), h.alias(names[0]), *[F.get(o, i).alias(n) for n, o in zip(names[1:], others, strict=True)]))
 
 
 def forms(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
@@ -116,9 +137,10 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     cut = items.withColumn("length", length).filter("length >= 1")
     each = cut.select("item", "form", "length", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.slice("words", i, F.col("length")))).alias("i_pos", "run"))
     literal = F.size(F.filter("run", lambda w: ~w["t"].startswith(PLACE)))
-    same, as_is = (F.xxhash64(F.transform("run", lambda w: F.xxhash64(w[k]))) for k in "tv")
-    exact = literal < LITERALS
-    kept = each.select("item", "form", "length", exact.alias("exact"), F.when(exact, as_is).otherwise(same).alias("h"), (F.col("i_pos") + 1).alias("i_pos"))
+    each = each.select("item", "form", "length", (F.col("i_pos") + 1).alias("i_pos"), (literal < LITERALS).alias("exact"), coded("run", lambda w: w["t"]).alias("t"), coded("run", lambda w: w["v"]).alias("v"))
+    each = doubled(each, ["t", "v"])
+    same, as_is = (F.coalesce(*[F.when(F.col("length") == n, F.get(windows(k, n), F.lit(0))) for n in range(1, WINDOW + 1)]) for k in "tv")
+    kept = each.select("item", "form", "length", "exact", F.when(F.col("exact"), as_is).otherwise(same).alias("h"), "i_pos")
     totals = kept.groupBy("item", "form").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("exact")).alias("templates"))
     return kept.join(totals, ["item", "form"])
 
@@ -135,11 +157,15 @@ def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     codes = texts.select("doc", words(F.col("text")).alias("words")).select(
         "doc", coded("words", lambda w: template(w, False)).alias("plain"), coded("words", lambda w: template(w, True)).alias("named"), coded("words", value).alias("as_is"))
-    runs_of = []
-    for size, short in sorted(lengths.items()) or [(WINDOW, False)]:
-        found = windows(["plain", "named", *(["as_is"] if short else [])], size)
-        runs_of.append(places(found, size))
-    found = codes.select("doc", F.inline(F.concat(*runs_of))).select("doc", "length", "d_pos", F.explode("hs").alias("h"))
+    sizes = sorted(lengths) or [WINDOW]
+    read = ["plain", "named", *(["as_is"] if any(lengths.values()) else [])]
+    codes = doubled(codes, read).select("doc", *[windows(r, n).alias(f"{r}_w{n}") for r in read for n in sizes])
+    found = codes.select("doc", F.inline(F.concat(*[places(read, n) for n in sizes])))
+    if len(read) == 2:
+        hashes = F.when(F.col("plain") == F.col("named"), F.array("plain")).otherwise(F.array("plain", "named"))
+    else:
+        hashes = F.array_distinct(F.array(*read))
+    found = found.select("doc", "length", "d_pos", F.explode(hashes).alias("h"))
     hits = found.join(side, ["length", "h"]).select("doc", "item", "form", "length", "exact", "d_pos", "i_pos")
     runs = store(
         hits.groupBy("doc", "item", "form", "length", (F.col("d_pos") - F.col("i_pos")).alias("offset")).agg(

@@ -206,5 +206,7 @@ def forward_returns(df: DataFrame, horizons: tuple[int, ...] = (1, 4, 12), lane:
 # label name -> function; the horizon sweep looks labels up here
 LABELS: dict[str, Label] = {
     "liq_flow": liquidity_flow, "bos_cont": break_continuation, "momo": momentum,
-    "flow_1h": flow_follow_through, "edp": danger, "hazard": survival,
+    "flow_1h": flow_follow_through, "eop": opportunity, "edp": danger, "hazard": survival,
 }
+# the column in which each of them leaves its label
+LABEL_COLUMNS = {**{name: f"label_{name}" for name in LABELS}, "hazard": "hazard_event"}

@@ -7,6 +7,7 @@ bin or fold, never one per data row.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import clip, flag, safe_div
 from tickloom.operators.quantile import bucket_of, column_quantiles, exact_quantiles
-from tickloom.operators.series import IDX, LEDGER, carry_total, index_rows, pin
+from tickloom.operators.series import IDX, LEDGER, Lane, carry_total, index_rows, pin
 
 
 # ------------------------------------------------------------------ splits
@@ -456,27 +457,100 @@ def acceptance(metrics: DataFrame, cv_score: float, score: str = "ap", max_drop:
     return metrics.withColumns({"reasons": F.array_join(why, ","), "accepted": flag(F.size(why) == 0)})
 
 
-def label_sweep(base: DataFrame, candidates: Sequence[tuple[str, Mapping]], registry: Mapping[str, Callable], label_col: Callable[[str], str],
-                score: str, id_col: str) -> DataFrame:
-    """Every (label, parameters) candidate: positive rate, metrics of a fixed score over purged folds, objective.
+def candidate_table(base: DataFrame, candidates: Sequence[tuple[str, Mapping]], registry: Mapping[str, Callable], columns: Mapping[str, str],
+                    keep: Sequence[str]) -> DataFrame:
+    """Long table (label, candidate, reach, ``keep`` columns, y): one branch of one union for each candidate."""
+    parts = []
+    for i, (name, params) in enumerate(candidates):
+        reach = max([1, *[int(v) for k, v in params.items() if k in ("horizon", "last")]])
+        rows = registry[name](base, **params)
+        parts.append(rows.select(F.lit(name).alias("label"), F.lit(i).alias("candidate"), F.lit(reach).alias("reach"), *keep, F.col(columns[name]).cast("int").alias("y")))
+    return reduce(DataFrame.unionByName, parts)
+
 
-    Labels come from the registry; one column is added per candidate, so the base frame is read once per label column.
+def ranked_scores(scored: DataFrame, keys: Sequence[str], share: float = 0.10) -> DataFrame:
+    """Rows, average precision, ROC area and precision of the top ``share`` for every group of (keys, p, y).
+
+    Equal scores are counted first, and one running count over all groups serves the three figures; ties at the edge of the
+    top share count in proportion.  A group without both classes has neither average precision nor area.
     """
-    rows = []
-    for i, (name, params) in enumerate(candidates):
-        labelled = registry[name](base, **params)
-        col = label_col(name)
-        d = pin(labelled.select(id_col, F.col(score).alias("_s"), F.col(col).alias("_y")).dropna())
-        folds = purged_folds(index_rows(d, (), (id_col,)), purge=int(params.get("horizon", 0)))
-        for k in fold_ids(folds):
-            v = folds.filter((F.col("fold") == k) & (F.col("role") == "valid"))
-            m = binary_metrics(v, "_y", "_s").first()
-            top = top_share_precision(v, "_y", "_s", 0.10, id_col).first()["precision_at_top"]
-            rate = v.agg(F.avg("_y")).first()[0]
-            rows.append((name, i, str(dict(params)), k, float(rate), float(m["ap"] or 0.0), float(m["auc"] or 0.5), float(top or 0.0)))
-    t = base.sparkSession.createDataFrame(
-        rows, "label string, candidate int, params string, fold int, positive_rate double, ap double, auc double, topk double")
-    return t.withColumn("objective", objective(F.col("ap"), F.col("auc"), F.col("topk"), F.col("positive_rate")))
+    d = scored.filter("p IS NOT NULL AND y IS NOT NULL")
+    ties = pin(d.groupBy(*keys, (-F.col("p")).alias("_down")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")))
+    size = pin(ties.groupBy(*keys).agg(F.sum("n").alias("rows"), F.sum("pos").alias("positives")))
+    lane = Lane(keys=tuple(keys), block=LEDGER.block)
+    run = carry_total(index_rows(ties, keys, ("_down",)), sums={"tp": F.col("pos"), "seen": F.col("n")}, lane=lane).join(size, list(keys))
+    top = F.greatest(F.bround(F.col("rows") * share), F.lit(1.0))
+    neg = F.col("n") - F.col("pos")
+    inside = clip((top - (F.col("seen") - F.col("n"))) / F.col("n"), F.lit(0.0), F.lit(1.0))
+    sums = run.groupBy(*keys).agg(
+        F.first("rows").alias("rows"), F.first("positives").alias("positives"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("_ap"),
+        F.sum(neg * (F.col("tp") - F.col("pos") / 2.0)).alias("_auc"), F.sum(F.col("pos") * inside).alias("_top"), F.first(top).alias("_k"))
+    pairs = F.col("positives") * (F.col("rows") - F.col("positives"))
+    return sums.select(*keys, "rows", "positives", F.when(pairs > 0, safe_div("_ap", "positives")).alias("ap"), safe_div(F.col("_auc"), pairs).alias("auc"), (F.col("_top") / F.col("_k")).alias("topk"))
+
+
+def label_sweep(base: DataFrame, candidates: Sequence[tuple[str, Mapping]], registry: Mapping[str, Callable], columns: Mapping[str, str],
+                scores: Sequence[str], order: Sequence[str], baseline: Sequence[int] = (), folds: int = 4, embargo: int = 2, eps: float = 1e-9,
+                min_improvement: float = 0.01, min_votes: int | None = None, min_train: int = 50, min_valid: int = 10) -> DataFrame:
+    """One row per (label, parameters) candidate: objective over purged folds, votes of the scores, and the promotion gate.
+
+    Folds are runs of rows by ``order`` over the whole frame; training rows end max(embargo, reach of the label) before a fold.  A fold counts where
+    both sides are large enough and hold both classes.  Every score gives each candidate the mean objective of its folds with a 95 % interval
+    (without folds: the objective of a score that knows nothing) and votes for the best candidates of the label, within ``eps``.  The best mean
+    over the scores is recommended, and promoted when it is not the baseline (the candidates at the places ``baseline``, else the first of a label), improves by
+    ``min_improvement``, has ``min_votes`` (all scores) and an interval above the baseline's.
+
+    All candidates are one long table and all figures grouped aggregates over it: the number of jobs does not depend on how many there are.
+    """
+    votes_needed = len(scores) if min_votes is None else min_votes
+    placed = pin(index_rows(base.withColumnRenamed(IDX, "_own"), (), order).withColumnRenamed(IDX, "_at").withColumnRenamed("_own", IDX))
+    n = placed.count()
+    size = n // (folds + 1)
+    table = pin(candidate_table(placed, candidates, registry, columns, ["_at", *scores]).filter("y IS NOT NULL"))
+
+    starts = [n - (folds - k) * size for k in range(folds)]
+    per_fold = []
+    for k, start in enumerate(starts):
+        train = F.col("_at") < F.lit(start) - F.greatest(F.lit(embargo), F.col("reach"))
+        valid = (F.col("_at") >= start) & (F.col("_at") < start + size)
+        per_fold.append(F.struct(F.lit(k).alias("fold"), *[c.alias(a) for c, a in (
+            (F.count_if(train), "train"), (F.count_if(train & (F.col("y") == 1)), "train_pos"), (F.count_if(valid), "valid"), (F.count_if(valid & (F.col("y") == 1)), "valid_pos"))]))
+    cells = pin(table.groupBy("label", "candidate", "reach").agg(F.count(F.lit(1)).alias("rows"), F.avg("y").alias("positive_rate"), F.array(*per_fold).alias("cells")))
+    usable = cells.select("label", "candidate", "positive_rate", F.inline("cells")).filter(
+        f"train >= {min_train} AND valid >= {min_valid} AND train_pos BETWEEN 1 AND train - 1 AND valid_pos BETWEEN 1 AND valid - 1")
+
+    proxies = F.explode(F.array(*[F.struct(F.lit(s).alias("proxy"), F.col(s).cast("double").alias("p")) for s in scores])).alias("s")
+    fold = F.floor((F.col("_at") - starts[0]) / max(size, 1)).cast("int").alias("fold")
+    long = table.filter(F.col("_at") >= starts[0]).select("label", "candidate", fold, "y", proxies).select("label", "candidate", "fold", "s.proxy", "s.p", "y")
+    figures = ranked_scores(long, ("label", "candidate", "proxy", "fold")).select("label", "candidate", "proxy", "fold", "ap", "auc", "topk")
+    folded = figures.join(usable.select("label", "candidate", "fold", "positive_rate"), ["label", "candidate", "fold"]).filter("ap IS NOT NULL")
+    folded = folded.withColumn("objective", objective(F.col("ap"), F.col("auc"), F.col("topk"), F.col("positive_rate")))
+    half = F.coalesce(1.96 * F.stddev_samp("objective") / F.sqrt(F.count("objective")), F.lit(0.0))
+    means = folded.groupBy("label", "candidate", "proxy").agg(
+        F.count(F.lit(1)).alias("folds"), *[F.avg(c).alias(c) for c in ("ap", "auc", "topk")], F.avg("objective").alias("mean"), half.alias("half"))
+
+    names = F.explode(F.array(*map(F.lit, scores))).alias("proxy")
+    blank = objective(F.lit(0.0), F.lit(0.5), F.lit(0.0), F.col("positive_rate"))
+    each = cells.select("label", "candidate", "rows", "positive_rate", names).join(means, ["label", "candidate", "proxy"], "left").withColumns(
+        {"mean": F.coalesce("mean", blank), "half": F.coalesce("half", F.lit(0.0)), "folds": F.coalesce("folds", F.lit(0))})
+    vote = F.max("mean").over(Window.partitionBy("label", "proxy")) - F.col("mean") <= eps
+    voted = each.withColumn("vote", flag(vote)).groupBy("label", "candidate", "rows", "positive_rate").agg(
+        F.min("folds").alias("folds"), F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"), F.avg(F.coalesce("auc", F.lit(0.5))).alias("auc"), F.avg(F.coalesce("topk", F.lit(0.0))).alias("topk"),
+        F.avg("mean").alias("objective"), F.min(F.col("mean") - F.col("half")).alias("ci_low"), F.max(F.col("mean") + F.col("half")).alias("ci_high"), F.sum("vote").alias("votes"))
+
+    first = {name: i for i, (name, _) in reversed(list(enumerate(candidates)))}
+    chosen = [*baseline, *[i for name, i in first.items() if name not in {candidates[b][0] for b in baseline}]]
+    texts = F.element_at(F.array(*[F.lit(", ".join(f"{k}={v}" for k, v in params.items() if isinstance(v, (int, float)))) for _, params in candidates]), F.col("candidate") + 1)
+    group = Window.partitionBy("label")  # one row per candidate
+    best = F.struct("objective", (-F.col("candidate")).alias("c"))
+    out = voted.withColumns({"params": texts, "is_baseline": flag(F.col("candidate").isin(chosen)), "recommended": flag(best == F.max(best).over(group))})
+    base_of = F.max(F.when(F.col("is_baseline") == 1, F.struct("objective", "ci_high"))).over(group)
+    out = out.withColumns({"_base": base_of, "share_of_votes": F.col("votes") / len(scores)}).withColumn("improvement", F.col("objective") - F.col("_base.objective"))
+    reason = (
+        F.when(F.col("is_baseline") == 1, "recommended_is_baseline").when(F.col("improvement") < min_improvement, "min_improvement_not_met")
+        .when(F.col("votes") < votes_needed, "consensus_not_met").when(F.col("ci_low") <= F.col("_base.ci_high"), "ci_delta_not_positive").otherwise("passed"))
+    out = out.withColumn("reason", F.when(F.col("recommended") == 1, reason)).withColumn("promoted", F.coalesce(flag(F.col("reason") == "passed"), F.lit(0)))
+    return out.drop("_base")
 
 
 def area_under_roc(df: DataFrame, label: str, score: str) -> float:

@@ -13,9 +13,11 @@ from tickloom.operators import columns as K
 from tickloom.operators import features as X
 from tickloom.operators import labels as L
 from tickloom.operators import mlprep as M
+from tickloom.operators.asof import asof
 from tickloom.operators.series import framed, index_rows, pin
 from tickloom.plans import sqltext as q
 from tickloom.plans.features import _FLOW, show
+from tickloom.plans.labels import structured
 from tickloom.plans.ledger import neat
 from tickloom.plans.market import SIGNALS, WITH_LEDGER, WITH_SIGNALS, bars, ledger, signals, with_bars
 from tickloom.plans.registry import query
@@ -411,15 +413,38 @@ def scoring(spark, d):
     return neat(M.probability(model, s, "p").select("id", "y", "p"), 4)
 
 
+#: Candidates of every label; the first of each is its baseline.
+SWEEPS = [
+    *[("liq_flow", {"horizon": h}) for h in (12, 8, 16, 24)],
+    *[("bos_cont", {"horizon": h}) for h in (48, 24, 36, 64, 72)],
+    *[("momo", {"first": a, "last": b}) for a, b in ((4, 8), (4, 6), (6, 10), (8, 12))],
+    *[("flow_1h", {"first": a, "last": b}) for a, b in ((4, 12), (4, 8), (6, 12), (6, 16))],
+    *[("eop", {"horizon": h}) for h in (96, 48, 72, 120, 144)],
+    *[("edp", {"horizon": h}) for h in (96, 48, 72, 120, 144)],
+    *[("hazard", {"horizon": h}) for h in (48, 24, 36, 64, 72)],
+]
+PROXIES = ["tilt", "drive", "reach_up"]
+
+
 def _swept(spark, d):
-    b = pin(X.atr(bars(spark, d, "1h")).withColumn("id", F.xxhash64("asset", "bar_close")))
-    return b.withColumn("tilt", F.coalesce(F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5)))
+    """15m bars with structure and closed 1h flow, and three scores that need no fit."""
+    flow = X.flow_block(bars(spark, d, "1h")).select(
+        "asset", "bar_close", F.col("flow_signal").alias("flow_signal_1h"), F.col("flow_body_pct").alias("displacement_body_pct_1h"),
+        F.col("flow_volume_z").alias("volume_z_1h"), F.col("flow_age_bars").alias("flow_age_bars_1h"))
+    b = asof(structured(spark, d), pin(flow))
+    rng = F.col("high") - F.col("low")
+    return b.withColumns({
+        "tilt": F.coalesce(F.try_divide(F.col("close") - F.col("low"), rng), F.lit(0.5)),
+        "drive": F.coalesce(F.try_divide(F.col("close") - F.col("open"), F.col("atr")), F.lit(0.0)),
+        "reach_up": F.coalesce(F.try_divide(rng, F.col("atr")), F.lit(0.0)),
+        "spot": (F.col("close") > F.col("high") - 0.2 * rng) & (rng > 1.5 * F.col("atr")),
+    })
 
 
 @query("M9_label_sweep")
 def label_sweep(spark, d):
-    out = M.label_sweep(_swept(spark, d), [("edp", {"horizon": 24}), ("edp", {"horizon": 48})], L.LABELS, lambda n: f"label_{n}", "tilt", "id")
-    return neat(out)
+    registry = {**L.LABELS, "eop": lambda df, horizon: L.opportunity(df, F.col("spot"), horizon)}
+    return neat(M.label_sweep(_swept(spark, d), SWEEPS, registry, L.LABEL_COLUMNS, PROXIES, ("bar_close", "asset")))
 
 
 @query("J12_label_candidates", with_bars("1h") + ", " + q.true_range("b_1h", "a") + " " + " UNION ALL ".join(

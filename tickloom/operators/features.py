@@ -16,7 +16,8 @@ from tickloom.functions.rolling import (
     roll_zscore, roll_zscore_pop, trailing, true_range,
 )
 from tickloom.functions.scalar import clip, flag, log_return, pct_change, safe_div
-from tickloom.operators.series import BARS, IDX, Lane, bars_since, carry_last, ema, framed, rank_so_far
+from tickloom.operators.quantile import quantiles_so_far
+from tickloom.operators.series import BARS, IDX, Lane, bars_since, carry_last, ema, framed, pin, rank_so_far
 
 # EMA spans per timeframe.
 EMA_SPANS = {"15m": (21, 55), "1h": (50, 200), "6h": (100,), "12h": (200,)}
@@ -150,15 +151,12 @@ def band_flags(df: DataFrame, col: str, upper: Column, lower: Column) -> DataFra
 def absorption(df: DataFrame, bar_minutes: int = 15, window_minutes: int = 60, lane: Lane = BARS) -> DataFrame:
     """Little price progress per dollar, and much turnover per unit of range, both scaled to 0..1.
 
-    The scaling band is the rolling 5/95 % quantile over 128 bars (32 observations needed);
-    before that many exist the band of all bars so far is used, which is the same 128-bar frame.
+    The scaling band is the rolling 5/95 % quantile over 128 bars (32 observations needed); where a frame holds fewer, the
+    band of all bars so far (``quantiles_so_far``; at the start of a series, and after a stretch without turnover).
     """
     n = max(window_minutes // bar_minutes, 1)
     need, span, cluster_weight, ofi_weight = max(n, 32), 128, 0.4, 0.15
-
-    def band(c: str, w: WindowSpec) -> tuple[Column, Column]:
-        return tuple(F.coalesce(roll_quantile(c, q, w, span, need), roll_quantile(c, q, w, span, n))
-                     for q in (0.05, 0.95))
+    series = {"p": "_progress", "c": "_cluster"}
 
     has_ofi = "ofi" in df.columns
 
@@ -179,13 +177,16 @@ def absorption(df: DataFrame, bar_minutes: int = 15, window_minutes: int = 60, l
                     "_dir": F.signum(F.coalesce(roll_sum("_signed", w, n), F.lit(0.0)))} if has_ofi else {}),
             }
         )
-        p_lo, p_hi = band("_progress", w)
-        c_lo, c_hi = band("_cluster", w)
-        cols = {"_p_lo": p_lo, "_p_hi": p_hi, "_c_lo": F.coalesce(c_lo, F.lit(0.0)), "_c_hi": c_hi}
+        # in the first rows the frame is all history
+        cols = {f"_{k}_{q}": F.coalesce(roll_quantile(c, x, w, span, need), F.when(F.col(IDX) < span, roll_quantile(c, x, w, span, n)))
+                for k, c in series.items() for q, x in (("lo", 0.05), ("hi", 0.95))}
         if has_ofi:
             d = d.withColumn("_ofi_abs", F.abs("_ofi"))
             cols["_ofi_q"] = roll_quantile("_ofi_abs", 0.9, w, span, need)
-        d = d.withColumns(cols)
+        return d.withColumns(cols)
+
+    def scored(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_c_lo", F.coalesce("_c_lo", F.lit(0.0)))
         p_hi = F.when(F.col("_p_hi") == 0, 1e-9).otherwise(F.col("_p_hi"))
         c_hi = F.when(F.col("_c_hi") == 0, 1e-9).otherwise(F.col("_c_hi"))
         slow = 1.0 - clip((F.col("_progress") - F.col("_p_lo")) / (p_hi - F.col("_p_lo") + 1e-12), F.lit(0.0), F.lit(1.0))
@@ -205,9 +206,17 @@ def absorption(df: DataFrame, bar_minutes: int = 15, window_minutes: int = 60, l
                 "absorption_near_entry": flag(F.col("_dense") > 0.65),
                 "absorption_near_stop": flag(F.col("_slow") > 0.65),
             }
-        ).drop(*[c for c in d.columns if c.startswith("_") and c != "_block"])
+        )
 
-    return framed(df, build, back=span + n + 2, lane=lane)
+    out = pin(framed(df, build, back=span + n + 2, lane=lane))
+    for k, c in series.items():
+        few = F.col(f"_{k}_lo").isNull() & (F.col(IDX) >= span)
+        if out.filter(few & F.col(c).isNotNull()).isEmpty():
+            continue
+        so_far = quantiles_so_far(out, few, c, (0.05, 0.95), lane).filter(F.col("seen") >= n).drop("seen")
+        found = pin(so_far.withColumnsRenamed({"q_0": f"_{k}_lo2", "q_1": f"_{k}_hi2"}))
+        out = out.join(found, [*lane.keys, IDX], "left").withColumns({f"_{k}_{q}": F.coalesce(f"_{k}_{q}", f"_{k}_{q}2") for q in ("lo", "hi")})
+    return scored(out).select(*df.columns, "absorption_score", "absorption_near_entry", "absorption_near_stop")
 
 
 def cents(x: Column) -> Column:

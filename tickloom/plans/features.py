@@ -133,7 +133,8 @@ def crosses(spark, d):
 def _absorb_sql():
     def band(x, qq):
         fn = f"quantile_cont($x, {qq})"
-        return f"coalesce({q.roll(fn, x, 128, 32)}, {q.roll(fn, x, 128, 4)})"
+        so_far = "OVER (PARTITION BY asset ORDER BY i)"
+        return f"coalesce({q.roll(fn, x, 128, 32)}, CASE WHEN {x} IS NOT NULL AND count({x}) {so_far} >= 4 THEN {fn.replace('$x', x)} {so_far} END)"
 
     return with_bars("15m") + f""",
 a0 AS (SELECT *, abs(c - o) AS bd, dv / CASE WHEN h = l THEN 1e-9 ELSE h - l END AS dn FROM b_15m),

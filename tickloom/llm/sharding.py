@@ -6,8 +6,8 @@ the asked number of shards is enough, so their sizes are near equal.
 
 At scale, groups are not packed one by one: fewer than ``ITEMS`` groups can be larger than total / ``ITEMS``, and
 those are packed as they are; the smaller ones are first put together by a hash of their text into ``ITEMS`` bundles
-of about that size.  A group larger than a bin's share cannot stay whole; it is dealt out in parts of total / (shards *
-16).  So one packing handles at most 2 * ITEMS + 16 * shards items, however many documents there are.
+of about that size.  A group larger than a bin's share cannot stay whole; its rows are dealt out, whatever their ids, in
+parts of about total / (shards * 16).  So one packing handles at most 2 * ITEMS + 16 * shards items, however many documents there are.
 
 Defined cases: a missing text is an empty text; rows that repeat an id or a text are rows of their own; missing ids are
 numbered first; an empty table gives an empty result; other columns are ignored.
@@ -145,6 +145,7 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.sha2(text, 256).alias("digest"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "sizes",
     )
@@ -153,7 +154,7 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     large, part = max(1, total // ITEMS), max(1, total // (shards * 16))
     # fewer than ITEMS groups are larger than total / ITEMS: this table is bounded
     big = store(groups.filter(F.col("bytes") > large).select("digest", F.when(F.col("bytes") > F.lit(total // shards), F.ceil(F.col("bytes") / part)).otherwise(1).cast("long").alias("parts")), "large")
-    split = F.pmod(F.xxhash64("doc", "digest"), F.coalesce("parts", F.lit(1)))
+    split = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))
     bundle = F.pmod(F.xxhash64("digest"), F.lit(ITEMS)).cast("string")
     itemed = rows.join(F.broadcast(big), "digest", "left").withColumn("item", F.when(F.col("parts").isNull(), bundle).otherwise(F.concat_ws("/", "digest", split)))
     items = itemed.groupBy("item").agg(F.sum("size").alias("bytes"))
@@ -164,7 +165,7 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
 
     # bounded by the constants above: at most 2 * ITEMS + 16 * shards rows
     packed = store(items.withColumn("packing", F.lit(0)).groupBy("packing").applyInPandas(fit, "item string, shard int"), "packed")
-    placed = itemed.join(F.broadcast(packed), "item").select("doc", "size", "text_crc32", "shard")
-    return index_rows(placed, ["shard"], ["doc", "text_crc32"]).select(
+    placed = itemed.join(F.broadcast(packed), "item").select("doc", "size", "text_crc32", "shard", "row")
+    return index_rows(placed, ["shard"], ["doc", "text_crc32", "row"]).select(
         F.col("doc").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("row_idx").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -9,7 +9,8 @@ The fit reads a bounded sample (``MOST_LABELLED`` labelled rows, in the order of
 task; scoring is one pass over all texts.  The model is a vector of fixed size.
 
 Defined cases: an empty or missing text has no n-grams, its score comes from the intercept; a missing id is never held
-out and has no label; where labels repeat an id, the smallest counts; without labels every score is 0.5; texts are read
+out and has no label; where labels repeat an id, the smallest counts; where documents repeat a labelled id, the text that
+sorts first is learnt from, so that the bound holds for rows, too; all rows are scored; without labels every score is 0.5; texts are read
 whole; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -123,8 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
         rows = [(np.frombuffer(a, "<i4"), np.frombuffer(x, "<f4")) for a, x in zip(pdf["at"], pdf["x"], strict=True)]
         return pd.DataFrame({"weights": [train(rows, pdf["label"].to_numpy()).astype("<f4").tobytes()]})
 
-    # the sample holds ``most`` rows, whatever the size of the corpus
-    texts = docs.select(F.col(id_col).alias("doc"), whole_text(text_col).alias("text")).join(F.broadcast(sample), "doc").select("doc", "label", "text")
+    # the sample holds ``most`` ids, whatever the size of the corpus; copies of an id fall together before the shuffle
+    texts = docs.select(F.col(id_col).alias("doc"), whole_text(text_col).alias("text")).join(F.broadcast(sample), "doc")
+    texts = texts.groupBy("doc", "label").agg(F.min("text").alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()
     ready = store(texts.mapInArrow(featured, f"doc {kind}, label int, at binary, x binary"), "features")
     model = ready.withColumn("fit", F.lit(0)).groupBy("fit").applyInPandas(learn, "weights binary").first()

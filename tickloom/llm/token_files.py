@@ -7,13 +7,16 @@ with mask 0.  Ids take two bytes where the vocabulary allows, else four.  Batche
 memory, so row i of a file, or any stretch of ids, is read in place.
 
 A table of documents (id, file, first id inside the file, number of ids) goes with the files, since an end id may
-also occur inside a text.
+also occur inside a text.  It is one row per document and, like the files, is written by the tasks of the id ranges.  A
+task attempt writes files under names of its own and the table records the attempt whose rows were committed, so a
+repeated or speculative attempt neither meets nor replaces a file; what it leaves behind is never read.
 
 Byte-level BPE encodes every pre-token by itself, so a worker gives each distinct one to the tokenizer once and remembers
 its ids, within a bound.
 
 Defined cases: a missing text is an empty text and gives its end id alone; missing ids come first; rows with equal ids
-follow one another in the order of their texts; long texts take memory in proportion to their length only once; an
+follow one another in the order of the first ``ORDERED_BY`` characters of their texts, then of a hash of them, and may fill
+several files; long texts take memory in proportion to their length only once; an
 empty table gives an empty corpus; other columns are ignored.
 """
 
@@ -41,6 +44,8 @@ BATCH_ROWS = 256
 #: Characters whose new pre-tokens are given to the tokenizer at once, and pre-tokens that one worker remembers.
 ENCODED_AT_ONCE = 1_000_000
 CACHE_PARTS = 400_000
+#: Characters by which texts of one id are ordered; the range bounds hold no longer ones.
+ORDERED_BY = 64
 
 
 @dataclass(frozen=True)
@@ -48,7 +53,7 @@ class TokenCorpus:
     folder: str
     length: int
     id_col: str
-    documents: DataFrame  # id_col, shard, first, n_tokens
+    documents: DataFrame  # id_col, shard, attempt, first, n_tokens
 
 
 class Encoder:
@@ -137,8 +142,13 @@ class SequenceWriter:
 class SequenceFile:
     """Random access to one file; arrays are views of the mapped file where it is local."""
 
-    def __init__(self, folder: str, shard: int):
-        system, path = fs.FileSystem.from_uri(f"{folder}/{name_of(shard)}" if "://" in folder else f"file://{folder}/{name_of(shard)}")
+    def __init__(self, folder: str, shard: int, attempt: int | None = None):
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        if attempt is None:  # finished files of one shard hold the same rows
+            names = (f.base_name for f in system.get_file_info(fs.FileSelector(base)))
+            path = f"{base}/{min(n for n in names if n.startswith(name_of(shard, '')))}"
+        else:
+            path = f"{base}/{name_of(shard, attempt)}"
         source = pa.memory_map(path) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(path)
         self.file = pa.ipc.open_file(source)
         self.length = int(self.file.schema.metadata[b"length"])
@@ -165,8 +175,8 @@ class SequenceFile:
         return ids.to_numpy()[place], mask[place.start : place.stop].to_numpy(zero_copy_only=False)
 
 
-def name_of(shard: int) -> str:
-    return f"ids-{shard:06d}.arrow"
+def name_of(shard: int, attempt: int | str) -> str:
+    return f"ids-{shard:06d}-{attempt}" + (".arrow" if attempt != "" else "")
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> TokenCorpus:
@@ -177,11 +187,11 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, i
         encoder = encoder_of(vocabulary)
         dtype = np.dtype(np.uint16 if max(encoder.vocabulary_size, end_id + 1) <= 1 << 16 else np.uint32)
         task = TaskContext.get()
-        shard = task.partitionId()
+        shard, attempt = task.partitionId(), task.taskAttemptId()
         system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         system.create_dir(base)
-        # an attempt writes under its own name; the finished file takes the final name in one step
-        own = f"{base}/.{name_of(shard)}-{task.taskAttemptId()}"
+        # the name of a finished file is given in one step
+        own = f"{base}/.{name_of(shard, attempt)}"
         writer = None
         with system.open_output_stream(own) as sink:
             writer = SequenceWriter(sink, length, dtype)
@@ -192,15 +202,17 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, i
                     sizes.append(len(ids) + 1)
                     writer.add(np.append(ids, np.uint32(end_id)))
                 yield pa.RecordBatch.from_pydict({
-                    id_col: batch.column(0), "shard": pa.array([shard] * len(sizes), pa.int64()), "first": pa.array(firsts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
+                    id_col: batch.column(0), "shard": pa.array([shard] * len(sizes), pa.int64()), "attempt": pa.array([attempt] * len(sizes), pa.int64()), "first": pa.array(firsts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
             writer.close()
-        system.move(own, f"{base}/{name_of(shard)}")
+        system.move(own, f"{base}/{name_of(shard, attempt)}")
 
-    rows = docs.select(F.col(id_col), whole_text(text_col).alias("text"))
-    # repartitionByRange orders ties arbitrarily between ids only; equal ids meet in one partition
-    ordered = rows.repartitionByRange(id_col).sortWithinPartitions(id_col, "text")
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col), text.alias("text"), F.substring(text, 1, ORDERED_BY).alias("begin"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("place"))
+    # a range may end inside the rows of one id, also inside copies of one text
+    order = [id_col, "begin", "digest", "place"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(id_col, "text")
     kind = rows.schema[0].dataType.simpleString()
-    return TokenCorpus(folder, length, id_col, store(ordered.mapInArrow(run, f"`{id_col}` {kind}, shard long, first long, n_tokens long"), "token-documents"))
+    return TokenCorpus(folder, length, id_col, store(ordered.mapInArrow(run, f"`{id_col}` {kind}, shard long, attempt long, first long, n_tokens long"), "token-documents"))
 
 
 def read_digests(corpus: TokenCorpus) -> DataFrame:
@@ -210,8 +222,8 @@ def read_digests(corpus: TokenCorpus) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             crcs = np.zeros(len(pdf), np.int64)
-            for shard, rows in pdf.groupby("shard").indices.items():
-                file = SequenceFile(folder, int(shard))
+            for (shard, attempt), rows in pdf.groupby(["shard", "attempt"]).indices.items():
+                file = SequenceFile(folder, int(shard), int(attempt))
                 for i in rows:
                     crcs[i] = zlib.crc32(file.ids(int(pdf["first"].iat[i]), int(pdf["n_tokens"].iat[i])).astype("<u4").tobytes())
             yield pdf.assign(ids_crc32=crcs)
@@ -221,5 +233,5 @@ def read_digests(corpus: TokenCorpus) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = store(sizes.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before")), "token-offsets")
     kind = corpus.documents.schema[0].dataType.simpleString()
-    read = corpus.documents.mapInPandas(run, f"`{id_col}` {kind}, shard long, first long, n_tokens long, ids_crc32 long")
+    read = corpus.documents.mapInPandas(run, f"`{id_col}` {kind}, shard long, attempt long, first long, n_tokens long, ids_crc32 long")
     return read.join(offsets, "shard").select(id_col, (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -87,6 +87,25 @@ def test_sequences_and_masks_are_equally_long(spark):
     assert token_files.read_digests(none).count() == 0
 
 
+def test_one_id_may_fill_several_files_and_a_second_run_replaces_none(spark):
+    rows = [(None if i % 2 else 7, " ".join(prose(i % 40, 12))) for i in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        corpus = token_files.write(frame(spark, rows).repartition(4), JSON, end_id=2, length=64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first = ordered(tuple(r) for r in token_files.read_digests(corpus).collect())
+    assert corpus.documents.select("shard").distinct().count() > 2
+    token_files.write(frame(spark, rows[:50]), JSON, end_id=2, length=64, folder=corpus.folder)
+    assert ordered(tuple(r) for r in token_files.read_digests(corpus).collect()) == first
+    library, at = Tokenizer.from_file(JSON), 0
+    want = Counter((i, zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r[0], r[3]) for r in first) == want
+    for i, start, n, _ in sorted(first, key=lambda r: r[1]):
+        assert start == at
+        at += n
+
+
 def test_ids_do_not_depend_on_how_texts_are_grouped(monkeypatch):
     texts = [" ".join(prose(i, 200)) for i in range(8)] + ["", "<|endoftext|> é"]
     encoder, library = token_files.Encoder(JSON), Tokenizer.from_file(JSON)
@@ -123,6 +142,41 @@ def test_quality_learns_only_from_its_part(spark):
     assert {r.score for r in quality.score(frame(spark, docs[:3]), untrained).collect()} == {0.5}
 
 
+def test_no_more_rows_are_learnt_than_the_bound(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    texts = {i: [" ".join(prose(i * 9 + k, 30)) for k in range(20)] for i in ids}
+    docs = [(i, texts[i][k % 20]) for i in ids for k in range(1500)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    got = quality.fit(frame(spark, docs), labels, most=2)
+    assert np.array_equal(got, quality.fit(frame(spark, [(i, min(texts[i])) for i in ids]), labels, most=2)) and got.any()
+
+
+def test_weights_equal_a_loop_over_single_coordinates():
+    rows = [quality.sparse(" ".join(prose(i, 30, 60)) if i % 2 else "### " + " | ".join(prose(i, 30, 60))) for i in range(60)]
+    labels = np.array([i % 2 for i in range(60)])
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return (np.sign(z[i]) * quality.L1 - z[i]) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(quality.EPOCHS):
+        for r in order.permutation(len(rows)):
+            x = dict(zip(*(v.tolist() for v in rows[r]), strict=True))
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - labels[r]) * v
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = quality.train(rows, labels)
+    assert set(np.flatnonzero(got)) <= set(z) and len(z) > 100
+    assert np.allclose([got[i] for i in z], [weight(i) for i in z], rtol=1e-9, atol=1e-12)
+
+
 def test_quality_on_held_out_rows_of_the_tables(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     known = dict(labels.select("doc_id", "quality").collect())
@@ -208,6 +262,17 @@ def test_a_group_larger_than_a_shard_is_dealt_out(spark):
     assert len(sizes) == 8 and max(sizes.values()) < 1.5 * min(sizes.values())
 
 
+@pytest.mark.parametrize("doc", [None, 7])
+def test_a_large_group_without_ids_or_with_one_id_is_dealt_out(spark, doc):
+    rows = [(doc, " ".join(["the same long text"] * 27)) for _ in range(800)] + [(doc, " ".join(prose(i, 12))) for i in range(200)]
+    sizes, slots = Counter(), defaultdict(list)
+    for r in sharding.assign(frame(spark, rows).repartition(3), 8).collect():
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(sizes) == 8 and max(sizes.values()) < 1.05 * min(sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # benchmark items
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.scalar import clip, decay, flag, safe_div
-from tickloom.operators.series import BARS, IDX, Lane, carry_last, framed
+from tickloom.operators.series import BARS, IDX, Lane, carry_last, framed, pin
 from tickloom.operators.touch import first_cross, first_hit_within
 
 # Pivot neighbourhoods per timeframe, level tolerance, swing magnitude tiers.
@@ -184,52 +187,116 @@ def gap_intervals(df: DataFrame, include_birth_bar: bool = False, lane: Lane = B
     beyond = F.when(F.col("falls"), h["close"] < F.col("bottom") - eps).otherwise(h["close"] > F.col("top") + eps)
     return met.select(
         *lane.keys, F.col(IDX).alias("born"), h["i"].alias("died"), F.when(F.col("falls"), 1).otherwise(-1).alias("dir"),
-        "top", "bottom", flag(touched).alias("touched"), flag(beyond).alias("beyond"),
-        h["close"].alias("end_close"), "last_block",
+        "top", "bottom", flag(touched).alias("touched"), flag(beyond).alias("beyond"), h["close"].alias("end_close"),
     )
 
 
+def _covering(life: DataFrame, blocks: DataFrame, lane: Lane) -> DataFrame:
+    """Per block ``_cover``: birth of the newest gap that lives in every row of the block and was born before it.
+
+    A gap that dies covers the blocks between those of its birth and death.  That run is cut into blocks of 1, 2, 4, ...
+    (at most two of a size), each keeps its newest gap, and a block asks the runs that it is part of.  Of the gaps that
+    stay open only the newest before the block matters.
+    """
+    first, last = F.floor(F.col("born") / lane.block).cast("long") + 1, F.floor(F.col("died") / lane.block).cast("long")
+    runs = (
+        life.filter("died IS NOT NULL").select(*lane.keys, "born", first.alias("_from"), last.alias("_to")).filter("_from < _to")
+        .withColumn("_size", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_to") - F.col("_from"))).cast("int") + 1)))
+        .withColumns({"_l": F.expr("cast(ceil(_from / shiftleft(1L, _size)) as long)"), "_r": F.expr("_to div shiftleft(1L, _size)")})
+        .filter("_l < _r")
+        .withColumn("_run", F.explode(F.array(F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_r") % 2 == 1, F.col("_r") - 1))))
+        .filter("_run IS NOT NULL").groupBy(*lane.keys, "_size", "_run").agg(F.max("born").alias("_newest"))
+    )
+    asked = blocks.filter("_block > 0").withColumn("_size", F.explode(F.sequence(F.lit(0), F.floor(F.log2("_block")).cast("int")))).withColumn(
+        "_run", F.expr("_block div shiftleft(1L, _size)"))
+    return asked.join(runs, [*lane.keys, "_size", "_run"]).groupBy(*lane.keys, "_block").agg(F.max("_newest").alias("_cover"))
+
+
+def _newest_open(d: DataFrame, lane: Lane) -> DataFrame:
+    """Add ``_newest``: birth of the newest gap still open, looking first at gaps born in the row's own block.
+
+    Takes ``_gap`` (the gap born in the row), ``_older`` (newest open one from before the block) and ``_block``.
+    """
+    def step(block: pa.Table) -> pa.Table:
+        block = block.sort_by(IDX)
+        gap = block["_gap"].combine_chunks()
+        died = gap.field("died").to_pylist()
+        born = gap.is_valid().to_pylist()
+        newest, open_gaps = [], []  # births and deaths, the newest last; what has died at the end goes for good
+        for i, is_born, end in zip(block[IDX].to_pylist(), born, died, strict=True):
+            if is_born:
+                open_gaps.append((i, end))
+            while open_gaps and open_gaps[-1][1] is not None and open_gaps[-1][1] <= i:
+                open_gaps.pop()
+            newest.append(open_gaps[-1][0] if open_gaps else None)
+        newest = pc.coalesce(pa.array(newest, pa.int64()), block["_older"])
+        return block.append_column("_newest", newest)
+
+    return d.groupBy(*lane.keys, "_block").applyInArrow(step, T.StructType([*d.schema.fields, T.StructField("_newest", T.LongType())]))
+
+
 def gaps(df: DataFrame, include_birth_bar: bool = False, atr: str | None = None, tau: float = 8.0, fresh: int = 8,
          stale: int = 24, lane: Lane = BARS) -> DataFrame:
-    """Gap columns per bar: births, touches, fills, breaks, open counts, newest age, last-gap context."""
-    rows = gap_births(df, lane=lane)
-    life = gap_intervals(rows, include_birth_bar, lane)
+    """Gap columns per bar: births, touches, fills, breaks, open counts, newest age, last-gap context.
+
+    A gap is two rows, its birth and its death.  Open counts are running differences of both; one summary per block
+    carries them, the last gap and the newest open gap on, so no row holds a list and a gap that never fills costs nothing.
+    """
+    rows = pin(gap_births(df, lane=lane))
+    life = pin(gap_intervals(rows, include_birth_bar, lane))
     shift = 1 if include_birth_bar else 0
-    # a gap is listed once per block it lives in, not once per bar
-    first = F.floor(F.col("born") / lane.block).cast("long")
-    last = F.coalesce(F.floor(F.col("died") / lane.block).cast("long"), F.col("last_block"))
-    listed = (
-        life.withColumn("_block", F.explode(F.sequence(first, F.greatest(first, last))))
-        .groupBy(*lane.keys, "_block")
-        .agg(F.collect_list(F.struct("born", "died", "dir", "touched", "end_close")).alias("_gaps"))
+    birth_block, death_block = (F.floor(F.col(c) / lane.block).cast("long") for c in ("born", "died"))
+    gap = F.struct("born", "died", "dir", "top", "bottom", "beyond")
+    up, down = F.count_if(F.col("dir") == 1), F.count_if(F.col("dir") == -1)
+    births = life.select(*lane.keys, F.col("born").alias(IDX), gap.alias("_gap"))
+    deaths = life.filter("died IS NOT NULL").groupBy(*lane.keys, F.col("died").alias(IDX)).agg(
+        F.max("touched").alias("_touched"), F.min("touched").alias("_all_touched"), up.alias("_dead_up"), down.alias("_dead_down"),
+        F.max(F.when(birth_block < death_block, F.col("born"))).alias("_old"),
     )
-    births = life.select(
-        *lane.keys, F.col("born").alias(IDX), F.struct("born", "died", "dir", "top", "bottom", "beyond").alias("_gap")
+    # what each block adds, and from it what each block begins with
+    blocks = pin(rows.select(*lane.keys, lane.number().alias("_block")).distinct())
+    born = life.groupBy(*lane.keys, birth_block.alias("_block")).agg(
+        up.alias("_up"), down.alias("_down"), F.max_by(gap, "born").alias("_last"), F.max(F.when(F.col("died").isNull(), F.col("born"))).alias("_lasting"))
+    died = life.filter("died IS NOT NULL").groupBy(*lane.keys, death_block.alias("_block")).agg(up.alias("_gone_up"), down.alias("_gone_down"))
+    before = Window.partitionBy(*lane.keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def net(plus: str, minus: str) -> Column:
+        return F.coalesce(F.sum(F.coalesce(plus, F.lit(0)) - F.coalesce(minus, F.lit(0))).over(before), F.lit(0))
+
+    on = [*lane.keys, "_block"]
+    seeds = (
+        blocks.join(born, on, "left").join(died, on, "left").join(_covering(life, blocks, lane), on, "left")
+        .select(*on, net("_up", "_gone_up").alias("_up"), net("_down", "_gone_down").alias("_down"), F.last("_last", True).over(before).alias("_last"),
+                F.greatest("_cover", F.max("_lasting").over(before)).alias("_cover"))
     )
-    d = rows.join(births, [*lane.keys, IDX], "left")
-    d = carry_last(d, {"_ctx": F.col("_gap")}, lane).drop("_gap")
-    d = d.withColumn("_block", lane.number()).join(listed, [*lane.keys, "_block"], "left")
-    i, g = F.col(IDX), F.coalesce("_gaps", F.array().cast("array<struct<born:long,died:long,dir:int,touched:int,end_close:double>>"))
-    alive = F.filter(g, lambda x: (x["born"] <= i) & (x["died"].isNull() | (x["died"] > i)))
-    ended = F.filter(g, lambda x: x["died"] == i)
-    d = d.withColumns({"_alive": alive, "_ended": ended})
+    w = lane.window()
+    so_far, later = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    d = rows.join(births, [*lane.keys, IDX], "left").join(deaths, [*lane.keys, IDX], "left")
+    d = d.withColumn("_block", lane.number()).join(seeds, on, "left")
+    i, c = F.col(IDX), F.col("_ctx")
+
+    def still_open(side: int, seed: str, dead: str) -> Column:
+        return (F.sum(F.when(F.col("_gap")["dir"] == side, 1).otherwise(0) - F.coalesce(dead, F.lit(0))).over(so_far) + F.col(seed)).cast("int")
+
     d = d.withColumns(
         {
-            "fvg_touch_flag": flag(F.exists("_ended", lambda x: x["touched"] == 1)),
-            "fvg_is_broken": flag(F.exists("_ended", lambda x: x["touched"] == 0)),
-            "fvg_broken_level": F.when(F.exists("_ended", lambda x: x["touched"] == 0), F.col("close")),
-            "fvg_open_up": F.size(F.filter("_alive", lambda x: x["dir"] == 1)),
-            "fvg_open_down": F.size(F.filter("_alive", lambda x: x["dir"] == -1)),
-            "fvg_age": i - F.array_max(F.transform("_alive", lambda x: x["born"])) + shift,
+            "fvg_open_up": still_open(1, "_up", "_dead_up"), "fvg_open_down": still_open(-1, "_down", "_dead_down"),
+            "_ctx": F.coalesce(F.last("_gap", True).over(so_far), F.col("_last")),
+            "_older": F.greatest(F.max("_old").over(later), F.col("_cover")),
         }
-    )
-    c = F.col("_ctx")
+    ).drop("_up", "_down", "_last", "_cover", "_dead_up", "_dead_down", "_old")
+    d = _newest_open(d, lane)
+    broken = F.col("_all_touched") == 0
     age = i - c["born"]
     scale = F.when(F.col(atr) > 0, F.col(atr)) if atr else F.lit(None).cast("double")
     gone = (c["beyond"] == 1) & (c["died"] <= i)
     return d.withColumns(
         {
-            "fvg_filled_flag": F.col("fvg_touch_flag"),
+            "fvg_touch_flag": flag(F.col("_touched") == 1),
+            "fvg_is_broken": flag(broken),
+            "fvg_broken_level": F.when(broken, F.col("close")),
+            "fvg_age": i - F.col("_newest") + shift,
+            "fvg_filled_flag": flag(F.col("_touched") == 1),
             "fvg_open_total": F.col("fvg_open_up") + F.col("fvg_open_down"),
             "fvg_has_active": flag(F.col("fvg_open_up") + F.col("fvg_open_down") > 0),
             "fvg_mid": (F.col("fvg_gap_top") + F.col("fvg_gap_bottom")) / 2.0,
@@ -241,7 +308,7 @@ def gaps(df: DataFrame, include_birth_bar: bool = False, atr: str | None = None,
             "fvg_ctx_dist_top": (c["top"] - F.col("close")) / F.coalesce(scale, F.lit(1.0)),
             "fvg_ctx_dist_bot": (c["bottom"] - F.col("close")) / F.coalesce(scale, F.lit(1.0)),
         }
-    ).drop("_ctx", "_gaps", "_alive", "_ended", "_block")
+    ).drop("_ctx", "_gap", "_older", "_newest", "_touched", "_all_touched", "_block")
 
 
 def zone_births(df: DataFrame, min_body: float = 0.002, min_move: float = 0.003, lane: Lane = BARS) -> DataFrame:

@@ -1,9 +1,11 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import walk
 from tickloom.operators import rollup as R
+from tickloom.operators import screen as screen_module
 from tickloom.streaming import bars as B
 from tickloom.streaming import live as V
 
@@ -71,3 +73,27 @@ def test_stateful_limits_equal_the_loop(spark, tmp_path):
             if ok:
                 last, used[h] = r.bar_index, used.get(h, 0) + 1
             assert r.accepted == int(ok)
+
+
+@pytest.mark.parametrize(("per_hour", "gap"), [(2, 2), (1, 5), (3, 1)])
+def test_live_limits_in_batches_equal_the_loop(spark, tmp_path, monkeypatch, per_hour, gap):
+    """Hours and spans cut by batches, and a batch that runs twice."""
+    monkeypatch.setattr(screen_module, "SPAN_HOURS", 3)
+    p = walk(("A", "B"), 60)[["asset", "bar_close"]].copy()
+    p["bar_index"] = p.groupby("asset").cumcount()
+    p = p[p["bar_index"] % 5 != 1].sort_values("bar_close")
+    limits = V.LiveLimits(str(tmp_path / "out"), str(tmp_path / "state"), per_hour, gap)
+    for k, part in enumerate([p.iloc[:17], p.iloc[17:18], p.iloc[18:150], p.iloc[:0], p.iloc[150:]]):
+        batch = spark.createDataFrame(part, "asset string, bar_close timestamp, bar_index long")
+        for _ in range(2 if k == 2 else 1):
+            limits.write(batch, k)
+    got = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert len(got) == len(p)
+    for _, g in got.sort_values("bar_index").groupby("asset"):
+        last, used = None, {}
+        for r in g.itertuples():
+            h = r.bar_close.floor("h")
+            ok = (last is None or r.bar_index - last >= gap) and used.get(h, 0) < per_hour
+            if ok:
+                last, used[h] = r.bar_index, used.get(h, 0) + 1
+            assert r.accepted == int(ok)

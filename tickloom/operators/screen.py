@@ -17,6 +17,9 @@ from tickloom.functions.scalar import clip, finite, first_number, flag, safe_div
 from tickloom.operators.quantile import column_quantiles
 from tickloom.operators.series import pin
 
+#: Hours whose limits one task composes (about six weeks of an asset).
+SPAN_HOURS = 1024
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -239,49 +242,94 @@ def screen(df: DataFrame, p: Policy = POLICY) -> DataFrame:
     return tier(d, "confluence", "hazard_score", F.col("confluence_passed") == 1, p)
 
 
-def spaced_signals(df: DataFrame, per_hour: int = 2, min_gap: int = 2) -> DataFrame:
+def _follow(firsts: Sequence[int], lasts: Sequence[Sequence[int]], ready: int | None, min_gap: int) -> tuple[list[int], int | None]:
+    """Case of every hour, given the first bar that may be taken when they begin (``None``: any), and that bar at their end.
+
+    ``lasts[k][c]`` is the last bar hour ``k`` takes in case ``c``, or -1.
+    """
+    cases = []
+    for first, last in zip(firsts, lasts, strict=True):
+        case = 0 if ready is None else max(0, ready - first)
+        cases.append(case)
+        ready = last[case] + min_gap if last[case] >= 0 else ready
+    return cases, ready
+
+
+def spaced_signals(df: DataFrame, per_hour: int = 2, min_gap: int = 2, before: DataFrame | None = None) -> DataFrame:
     """Greedy limits per asset: at most ``per_hour`` accepted signals per clock hour, ``min_gap`` bars apart.
 
-    Whether a signal is accepted depends on those accepted before it, but across an hour
-    only through how many bars of the gap are still open: ``min_gap`` cases.  Every (asset,
-    hour) is worked out for all cases in parallel; then one small row per hour is
-    chained per asset to find the case that applies.
-    Needs ``asset``, ``bar_index``, ``bar_close`` and ``candidate``.
+    Whether a signal is accepted depends on those accepted before it, but across an hour only through how many bars
+    of the gap are still open: ``min_gap`` cases.  An hour is thus a map from the cases it may be entered in to the bar
+    from which the next signal may come.  Every (asset, hour) is played for all cases, the maps of ``SPAN_HOURS``
+    hours are composed, one row per span is chained per asset, and every span then follows the one case that applies:
+    no task holds more than a span of an asset.
+
+    Needs ``asset``, ``bar_index``, ``bar_close`` and ``candidate``.  ``before`` holds what earlier rows left (see
+    ``limits_after``): ``asset``, ``hour``, ``used``, ``last_taken``.
     """
-    cases = "asset string, hour timestamp, first_bar long, open_bars int, taken array<long>"
+    cases = max(1, min_gap)
 
     def play(pdf: pd.DataFrame) -> pd.DataFrame:
-        bars = sorted(pdf["bar_index"])
+        bars, room = sorted(pdf["bar_index"]), per_hour - int(pdf["used"].iloc[0])
         out = []
-        for still_open in range(min_gap if min_gap > 0 else 1):
+        for still_open in range(cases):
             ready, taken = bars[0] + still_open, []
             for b in bars:
-                if b >= ready and len(taken) < per_hour:
+                if b >= ready and len(taken) < room:
                     taken.append(int(b))
                     ready = b + min_gap
             out.append((pdf["asset"].iloc[0], pdf["hour"].iloc[0], int(bars[0]), still_open, taken))
         return pd.DataFrame(out, columns=["asset", "hour", "first_bar", "open_bars", "taken"])
 
+    def hours_of(pdf: pd.DataFrame) -> tuple[list, list, list]:
+        pdf = pdf.sort_values(["first_bar", "open_bars"])
+        return pdf["hour"].tolist()[::cases], pdf["first_bar"].tolist()[::cases], pdf["last_taken"].to_numpy().reshape(-1, cases).tolist()
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, firsts, lasts = hours_of(pdf)
+        ends = [int(_follow(firsts, lasts, firsts[0] + case, min_gap)[1]) for case in range(cases)]
+        return pd.DataFrame([(pdf["asset"].iloc[0], pdf["span"].iloc[0], int(firsts[0]), ends)], columns=["asset", "span", "first_bar", "ends"])
+
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        ready, rows = None, []
-        for (hour, first), hours in pdf.groupby(["hour", "first_bar"], sort=True):
-            case = 0 if ready is None else int(max(0, ready - first))
-            last = hours.loc[hours["open_bars"] == case, "last_taken"].iloc[0]
-            ready = last + min_gap if last >= 0 else ready
-            rows.append((pdf["asset"].iloc[0], hour, case))
-        return pd.DataFrame(rows, columns=["asset", "hour", "open_bars"])
+        pdf = pdf.sort_values("first_bar")
+        start = pdf["last_taken"].iloc[0]
+        ready, rows = None if pd.isna(start) else int(start) + min_gap, []
+        for span, first, ends in zip(pdf["span"], pdf["first_bar"], pdf["ends"], strict=True):
+            rows.append((pdf["asset"].iloc[0], span, ready))
+            ready = int(ends[0 if ready is None else max(0, ready - first)])
+        return pd.DataFrame({"asset": [r[0] for r in rows], "span": [r[1] for r in rows], "ready": pd.array([r[2] for r in rows], "Int64")})
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        hours, firsts, lasts = hours_of(pdf)
+        ready = pdf["ready"].iloc[0]
+        found, _ = _follow(firsts, lasts, None if pd.isna(ready) else int(ready), min_gap)
+        return pd.DataFrame({"asset": pdf["asset"].iloc[0], "hour": hours, "open_bars": found})
 
     hour = F.date_trunc("hour", "bar_close")
     cand = df.filter(F.col("candidate") == 1).select("asset", "bar_index", hour.alias("hour"))
-    played = pin(cand.groupBy("asset", "hour").applyInPandas(play, cases))
-    small = played.select("asset", "hour", "first_bar", "open_bars",
+    none = F.lit(None).cast("long")
+    cand = cand.withColumn("used", F.lit(0)) if before is None else cand.join(before.select("asset", "hour", "used"), ["asset", "hour"], "left").fillna(0, ["used"])
+    played = pin(cand.groupBy("asset", "hour").applyInPandas(play, "asset string, hour timestamp, first_bar long, open_bars int, taken array<long>"))
+    steps = played.select("asset", "hour", "first_bar", "open_bars", F.expr(f"unix_seconds(hour) div {3600 * SPAN_HOURS}").alias("span"),
                           F.coalesce(F.try_element_at("taken", F.lit(-1)), F.lit(-1)).alias("last_taken"))
-    applies = small.groupBy("asset").applyInPandas(chain, "asset string, hour timestamp, open_bars int")
+    maps = steps.groupBy("asset", "span").applyInPandas(compose, "asset string, span long, first_bar long, ends array<long>")
+    maps = maps.withColumn("last_taken", none) if before is None else maps.join(before.select("asset", "last_taken"), "asset", "left")
+    entered = pin(maps.groupBy("asset").applyInPandas(chain, "asset string, span long, ready long"))  # a row per span of hours
+    applies = steps.join(entered, ["asset", "span"]).groupBy("asset", "span").applyInPandas(replay, "asset string, hour timestamp, open_bars int")
     taken = played.join(applies, ["asset", "hour", "open_bars"]).select(
         "asset", F.explode("taken").alias("bar_index"), F.lit(1).alias("accepted"))
     return df.join(taken, ["asset", "bar_index"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
 
 
+def limits_after(limited: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """What the rows of ``spaced_signals`` leave to later ones: the last hour with an accepted signal, its count, the last accepted bar."""
+    new = limited.filter(F.col("accepted") == 1).groupBy("asset", F.date_trunc("hour", "bar_close").alias("hour")).agg(
+        F.count(F.lit(1)).alias("used"), F.max("bar_index").cast("long").alias("last_taken"))
+    both = new if before is None else new.unionByName(before)
+    by_hour = both.groupBy("asset", "hour").agg(F.sum("used").alias("used"), F.max("last_taken").alias("last_taken"))
+    return by_hour.groupBy("asset").agg(F.max("hour").alias("hour"), F.max_by("used", "hour").alias("used"), F.max("last_taken").alias("last_taken"))
+
+
 def top_per_hour(df: DataFrame, k: int, score: str, keys: Sequence[str] = ("asset",)) -> DataFrame:
     """The ``k`` best rows per key and clock hour.
 

@@ -374,7 +374,9 @@ def _candidates(spark, d):
     return b.withColumns({"bar_index": F.col("row_idx"), "candidate": (F.col("close") > F.col("open")).cast("int")})
 
 
-@query("W48_spaced_signals")
+@query("W48_spaced_signals", q.spaced(with_bars("15m"), "SELECT asset, i, t FROM b_15m WHERE c > o", 2, 2) + """
+SELECT b.asset, b.t, CAST(b.c > b.o AS INTEGER) AS candidate, CAST(coalesce(accepted, 0) AS INTEGER) AS accepted
+FROM b_15m b LEFT JOIN decided d ON d.asset = b.asset AND d.i = b.i""")
 def spaced(spark, d):
     out = C.spaced_signals(_candidates(spark, d), per_hour=2, min_gap=2)
     return out.select("asset", F.unix_seconds("bar_close").alias("t"), "candidate", "accepted")

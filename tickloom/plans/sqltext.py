@@ -183,3 +183,17 @@ def first_ahead(rel: str, name: str, first: int, last: int, tests: dict[str, str
     return f"""{name}_h AS (SELECT s.asset, s.i, {picks} FROM {rel} s JOIN {rel} f ON f.asset = s.asset
   AND f.i BETWEEN s.i + {first} AND s.i + {last} GROUP BY 1, 2),
 {name} AS (SELECT {keep}, {', '.join('x.' + k for k in tests)} FROM {rel} s LEFT JOIN {name}_h x USING (asset, i))"""
+
+
+def spaced(with_: str, candidates: str, per_hour: int, min_gap: int) -> str:
+    """``WITH`` clause that defines ``decided``: the candidates (asset, i, t) one after another, with the greedy limits."""
+    ok = f"s.i - w.last >= {min_gap} AND (s.t // 3600 > w.hour OR w.used < {per_hour})"
+    return with_.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+s AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY i) AS rn FROM ({candidates})),
+w AS (
+  SELECT asset, i, t, rn, 1::BIGINT AS accepted, i AS last, t // 3600 AS hour, 1 AS used FROM s WHERE rn = 1
+  UNION ALL
+  SELECT s.asset, s.i, s.t, s.rn, CASE WHEN {ok} THEN 1 ELSE 0 END, CASE WHEN {ok} THEN s.i ELSE w.last END, s.t // 3600,
+    CASE WHEN s.t // 3600 > w.hour THEN 0 ELSE w.used END + CASE WHEN {ok} THEN 1 ELSE 0 END
+  FROM w JOIN s ON s.asset = w.asset AND s.rn = w.rn + 1),
+decided AS (SELECT asset, i, t, accepted FROM w)"""

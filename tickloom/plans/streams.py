@@ -103,12 +103,14 @@ def streamed_alerts(spark, d):
     return drain(spark, V.alerts(stored_stream(spark, s, 3)).select("id", "tier"), "alerts")
 
 
-@query("T7_stateful_limits")
+@query("T7_stateful_limits", q.spaced(with_bars("15m"), "SELECT asset, i, t FROM b_15m WHERE c > o", 2, 2) + """
+SELECT asset, i AS bar_index, t, accepted FROM decided""")
 def limits(spark, d):
     b = R.indexed_rollup(minutes(spark, d), "15m").filter(F.col("close") > F.col("open"))
     s = b.select("asset", F.col("row_idx").alias("bar_index"), "bar_close")
-    out = drain(spark, V.limited(stored_stream(spark, s, 3)), "limits")
-    return out.select("asset", "bar_index", F.unix_seconds("bar_close").alias("t"), F.col("accepted").cast("long").alias("accepted"))
+    out = scratch(spark, "limits_out")
+    drain(spark, stored_stream(spark, s, 3), "limits", V.LiveLimits(out, scratch(spark, "limits_state")).write)
+    return spark.read.parquet(out).select("asset", "bar_index", F.unix_seconds("bar_close").alias("t"), F.col("accepted").cast("long").alias("accepted"))
 
 
 @query("T8_incremental_bars", f"WITH {MINUTES}\nSELECT asset, o_t AS t, o AS open, h AS high, l AS low, c AS close, v AS volume, n AS trades FROM m1")

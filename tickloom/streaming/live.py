@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from tickloom.operators.screen import POLICY, Policy, screen
+from tickloom.operators.screen import POLICY, Policy, limits_after, screen, spaced_signals
 from tickloom.operators.series import index_rows, pin
 
 
@@ -52,11 +52,34 @@ def alerts(stream: DataFrame, policy: Policy = POLICY) -> DataFrame:
     return screen(stream, policy).filter(F.col("tier").isin("A+", "A", "B") & (F.col("gate_passed") == 1))
 
 
+class LiveLimits:
+    """Per-asset limits on a stream whose assets may be large: a micro-batch is decided in parallel by ``spaced_signals``.
+
+    What a batch leaves (three numbers an asset) is written beside its decisions under the batch's number, so a batch
+    that runs again after a failure reads the same state and replaces its own output.  Input columns ``asset``,
+    ``bar_index``, ``bar_close``; a later batch holds later bars of an asset.
+    """
+
+    STATE = "asset string, hour timestamp, used long, last_taken long"
+
+    def __init__(self, out_path: str, state_path: str, per_hour: int = 2, min_gap: int = 2):
+        self.out_path, self.state_path, self.per_hour, self.min_gap = out_path, state_path, per_hour, min_gap
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(self.STATE).parquet(f"{self.state_path}/batch_id={batch_id - 1}") if batch_id else None
+        rows = pin(batch.select("asset", "bar_index", "bar_close", F.lit(1).alias("candidate")))
+        out = f"{self.out_path}/batch_id={batch_id}"
+        decided = spaced_signals(rows, self.per_hour, self.min_gap, before).drop("candidate")
+        decided.write.mode("overwrite").parquet(out)
+        limits_after(spark.read.schema(decided.schema).parquet(out), before).write.mode("overwrite").parquet(f"{self.state_path}/batch_id={batch_id}")
+
+
 def limited(stream: DataFrame, per_hour: int = 2, min_gap: int = 2) -> DataFrame:
     """Per-asset limits with state: bars since the last accepted signal and the hour's count.
 
     Input columns ``asset``, ``bar_index``, ``bar_close``; rows are taken in bar order inside a micro-batch.
-    The state of an asset is three numbers.
+    The state of an asset is three numbers.  All rows of an asset in a micro-batch are one task; ``LiveLimits`` spreads them.
     """
     def step(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, hour, used = state.get if state.exists else (-(2**31), -1, 0)

@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from tickloom.llm.pretokens import PreTokens
 
 LENGTH = 2048
 BATCH_ROWS = 256
-#: Characters whose new pre-tokens are given to the tokenizer at once, and pre-tokens that one worker remembers.
+#: Characters whose new pre-tokens are given to the tokenizer at once, and half the pre-tokens that one worker remembers.
 ENCODED_AT_ONCE = 1_000_000
 CACHE_PARTS = 400_000
 #: Characters by which texts of one id are ordered; the range bounds hold no longer ones.
@@ -64,16 +65,19 @@ class Encoder:
         self.pre = PreTokens(path)
         self.vocabulary_size = self.pre.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known when it last was full
 
     def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
+        new = parts.difference(self.known)
         if len(self.known) + len(new) > CACHE_PARTS:
-            self.known.clear()
-            new = list(parts)
+            self.older, self.known, new = self.known, {}, parts
+        again = {p: self.older[p] for p in new if p in self.older}
+        self.known.update(again)
+        new = [p for p in new if p not in again]
         for at in range(0, len(new), 10_000):
             group = new[at : at + 10_000]
             for part, e in zip(group, self.pre.library.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(e.ids, "<u4").tobytes()
+                self.known[part] = pack(f"<{len(e)}I", *e.ids)
 
     def encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as 32-bit integers."""

@@ -432,6 +432,21 @@ def test_crowded_buckets_are_searched_around_pivots(spark, monkeypatch, edits):
     assert near_dedup.groups(frame(spark, [])).count() == 0
 
 
+def test_few_pairs_are_made_of_copies_just_below_the_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(86)
+    base, rows = prose(86, 150), []
+    for i in range(300):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(2, 6)), replace=False):
+            words[at] = "other"
+        rows.append((i, " ".join(words)))
+    made = {}
+    monkeypatch.setattr(near_dedup, "store", lambda df, kind="table", write=near_dedup.store: made.setdefault(kind, write(df, kind)))
+    got = near_dedup.groups(frame(spark, rows), 85).collect()
+    assert ordered((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == ordered(plain_components(rows, 85))
+    assert made["left-over"].count() < 3 * len(rows)
+
+
 def test_many_rows_without_an_id_or_with_the_same(spark):
     rows = [(None if i % 2 else 7, t) for i, (_, t) in enumerate(near_family(85, 60, 5, 0) + [(0, " ".join(prose(500 + k, 30))) for k in range(2500)])]
     got = near_dedup.groups(frame(spark, rows, clash=False)).collect()

@@ -12,7 +12,8 @@ a pivot, the class that shares most with others.  Around a pivot, a class in ano
 differs from the pivot in the same places: were no difference shared, the two would differ by the sum of both differences, which is
 beyond the threshold.  So those classes look for partners through an index of their differences, of which each puts in the rarest ones only (as many as it
 can do without, and one).  Differences of one class alone are never shared, which bounds a pair before it is made: classes with no partner within
-the bound, found by running minima, do not enter the index.
+the bound, found by running minima, do not enter the index.  A pair is made only where it may still reach the threshold: the first difference that both share
+says how many more they can share (those after it in the rarer list), and bits that all differences of a class flip tell how many the two do not share at least.
 
 Verdict.  A pair's similarity is first estimated jointly, by the most likely value given how many registers are larger,
 smaller and equal and given both set sizes; pairs five deviations below the threshold stop there.  The others
@@ -46,6 +47,8 @@ SMALL = 8
 #: Parts into which the members of one bucket are dealt where they meet its size and its pivot.
 SALTS = 8
 DEVIATIONS = 5
+#: Words of 64 bits that the differences of a class flip.
+FLIPS = 4
 #: Classes (about 80 bytes each) whose texts are picked by a broadcast join; more are picked by a shuffled one.
 MOST_BROADCAST = 200_000
 
@@ -245,20 +248,31 @@ def left_over(crowd: DataFrame, labels: DataFrame, classes: DataFrame, sets: Dat
     diff = store(differences(members.select("pivot", "cid"), sets), "differences")
     often = store(diff.groupBy("pivot", "h").agg(F.count(F.lit(1)).alias("often"), F.min("cid").alias("cid"), F.min("d").alias("d")), "often")
     alone = often.filter("often = 1").groupBy("pivot", "cid").agg(F.count(F.lit(1)).alias("u"))
-    size = diff.groupBy("pivot", "cid").agg(F.first("d").alias("d"))
+    flips = [f"flip_{k}" for k in range(FLIPS)]
+    bit = f"CASE WHEN pmod(h >> 6, {FLIPS}) = {{}} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END"
+    size = diff.groupBy("pivot", "cid").agg(F.first("d").alias("d"), *[F.bit_xor(F.expr(bit.format(k))).alias(f) for k, f in enumerate(flips)])
     seats = members.join(size, ["pivot", "cid"]).join(alone, ["pivot", "cid"], "left").withColumn("u", F.coalesce("u", F.lit(0))).withColumn("s", F.expr("d - u"))
     # what a partner must share at least
     seats = store(seats.withColumn("must", F.greatest(F.lit(1), F.expr(f"d - ({100 - percent} * n) DIV {percent}"))).filter("must <= s"), "seats")
     asking = store(within_reach(seats, F.lit(True), percent).filter("outside").withColumn("asks", F.lit(True)).select("pivot", "cid", "asks"), "asking")
     seats = seats.join(asking, ["pivot", "cid"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     seats = store(within_reach(seats, F.col("asks"), percent), "able")
+    # one of a pair asks, and two sets that share k differences differ in d_a + d_b - 2 * k places
+    apart = F.expr(f"{100 + percent} * d - {100 - percent} * n")
+    least = seats.groupBy("pivot").agg(F.min(apart).alias("any"), F.min(F.when(F.col("asks"), apart)).alias("asking"))
+    partner = F.when(F.col("asks"), F.col("any")).otherwise(F.col("asking"))
+    must = F.greatest("must", F.ceil((apart + partner) / (2 * (100 + percent))))
+    seats = seats.join(least, "pivot").withColumn("must", must).filter("must <= s").drop("any", "asking")
 
     shared = diff.select("pivot", "cid", "h").join(seats, ["pivot", "cid"]).join(often.filter("often > 1").select("pivot", "h", "often"), ["pivot", "h"])
     rarest = Window.partitionBy("pivot", "cid").orderBy("often", "h")
-    index = store(shared.withColumn("nr", F.row_number().over(rarest)).filter("nr <= s - must + 1").select("pivot", "h", "cid", "n", "root", "u", "s", "asks"), "index")
-    a = index.filter("asks").select("pivot", "h", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "root", "u", "s")])
-    b = index.select("pivot", "h", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "root", "u", "s")])
-    able = f"root_a <> root_b AND {100 + percent} * (u_a + u_b + abs(s_a - s_b)) <= {100 - percent} * (n_a + n_b)"
+    seat = ["cid", "n", "root", "d", "u", "s", "nr", *flips]
+    index = store(shared.withColumn("nr", F.row_number().over(rarest)).filter("nr <= s - must + 1").select("pivot", "h", *seat, "asks"), "index")
+    a = index.filter("asks").select("pivot", "h", *[F.col(c).alias(f"{c}_a") for c in seat])
+    b = index.select("pivot", "h", *[F.col(c).alias(f"{c}_b") for c in seat])
+    # places in which the two sets differ at least; of the differences that both share, one pair is made of the first, with those after it to come
+    places = ["u_a + u_b + abs(s_a - s_b)", "d_a + d_b - 2 * (1 + least(s_a - nr_a, s_b - nr_b))", " + ".join(f"bit_count({f}_a ^ {f}_b)" for f in flips)]
+    able = " AND ".join(["root_a <> root_b", *[f"{100 + percent} * ({p}) <= {100 - percent} * (n_a + n_b)" for p in places]])
     return a.join(b, ["pivot", "h"]).filter(able).select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from tickloom.operators import ensemble as E
 from tickloom.operators import ledger as L
 from tickloom.operators import mlprep as M
 from tickloom.operators import screen as C
+from tickloom.operators.quantile import exact_quantiles
 from tickloom.operators.series import Lane, index_rows
 
 TINY = Lane(keys=(), block=4)
@@ -154,3 +157,22 @@ def test_disagreement_equals_all_pairs(spark):
     for k, g in p.groupby("row_id"):
         pairs = np.concatenate([np.abs(v.to_numpy()[:, None] - v.to_numpy()[None, :]).ravel() for _, v in g.groupby("output")["p"]])
         assert got[k]["pairwise"] == pytest.approx(pairs.mean()) and got[k]["spread"] == pytest.approx(np.var(g["p"]))
+
+
+def test_no_task_gathers_a_scenario(spark):
+    """Rows of a key that outgrow a broadcast are not shuffled by the key to meet its one row."""
+    t = pd.date_range("2024-01-01", periods=3000, freq="h")
+    df = spark.createDataFrame(pd.DataFrame({"entry_ts": t, "trade_id": range(3000), "pnl": [(k * 37 % 101) - 50.0 for k in range(3000)], "size_usd": 1000.0, "qty": 1.0,
+                                             "entry_price": 10.0, "stop_price": 9.0}))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        report = L.stress_report(df, 1e6)
+        values = spark.range(6000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 6007).cast("double").alias("x"))
+        quantiles = exact_quantiles(values, "x", (0.05,), ("k",))
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (report, quantiles)]
+        assert report.count() == 6 and quantiles.count() == 3
+    finally:
+        spark.conf.set(key, before)
+    assert not re.search(r"SortMergeJoin \[(scenario|k)#\d+L?\], ", "".join(plans))

@@ -403,7 +403,8 @@ def stress_report(df: DataFrame, equity: float, scenarios: Sequence[Mapping] = S
     rows = stressed(ordered(needed), scenarios).select("scenario", IDX, "adj_pnl")
     # read three times below: for the quantile, the tail and the path
     path = pin(equity_curve(rows, equity, "adj_pnl", lane, peak_from_start=True).drop("peak", "drawdown"))
-    var = exact_quantiles(path, "ret_on_equity", (0.05,), ("scenario",)).select("scenario", F.col("value").alias("var95"))
+    # one row per scenario; pinned, so that the path is not shuffled into one task per scenario to meet it
+    var = pin(exact_quantiles(path, "ret_on_equity", (0.05,), ("scenario",)).select("scenario", F.col("value").alias("var95")))
     p, win, loss = F.col("adj_pnl"), F.col("adj_pnl") > 0, F.col("adj_pnl") < 0
     m = path.join(var, "scenario").groupBy("scenario").agg(
         F.count(F.lit(1)).alias("trades"), F.avg(flag(win)).alias("win_rate"), F.sum(p).alias("total_pnl"),

@@ -37,7 +37,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
                  (F.floor(q * last) if e == 0 else F.ceil(q * last)).cast("long").alias("rank"))
         for q in qs for e in (0, 1)
     ]
-    wanted = placed.groupBy(*named).agg(F.sum("_n").alias("_total")).select(*named, F.array(*ends).alias("_want"))
+    # pinned, so Spark sees its true size and does not gather the values of a key beside its one row
+    wanted = pin(placed.groupBy(*named).agg(F.sum("_n").alias("_total"))).select(*named, F.array(*ends).alias("_want"))
     covers = F.filter("_want", lambda t: (t["rank"] >= F.col("_upto") - F.col("_n")) & (t["rank"] < F.col("_upto")))
     hits = upto.join(wanted, named).select(*named, "_x", F.inline(covers))
     lo, hi = (F.max(F.when(F.col("end") == e, F.col("_x"))) for e in (0, 1))

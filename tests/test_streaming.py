@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from helpers import walk
 from tickloom.operators import rollup as R
 from tickloom.operators import screen as screen_module
+from tickloom.plans import streams
+from tickloom.plans.market import signals
+from tickloom.plans.screen import with_targets
 from tickloom.streaming import bars as B
 from tickloom.streaming import live as V
 
@@ -97,3 +100,29 @@ def test_live_limits_in_batches_equal_the_loop(spark, tmp_path, monkeypatch, per
             if ok:
                 last, used[h] = r.bar_index, used.get(h, 0) + 1
             assert r.accepted == int(ok)
+
+
+def test_no_task_gathers_a_span_of_a_replayed_table(spark, tmp_path, monkeypatch):
+    """Every span is written as it is spread, the last one with a single row, and the spans come in order."""
+    days = [t.to_pydatetime() for t in pd.date_range("2024-01-01", periods=90)]
+    rows = [(k, k * 7919 % 1500, float(k * 37 % 5000) * 100 + 500, days[k % 60]) for k in range(6000)] + [(6000, 1, 700.0, days[89]), (6001, 1, 700.0, None)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz").repartition(5)
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    places = iter(range(100))
+    monkeypatch.setattr(streams, "scratch", lambda spark, name: str(tmp_path / f"{name}.{next(places)}"))
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1g")  # a partition for each file
+    try:
+        got = streams.streamed_alerts(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    s = with_targets(signals(spark, str(tmp_path)).drop("evr", "median_r")).filter("ts IS NOT NULL")
+    want = V.alerts(s).select("id", "tier").collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    spans = [f for f in (tmp_path / "stream_in.0").rglob("*.parquet")]
+    assert len(spans) > 9  # five for each of the first two
+    seen = []
+    df = spark.createDataFrame([(k, days[k]) for k in range(30)], "id long, bar_close timestamp").repartition(4)
+    streams.replay(spark, df, 3, "order", lambda batch, k: seen.append((k, sorted(r.id for r in batch.collect()))))
+    assert seen == [(k, list(range(10 * k, 10 * k + 10))) for k in range(3)]

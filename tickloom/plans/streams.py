@@ -28,21 +28,16 @@ def event_stream(spark, d):
         F.when(F.col("user_id") % 2 == 0, "b").otherwise("s").alias("side"))
 
 
-def stored_stream(spark, df, files, files_per_batch=1):
-    """A frame written as ``files`` successive files in time order and read back as a stream."""
+def stored_stream(spark, df):
+    """A frame written at once and read back as a stream."""
     path = scratch(spark, "stream_in")
-    df = pin(df)
-    t = F.unix_micros("bar_close")
-    lo, hi = df.agg(F.min(t), F.max(t)).first()
-    step = (hi - lo) // files + 1
-    for k in range(files):
-        df.filter((t >= lo + k * step) & (t < lo + (k + 1) * step)).coalesce(1).write.mode("append").parquet(path)
-    return B.trade_stream(spark, path, df.schema, files_per_batch)
+    df.filter(F.col("bar_close").isNotNull()).write.parquet(path)
+    return B.trade_stream(spark, path, df.schema)
 
 
-def drain(spark, stream, name, sink=None):
-    """Run until the input is used up and return what was written."""
-    out, at = scratch(spark, name), scratch(spark, name + "_at")
+def drain(spark, stream, name, sink=None, folders=None):
+    """Run until the input is used up and return what was written; the same ``folders`` (output, checkpoint) go on with a stream."""
+    out, at = folders or (scratch(spark, name), scratch(spark, name + "_at"))
     w = stream.writeStream.option("checkpointLocation", at).trigger(availableNow=True)
     if sink is None:
         w.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
@@ -51,6 +46,22 @@ def drain(spark, stream, name, sink=None):
     return None
 
 
+def replay(spark, df, spans, name, sink=None, build=lambda stream: stream):
+    """``df`` arrives in ``spans`` successive spans of time; each is a micro-batch of one stream, used up before the next one is written.
+
+    A span has a file for every task that holds some of its rows, so that no task gathers it.  Returns what was written.
+    """
+    path, folders = scratch(spark, "stream_in"), (scratch(spark, name), scratch(spark, name + "_at"))
+    df = pin(df)
+    t = F.unix_micros("bar_close")
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
+    step = (hi - lo) // spans + 1
+    for k in range(spans):
+        df.filter((t >= lo + k * step) & (t < lo + (k + 1) * step)).write.mode("append").parquet(path)
+        done = drain(spark, build(B.trade_stream(spark, path, df.schema)), name, sink, folders)
+    return done
+
+
 def traded(spark, d):
     return event_stream(spark, d).withColumnRenamed("pair", "asset")
 
@@ -68,7 +79,7 @@ def closed(spark, d):
     m = minutes(spark, d).select("asset", "bar_close", "close")
     # every bar is sent twice; the second update carries the final close
     updates = m.withColumns({"close": F.col("close") - 1, "arrival": F.lit(1)}).unionByName(m.withColumn("arrival", F.lit(2)))
-    out = drain(spark, B.closed_bars(stored_stream(spark, updates, 3, None), "0 seconds"), "closed")
+    out = drain(spark, B.closed_bars(stored_stream(spark, updates), "0 seconds"), "closed")
     return out.select("asset", F.unix_seconds("bar_close").alias("t"), "close")
 
 
@@ -83,7 +94,7 @@ def rolled(spark, d):
 def deduplicated(spark, d):
     t = trades(spark, d).withColumn("bar_close", F.col("ts"))
     twice = t.unionByName(t.filter(F.col("seq") % 4 == 0))
-    out = drain(spark, B.without_duplicates(stored_stream(spark, twice, 2, None), ["asset", "seq"]), "dedupe")
+    out = drain(spark, B.without_duplicates(stored_stream(spark, twice), ["asset", "seq"]), "dedupe")
     return out.select("seq", "asset", "price")
 
 
@@ -93,14 +104,14 @@ def live_features(spark, d):
     b = R.rollup(minutes(spark, d), "1h")
     out = scratch(spark, "live")
     live = V.LiveFeatures(scratch(spark, "live_bars"), out, lambda x: X.rolling_stats(X.atr(x), ["close"], [16]), reach=40)
-    drain(spark, stored_stream(spark, b, 3), "live", live.write)
+    replay(spark, b, 3, "live", live.write)
     return show(spark.read.parquet(out), ["atr", "close_rmean16"])
 
 
 @query("T6_streamed_alerts", _SCREEN + "\nSELECT id, tier FROM w1 WHERE gp = 1 AND tier IN ('A+', 'A', 'B')")
 def streamed_alerts(spark, d):
     s = with_targets(signals(spark, d).drop("evr", "median_r")).withColumnRenamed("ts", "bar_close")
-    return drain(spark, V.alerts(stored_stream(spark, s, 3)).select("id", "tier"), "alerts")
+    return replay(spark, s, 3, "alerts", build=lambda stream: V.alerts(stream).select("id", "tier"))
 
 
 @query("T7_stateful_limits", q.spaced(with_bars("15m"), "SELECT asset, i, t FROM b_15m WHERE c > o", 2, 2) + """
@@ -109,7 +120,7 @@ def limits(spark, d):
     b = R.indexed_rollup(minutes(spark, d), "15m").filter(F.col("close") > F.col("open"))
     s = b.select("asset", F.col("row_idx").alias("bar_index"), "bar_close")
     out = scratch(spark, "limits_out")
-    drain(spark, stored_stream(spark, s, 3), "limits", V.LiveLimits(out, scratch(spark, "limits_state")).write)
+    replay(spark, s, 3, "limits", V.LiveLimits(out, scratch(spark, "limits_state")).write)
     return spark.read.parquet(out).select("asset", "bar_index", F.unix_seconds("bar_close").alias("t"), F.col("accepted").cast("long").alias("accepted"))
 
 
@@ -117,7 +128,7 @@ def limits(spark, d):
 def incremental(spark, d):
     t = trades(spark, d).withColumn("bar_close", F.col("ts"))
     store = B.PartialBars(scratch(spark, "partials"))
-    drain(spark, stored_stream(spark, t, 3), "partials_run", store.write)
+    replay(spark, t, 3, "partials_run", store.write)
     return store.bars(spark).select("asset", F.unix_seconds("bar_open").alias("t"), "open", "high", "low", "close", "volume", "trades")
 
 
@@ -129,5 +140,5 @@ SELECT asset, t, coalesce(c, p) AS close, coalesce(v, 0) AS volume, CASE WHEN c
 def gap_filled(spark, d):
     b = R.rollup(minutes(spark, d), "15m").select("asset", "bar_open", "bar_close", "open", "high", "low", "close", "volume")
     path = scratch(spark, "filled")
-    drain(spark, stored_stream(spark, b, 3), "filled_run", B.FilledBars(path, 900).write)
+    replay(spark, b, 3, "filled_run", B.FilledBars(path, 900).write)
     return neat(spark.read.parquet(path).select("asset", F.unix_seconds("bar_close").alias("t"), "close", "volume", "gap_filled"))

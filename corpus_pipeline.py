@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination, exact_dedup, near_dedup, piece_codec, quality
-from tickloom.llm.common import ship, store
+from tickloom.llm.common import in_small_batches, ship, store
 
 SIMILAR = 80
 
@@ -35,6 +35,7 @@ def numbered(docs: DataFrame) -> DataFrame:
         return store(docs, "documents").select("*", place)
 
 
+@in_small_batches
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows whose place is not in ``gone`` (_row); only places that go are joined."""
     return docs.join(store(gone.select("_row").distinct(), "gone"), "_row", "left_anti").drop("_row")

@@ -1,17 +1,21 @@
-"""What the corpus operators share: stored intermediate tables, word splitting, bounded caches of word hashes."""
+"""What the corpus operators share: stored intermediate tables, word splitting, bounded caches, the memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.series import shared_folder
@@ -19,6 +23,9 @@ from tickloom.operators.series import shared_folder
 #: Words that one worker remembers (about 30 MB).
 CACHE_WORDS = 150_000
 ODD = 0x9E3779B97F4A7C15
+#: Bytes of one Arrow batch on its way to a Python worker.  Executor and worker each hold a few at a time, and the worker what it makes of one.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def work_folder(spark, kind: str) -> str:
@@ -47,6 +54,57 @@ def store(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts and sets travel in batches of ``BATCH_BYTES`` meanwhile, however long they are; a setting of the session's own holds."""
+    if spark.conf.get(_BATCH, None) is not None:
+        yield
+        return
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH)
+
+
+def in_small_batches(f: Callable) -> Callable:
+    """The tables that ``f`` stores of its first argument are made in small batches."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *args, **named):
+        with small_batches(docs.sparkSession):
+            return f(docs, *args, **named)
+
+    return run
+
+
+_forget: dict[str, Callable[[], None]] = {}
+_begun: list[str] = []
+
+
+def remembered(operator: str, forget: Callable[[], None]) -> None:
+    """``forget`` empties what a worker remembers from task to task of an operator."""
+    _forget[operator] = forget
+
+
+def begin(operator: str) -> None:
+    """Called where a task begins: what the worker remembers for other operators goes, since it lives on through all stages of a job."""
+    if _begun != [operator]:
+        _begun[:] = [operator]
+        for other, forget in _forget.items():
+            if other != operator:
+                forget()
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; the allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if os.name == "posix" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, where a missing one is empty."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -65,6 +123,7 @@ class WordHashes(dict):
 
 #: One cache for each worker process.
 WORDS = WordHashes()
+remembered("near dedup", WORDS.clear)
 
 
 def hashed(words: list[bytes]) -> np.ndarray:

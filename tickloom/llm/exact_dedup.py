@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import store, whole_text
+from tickloom.llm.common import begin, in_small_batches, store, whole_text
 
 #: Fingerprints that one merged filter holds on average.
 RANGE_SIZE = 1 << 16
@@ -108,6 +108,7 @@ class CountingQuotientFilter:
 @F.pandas_udf(T.BinaryType())
 def folded(text: pd.Series) -> pd.Series:
     """UTF-8 bytes with A-Z in lower case; all other bytes as they are."""
+    begin("exact dedup")
     return pd.Series([x.encode().lower() for x in text], dtype=object)
 
 
@@ -134,6 +135,7 @@ def repeated_fingerprints(prints: DataFrame, column: str = "fp") -> DataFrame:
     return filters.groupBy("part").applyInPandas(combine, f"{column} long, copies long")
 
 
+@in_small_batches
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, key_bits: int = 256) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, keep_id, group_size, kept, text_sha256, and ``row_col`` if given.
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import hashed, mixed, runs, store, values_of, whole_text
+from tickloom.llm.common import begin, hashed, in_small_batches, mixed, runs, store, values_of, whole_text
 from tickloom.llm.components import components
 
 SHINGLE = 5
@@ -44,6 +44,8 @@ REGISTERS, BANDS, ROWS = 256, 24, 4
 #: Base, rate and largest value of the registers.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 SMALL = 8
+#: Pairs whose similarity is estimated at a time (about 16 MB).
+ESTIMATED = 1024
 #: Parts into which the members of one bucket are dealt where they meet its size and its pivot.
 SALTS = 8
 DEVIATIONS = 5
@@ -116,6 +118,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -
     """doc, row, hash of the text, n_shingles, and for sets that are not empty the class name and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near dedup")
         for batch in batches:
             sizes, names, sketches = [], [], []
             for text in values_of(batch.column(2)):
@@ -137,6 +140,7 @@ def crowds(classes: DataFrame) -> DataFrame:
     """(key, cid, size, pivot): the buckets of two classes and more, with their most connected class."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near dedup")
         for batch in batches:
             bands = sketches_of(batch.column(1))[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
             found = [[xxhash.xxh64_intdigest(bands[i, k].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)] for i in range(len(bands))]
@@ -162,10 +166,12 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     """The pairs (a, b) that their sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near dedup")
         for batch in batches:
-            n_a, n_b = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
-            keep = promising(sketches_of(batch.column(4)), sketches_of(batch.column(5)), n_a, n_b, percent) if batch.num_rows else np.zeros(0, bool)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for part in (batch.slice(at, ESTIMATED) for at in range(0, batch.num_rows, ESTIMATED)):
+                n_a, n_b = (part.column(i).to_numpy().astype(float) for i in (2, 3))
+                keep = promising(sketches_of(part.column(4)), sketches_of(part.column(5)), n_a, n_b, percent)
+                yield part.select(["a", "b"]).filter(pa.array(keep))
 
     a, b = (classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     sized = pairs.join(a, "a").join(b, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -176,6 +182,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str,
     """(cid, values) of the wanted classes, from the text of one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near dedup")
         for batch in batches:
             sets = [shingles(t) for t in values_of(batch.column(2))]
             # ids may repeat: only a text of the class itself counts
@@ -195,6 +202,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near dedup")
         for batch in batches:
             keep = []
             for x, y in zip(*(values_of(batch.column(i)) for i in (2, 3)), strict=True):
@@ -211,6 +219,7 @@ def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(pivot, cid, d, h): the ``d`` hashes in which the set of a class differs from that of its pivot; a hash lost is not one gained."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near dedup")
         for batch in batches:
             for pivot, cid, own, other in zip(*(values_of(c) for c in batch.columns), strict=True):
                 own, other = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
@@ -276,6 +285,7 @@ def left_over(crowd: DataFrame, labels: DataFrame, classes: DataFrame, sets: Dat
     return a.join(b, ["pivot", "h"]).filter(able).select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
+@in_small_batches
 def groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles, component_id (smallest id reachable), kept, and ``row_col`` if given.
 

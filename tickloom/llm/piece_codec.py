@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.bpe import Bounded, PrefixTable, scored_pieces
-from tickloom.llm.common import values_of, whole_text
+from tickloom.llm.common import begin, remembered, values_of, whole_text
 
 MARK = "▁"
 #: Parts that one worker remembers (about 100 MB).
@@ -124,10 +124,14 @@ def codec_of(model: str) -> PieceCodec:
     return PieceCodec(model)
 
 
+remembered("pieces", codec_of.cache_clear)
+
+
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, n_tokens (end id included), ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pieces")
         codec = codec_of(model)
         for batch in batches:
             n, ids, back = zip(*map(codec.digest, values_of(batch.column(1))), strict=True) if batch.num_rows else ((), (), ())
@@ -141,6 +145,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: the id and its ids (array<int>, end id included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pieces")
         codec = codec_of(model)
         for batch in batches:
             ids = [codec.encode(t) for t in values_of(batch.column(1))]

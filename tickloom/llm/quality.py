@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import CACHE_WORDS, store, values_of, whole_text
+from tickloom.llm.common import CACHE_WORDS, begin, in_small_batches, remembered, store, values_of, whole_text
 
 BITS = 18
 DIMENSIONS = 1 << BITS
@@ -57,6 +57,7 @@ class WordCodes(dict):
 
 
 CODES = WordCodes()
+remembered("quality", CODES.clear)
 
 
 def places(text: str) -> np.ndarray:
@@ -106,6 +107,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+@in_small_batches
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Weights learnt from at most ``most`` labelled rows that are not held out."""
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -113,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     sample = store(known.orderBy(F.xxhash64("doc"), "doc").limit(most), "labelled")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         for batch in batches:
             rows = [sparse(t) for t in values_of(batch.column(2))]
             yield pa.RecordBatch.from_pydict({
@@ -137,6 +140,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: the id, held_out, score (likelihood of label 1) and predicted (1 from 0.5 on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         for batch in batches:
             totals = []
             for text in values_of(batch.column(2)):

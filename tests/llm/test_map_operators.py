@@ -9,8 +9,8 @@ import sentencepiece
 from samples import frame, odd, odd_docs, prose  # noqa: F401
 from tokenizers import Tokenizer
 
-from tickloom.llm import piece_codec, secrets, token_counts
-from tickloom.llm.bpe import PrefixTable, ranked_pairs
+from tickloom.llm import bpe, piece_codec, secrets, token_counts
+from tickloom.llm.bpe import Bounded, PrefixTable, ranked_pairs
 
 JSON, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -73,6 +73,24 @@ def test_pieces_equal_the_library(spark, odd, odd_docs):
     assert [r.ids for r in piece_codec.encoded(frame(spark, [(1, "a b")]), MODEL).collect()] == [library.encode("a b", add_eos=True)]
 
 
+def test_what_comes_often_stays_known():
+    made = []
+    known = Bounded(lambda key: made.append(key) or key.upper(), 10)
+    for i in range(60):
+        assert known["often"] == "OFTEN" and known[f"once{i}"] == f"ONCE{i}"
+        assert len(known) + len(known.older) <= 10
+    assert made.count("often") == 1
+
+
+def test_pieces_do_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 20)
+    library, small = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_codec.PieceCodec(MODEL, 6)
+    for text in [" ".join(prose(i, 30)) for i in range(20)] + ["", " é 日本 \x00\n\n𝒳 ▁a  b ", "naïve 日日 本 " * 9]:
+        ids = library.encode(text, add_eos=True)
+        assert small.encode(text) == ids and small.decode(ids) == library.decode(ids)
+        assert small.digest(text) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+
+
 def test_pieces_of_random_strings_equal_the_library():
     library, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_codec.PieceCodec(MODEL)
     rng = random.Random(1)

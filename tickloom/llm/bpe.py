@@ -18,17 +18,18 @@ CACHE_PAIRS = 250_000
 Rank = Callable[[str, str], "float | None"]
 
 
-class Pairs(dict):
-    """Answers to a test of pairs; bounded."""
+class Follows(dict):
+    """Whether a token may follow each left neighbour; the answers of all tokens of a table are bounded together."""
 
-    def __init__(self, test: Callable[[tuple[str, str]], bool]):
+    __slots__ = ("table", "token")
+
+    def __init__(self, table: PrefixTable, token: str):
         super().__init__()
-        self.test = test
+        self.table, self.token = table, token
 
-    def __missing__(self, pair: tuple[str, str]) -> bool:
-        if len(self) >= CACHE_PAIRS:
-            self.clear()
-        self[pair] = answer = self.test(pair)
+    def __missing__(self, left: str) -> bool:
+        self.table.make_room()
+        self[left] = answer = self.table.fits((left, self.token))
         return answer
 
 
@@ -42,11 +43,12 @@ class PrefixTable:
     def __init__(self, vocabulary: dict[str, int], rank: Rank):
         self.vocabulary, self.rank = vocabulary, rank
         self.automaton = ahocorasick.Automaton()
-        for piece in vocabulary:
-            if piece:
-                self.automaton.add_word(piece, piece)
+        # steps back from a token's last symbol to its first, the token, and what it may follow
+        self.entries = {piece: (len(piece) - 1, piece, Follows(self, piece)) for piece in vocabulary if piece}
+        for piece, entry in self.entries.items():
+            self.automaton.add_word(piece, entry)
         self.automaton.make_automaton()
-        self.compatible = Pairs(self.fits)
+        self.answers, self.strange = 0, {}
         self.symbols = {piece for piece in vocabulary if len(piece) == 1}
 
     def merged(self, text: str) -> list[str]:
@@ -63,6 +65,22 @@ class PrefixTable:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def make_room(self) -> None:
+        """Counts one more answer; all are forgotten when there are too many."""
+        if self.answers >= CACHE_PAIRS:
+            for _, _, follows in self.entries.values():
+                follows.clear()
+            self.strange.clear()
+            self.answers = 0
+        self.answers += 1
+
+    def stranger(self, symbol: str) -> tuple[int, str, Follows]:
+        """The entry of a symbol outside the vocabulary."""
+        if symbol not in self.strange:
+            self.make_room()
+            self.strange[symbol] = (0, symbol, Follows(self, symbol))
+        return self.strange[symbol]
+
     def fits(self, pair: tuple[str, str]) -> bool:
         """True if two tokens side by side stay two tokens; the left one is empty at the start of a text."""
         left, right = pair
@@ -70,16 +88,15 @@ class PrefixTable:
 
     def last_tokens(self, text: str) -> list[str]:
         """For every prefix (entry i: the first i symbols) its last token; entry 0 is empty."""
-        last: list[str | None] = [None] * (len(text) + 1)
-        last[0] = ""
-        ends, compatible = self.automaton.iter(text), self.compatible
+        last, done = [""], -1
+        add, ends = last.append, self.automaton.iter(text)
         if not self.symbols.issuperset(text):
             # a symbol outside the vocabulary is also a token that ends there
-            ends = merge(ends, ((i, c) for i, c in enumerate(text) if c not in self.symbols), key=lambda x: x[0])
-        for end, token in ends:
-            end += 1
-            if last[end] is None and compatible[last[end - len(token)], token]:
-                last[end] = token
+            ends = merge(ends, ((i, self.stranger(c)) for i, c in enumerate(text) if c not in self.symbols), key=lambda x: x[0])
+        for end, (back, token, follows) in ends:
+            if end != done and follows[last[end - back]]:
+                add(token)
+                done = end
         return last
 
     def tokens(self, text: str) -> list[str]:
@@ -114,16 +131,19 @@ def scored_pieces(scores: dict[str, float]) -> Rank:
 
 
 class Bounded(dict):
-    """Results of ``make`` by text; forgotten all at once when there are too many or they hold too many characters."""
+    """Results of ``make`` by text.  When half of those allowed, or half the characters, are there, they become the older half, which is
+    asked before ``make`` and goes when the next half is full: what comes often stays.
+    """
 
     def __init__(self, make: Callable, most: int, most_chars: int = 50_000_000):
         super().__init__()
-        self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
+        self.make, self.most, self.most_chars, self.chars, self.older = make, most, most_chars, 0, {}
 
     def __missing__(self, key: str):
-        value = self.make(key)
+        value = self.older[key] if key in self.older else self.make(key)
         self.chars += len(key)
-        if len(self) >= self.most or self.chars > self.most_chars:
+        if 2 * len(self) >= self.most or 2 * self.chars > self.most_chars:
+            self.older = dict(self)
             self.clear()
             self.chars = len(key)
         self[key] = value

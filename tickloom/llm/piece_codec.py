@@ -3,7 +3,7 @@
 The text is normalised as the model asks (white space becomes the mark U+2581, with one in front), and cut before every
 mark that follows another character and around line ends: no piece of the vocabulary crosses such a place, which the
 constructor verifies.
-Each part is encoded once per task from its table of last tokens and remembered, within a bound.  Characters outside
+Each part is encoded from its table of last tokens and remembered by the worker, within a bound; what comes often stays known.  Characters outside
 the vocabulary become their bytes.  Decoding joins pieces and byte runs back to text.
 
 Defined cases: a missing text is an empty text, which has the end id only; a missing id stays missing; every row is
@@ -27,14 +27,15 @@ from tickloom.llm.bpe import Bounded, PrefixTable, scored_pieces
 from tickloom.llm.common import begin, remembered, values_of, whole_text
 
 MARK = "▁"
-#: Parts that one worker remembers (about 100 MB).
+#: Parts that one worker remembers: beside what the other stages of a pipeline hold, and where it has an executor to itself (about 200 MB).
 CACHE_PARTS = 300_000
+MORE_PARTS = 800_000
 
 
 class PieceCodec:
     """Encoder and decoder for a merge-type model file with byte fallback."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PARTS):
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = {library.id_to_piece(i): i for i in range(library.vocab_size())}
         special = {i for i in pieces.values() if library.is_control(i) or library.is_unknown(i) or library.is_byte(i)}
@@ -45,25 +46,27 @@ class PieceCodec:
         self.bytes = [pieces[f"<0x{b:02X}>"] for b in range(256)]
         self.end = library.eos_id()
         self.text_of = {i: p for p, i in self.normal.items()}
+        self.decimal_of = {p: str(i) for p, i in self.normal.items()}
+        self.piece_of = {d: p for p, d in self.decimal_of.items()}
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         self.silent = {i for i in special if library.is_control(i)}
         self.unknown = library.unk_id()
         self.normalised = library.normalize
         self.table = PrefixTable(self.normal, scored_pieces({p: library.get_score(i) for p, i in self.normal.items()}))
-        self.parts = Bounded(self.decimals, CACHE_PARTS)
+        self.parts = Bounded(self.decimals, most)
 
     def decimals(self, part: str) -> str:
         """Ids of a part as decimals joined by one space; the ids are decoded and must give the part back."""
         tokens = self.table.tokens(part)
         try:
-            ids = [self.normal[t] for t in tokens]
-            back = "".join([self.text_of[i] for i in ids])
+            ids = [*map(self.decimal_of.__getitem__, tokens)]
+            back = "".join(map(self.piece_of.__getitem__, ids))
         except KeyError:  # bytes of characters outside the vocabulary
-            ids = self.numbers(tokens)
-            back = self.joined(ids).replace(" ", MARK)
+            numbers = self.numbers(tokens)
+            ids, back = [*map(str, numbers)], self.joined(numbers).replace(" ", MARK)
         if back != part:
             raise ValueError(f"{part!r} does not survive its ids")
-        return " ".join(map(str, ids))
+        return " ".join(ids)
 
     def numbers(self, tokens: list[str]) -> list[int]:
         ids: list[int] = []
@@ -119,20 +122,20 @@ def each_byte(run: bytearray) -> str:
 
 
 @cache
-def codec_of(model: str) -> PieceCodec:
+def codec_of(model: str, most: int = CACHE_PARTS) -> PieceCodec:
     """One codec for each worker process and model file."""
-    return PieceCodec(model)
+    return PieceCodec(model, most)
 
 
 remembered("pieces", codec_of.cache_clear)
 
 
-def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, n_tokens (end id included), ids_sha256, decoded_sha256."""
+def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", most: int = CACHE_PARTS) -> DataFrame:
+    """One row per row of ``docs``: the id, n_tokens (end id included), ids_sha256, decoded_sha256.  A worker remembers up to ``most`` parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("pieces")
-        codec = codec_of(model)
+        codec = codec_of(model, most)
         for batch in batches:
             n, ids, back = zip(*map(codec.digest, values_of(batch.column(1))), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(back, pa.string())})

@@ -81,7 +81,7 @@ def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_sentencepiece")
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), most=piece_codec.MORE_PARTS)
 
 
 @query("op6_token_counts")

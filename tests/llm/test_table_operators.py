@@ -1,6 +1,7 @@
 """Operators that relate documents to each other, against brute force on small tables."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 from tickloom.llm import decontamination, exact_dedup, near_dedup, quality, sharding, substring_dedup, token_files
 from tickloom.llm.components import components
 from tickloom.llm.exact_dedup import CountingQuotientFilter
+from tickloom.llm.pretokens import PreTokens
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -116,6 +118,35 @@ def test_ids_do_not_depend_on_how_texts_are_grouped(monkeypatch):
     assert [x.tolist() for x in encoder.encoded(texts)] == want
 
 
+def test_texts_cut_together_are_cut_as_one_by_one():
+    rng, pre, library = random.Random(5), PreTokens(JSON), Tokenizer.from_file(JSON)
+    bits = [" ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", "'", "'s", "'re", "'ll", "'S", "r", "e", "s", "Zq", "é", "ɏ", "1", "23", "²", ".", "!?", "’", "—", "<|endoftext|>", "<|endof", "日本", "\u3000", "ſ", "word"]
+    texts = ["", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)), ""]
+    parts, counts = pre.cut_all(texts)
+    want = [[p for stretch, added in pre.segments(t) for p in ([stretch] if added else pre.cut(stretch))] for t in texts]
+    assert counts.tolist() == [*map(len, want)]
+    assert [p.decode() for p in parts.to_pylist()] == [p for w in want for p in w]
+    assert [x.tolist() for x in token_files.Encoder(JSON).encoded(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_pre_token_is_looked_up_once_for_many_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    encoder, texts = token_files.Encoder(JSON), [" one two three" * 50] * 20
+    encoder.known = Counted(encoder.known)
+    assert sum(map(len, encoder.encoded(texts))) == 3000
+    assert Counted.asked <= 6  # three pre-tokens: asked for, and asked for again when learnt
+
+
 # quality
 
 

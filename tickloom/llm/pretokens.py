@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 # Letters, numbers and white space below U+0250.  There they are the same in every Unicode version.
@@ -17,6 +20,35 @@ PRE_TOKEN = re.compile(
 )
 #: Texts with any other character (but for these marks, which are neither) are cut by the library itself.
 OTHER = re.compile("[^\x00-ɏ‘’“”–—…€]")
+#: Kinds of the characters below U+0250; the last entry stands for the marks.
+SPACE, LETTER, NUMBER, REST = range(4)
+KINDS = np.array([next((k for k, p in enumerate((SPACES, LETTERS, NUMBERS)) if re.match(f"[{p}]", chr(c))), REST) for c in range(0x250)] + [REST], np.uint8)
+
+
+def starts_of(row: str, first: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where ``PRE_TOKEN`` cuts each stretch of the row.  Stretches begin at ``first``; those that are ``whole`` are not cut."""
+    c = np.frombuffer(row.encode("utf-32-le"), "<u4")
+    kind = KINDS[np.minimum(c, len(KINDS) - 1)]
+    gap, start = kind == SPACE, np.ones(len(c), bool)
+    # a space goes with what follows it
+    start[1:] = (kind[1:] != kind[:-1]) & ((c[:-1] != 0x20) | gap[1:])
+    # the last of white space stands alone, or goes with what follows it
+    lead = gap[:-1] & ~gap[1:]
+    lead[first[1:] - 1] = False
+    start[:-1] |= lead
+    start[first] = True
+    at = np.flatnonzero((c == 0x27) & start)
+    left = np.append(first, len(c))[np.searchsorted(first, at, "right")] - at
+    after = np.append(c, [0, 0])
+    one, two = after[at + 1], after[at + 2]
+    short = (left > 1) & np.isin(one, [*map(ord, "stmd")])
+    long = (left > 2) & (((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))) | ((one == ord("l")) & (two == ord("l"))))
+    start[at[short | long] + 1] = False
+    ends = np.concatenate([at[short] + 2, at[long] + 3])
+    start[ends[ends < len(c)]] = True
+    start[np.repeat(whole, np.diff(first, append=len(c)))] = False
+    start[first] = True
+    return np.flatnonzero(start)
 
 
 class PreTokens:
@@ -42,3 +74,26 @@ class PreTokens:
         """Stretches of text, and whether each is an added token."""
         parts = self.added.split(text) if self.added else [text]
         return [(p, i % 2 == 1) for i, p in enumerate(parts) if p]
+
+    def cut_all(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Pre-tokens and added tokens of all texts, in order and in UTF-8, and how many each text has."""
+        stretches: list[str] = []
+        owner: list[int] = []
+        whole: list[bool] = []
+        for k, text in enumerate(texts):
+            for stretch, added in self.segments(text):
+                ready = added or OTHER.search(stretch) is not None
+                pieces = self.cut(stretch) if ready and not added else [stretch]
+                stretches += pieces
+                owner += [k] * len(pieces)
+                whole += [ready] * len(pieces)
+        row = "".join(stretches)
+        first = np.fromiter(accumulate(map(len, stretches), initial=0), np.int64, len(stretches) + 1)
+        starts = starts_of(row, first[:-1], np.array(whole, bool))
+        counts = np.bincount(np.array(owner, np.int64), np.diff(np.searchsorted(starts, first)), len(texts)).astype(np.int64)
+        data, places = row.encode(), np.append(starts, len(row))
+        if len(data) > len(row):
+            c = np.frombuffer(row.encode("utf-32-le"), "<u4")
+            sizes = 1 + (c >= 0x80) + (c >= 0x800).astype(np.int64) + (c >= 0x10000)
+            places = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])[places]
+        return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data)]), counts

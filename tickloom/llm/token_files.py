@@ -12,7 +12,7 @@ task attempt writes files under names of its own and the table records the attem
 repeated or speculative attempt neither meets nor replaces a file; what it leaves behind is never read.
 
 Byte-level BPE encodes every pre-token by itself, so a worker gives each distinct one to the tokenizer once and remembers
-its ids, within a bound.
+its ids, within a bound.  Those that begin with a space are given in a row, as one text.
 
 Defined cases: a missing text is an empty text and gives its end id alone; missing ids come first; rows with equal ids
 follow one another in the order of the first ``ORDERED_BY`` characters of their texts, then of a hash of them, and may fill
@@ -24,9 +24,10 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 from struct import pack
 
 import numpy as np
@@ -37,14 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import store, whole_text, work_folder
+from tickloom.llm.common import give_back, in_small_batches, store, whole_text, work_folder
 from tickloom.llm.pretokens import PreTokens
 
 LENGTH = 2048
 BATCH_ROWS = 256
 #: Characters whose new pre-tokens are given to the tokenizer at once, and half the pre-tokens that one worker remembers.
 ENCODED_AT_ONCE = 1_000_000
-CACHE_PARTS = 400_000
+CACHE_PARTS = 250_000
 #: Characters by which texts of one id are ordered; the range bounds hold no longer ones.
 ORDERED_BY = 64
 
@@ -64,20 +65,43 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         self.pre = PreTokens(path)
         self.vocabulary_size = self.pre.library.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what was known when it last was full
-
-    def learn(self, parts: set[str]) -> None:
-        new = parts.difference(self.known)
-        if len(self.known) + len(new) > CACHE_PARTS:
-            self.older, self.known, new = self.known, {}, parts
-        again = {p: self.older[p] for p in new if p in self.older}
+        plain = self.pre.library.get_vocab(with_added_tokens=False)
+        #: by id: the token begins with a space
+        self.begins = np.zeros(1 + max([*plain.values(), *self.pre.library.get_vocab().values()], default=0), bool)
+        self.begins[[i for token, i in plain.items() if token.startswith("Ġ")]] = True
+        self.side_by_side = not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in self.pre.spec["added_tokens"])
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was known when it last was full
+
+    def learn(self, parts: list[bytes]) -> None:
+        """From now on these are known; they were not before."""
+        if len(self.known) + len(parts) > CACHE_PARTS:
+            self.older, self.known = self.known, {}
+        again = {p: self.older[p] for p in parts if p in self.older}
         self.known.update(again)
-        new = [p for p in new if p not in again]
-        for at in range(0, len(new), 10_000):
-            group = new[at : at + 10_000]
-            for part, e in zip(group, self.pre.library.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                self.known[part] = pack(f"<{len(e)}I", *e.ids)
+        spaced, others = [], []
+        for part in (p.decode() for p in parts if p not in again):
+            (spaced if part[0] == " " and len(part) > 1 and not part[1].isspace() else others).append(part)
+        for at in range(0, len(spaced), 10_000):
+            self.known.update(self.in_a_row(spaced[at : at + 10_000]))
+        for at in range(0, len(others), 10_000):
+            self.known.update(self.apart(others[at : at + 10_000]))
+
+    def apart(self, parts: list[str]) -> Iterable[tuple[bytes, bytes]]:
+        found = self.pre.library.encode_batch_fast(parts, add_special_tokens=False)
+        return zip(map(str.encode, parts), [pack(f"<{len(e)}I", *e.ids) for e in found], strict=True)
+
+    def in_a_row(self, parts: list[str]) -> Iterable[tuple[bytes, bytes]]:
+        """Pre-tokens that begin with their only space: the library cuts their row at every space, and a token with one begins each."""
+        if not self.side_by_side:
+            return self.apart(parts)
+        (row,) = self.pre.library.encode_batch_fast(["".join(parts)], add_special_tokens=False)
+        ids = np.array(row.ids, "<u4")
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(parts) or starts[0]:
+            return self.apart(parts)
+        data, places = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return zip(map(str.encode, parts), [data[a:b] for a, b in pairwise(places)], strict=True)
 
     def encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as 32-bit integers."""
@@ -85,15 +109,24 @@ class Encoder:
         while at < len(texts):
             group, size = [], 0
             while at < len(texts) and (not group or size + len(texts[at]) <= ENCODED_AT_ONCE):
-                parts: list[str] = []
-                for stretch, added in self.pre.segments(texts[at]):
-                    parts += [stretch] if added else self.pre.cut(stretch)
-                group.append(parts)
+                group.append(texts[at])
                 size += len(texts[at])
                 at += 1
-            self.learn(set().union(*group))
-            for parts in group:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
+            parts, counts = self.pre.cut_all(group)
+            coded = parts.dictionary_encode()
+            _, places, data = coded.dictionary.buffers()
+            bounds, data = np.frombuffer(places, np.int64)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
+            distinct = [data[a:b] for a, b in pairwise(bounds)]
+            found = [*map(self.known.get, distinct)]
+            if None in found:
+                self.learn([p for p, ids in zip(distinct, found, strict=True) if ids is None])
+                found = [ids or self.known[p] for p, ids in zip(distinct, found, strict=True)]
+            ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            codes = coded.indices.to_numpy()
+            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[codes])])
+            row = ids[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], sizes[codes]) + np.arange(ends[-1])]
+            for a, b in pairwise(ends[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])].tolist()):
+                yield row[a:b]
 
 
 @lru_cache(2)
@@ -183,6 +216,7 @@ def name_of(shard: int, attempt: int | str) -> str:
     return f"ids-{shard:06d}-{attempt}" + (".arrow" if attempt != "" else "")
 
 
+@in_small_batches
 def write(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> TokenCorpus:
     """Encode every text, append ``end_id``, and write files in ascending id order to a shared folder."""
     folder = folder or work_folder(docs.sparkSession, "ids")
@@ -209,6 +243,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, i
                     id_col: batch.column(0), "shard": pa.array([shard] * len(sizes), pa.int64()), "attempt": pa.array([attempt] * len(sizes), pa.int64()), "first": pa.array(firsts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
             writer.close()
         system.move(own, f"{base}/{name_of(shard, attempt)}")
+        give_back()
 
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col), text.alias("text"), F.substring(text, 1, ORDERED_BY).alias("begin"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("place"))
